@@ -50,7 +50,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    for w in set(words) - cache.keys():
+    for w in set(words).difference(cache):
         cache[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
