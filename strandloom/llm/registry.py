@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contamination, exact_dedup, lines, near_dedup, token_files, toxicity, warc
+from . import class_lm, contamination, exact_dedup, lines, mixing, near_dedup, passages, token_files, toxicity, warc
 
-MODULES = (exact_dedup, contamination, toxicity, warc, lines, near_dedup, token_files)
+MODULES = (mixing, exact_dedup, class_lm, contamination, passages, toxicity, warc, lines, near_dedup, token_files)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -153,7 +153,7 @@ def build_shard(path: str, texts: list[bytes], end_id: int) -> tuple[bytes, int]
             flat += t.split()
             flat.append(_END)
             doc_words.append(len(flat) - before)
-        fresh = list(set(flat) - local.keys())
+        fresh = list(set(flat).difference(local))
         missing = [w for w in fresh if w not in ids]
         if missing:
             if len(ids) > CACHE:

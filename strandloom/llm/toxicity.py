@@ -4,8 +4,10 @@ Two models, toxic and ordinary, give the log-likelihood of each word's bytes (wo
 start and end included) from the ``ORDER - 1`` bytes before. The highest order is
 counted per class; all lower orders are Kneser-Ney continuation counts shared by both
 classes, so a rare expression falls back on the same distribution in either model and
-only what its class has really shown moves the score. A document's value is the
-difference of its two log-likelihoods divided by its number of words; a logistic
+only what its class has really shown moves the score. A toxic document is for the most
+part ordinary: its likelihood is that of words drawn from the toxic model with
+probability ``SHARE`` and else from the ordinary one. A document's value is the
+difference of the two log-likelihoods divided by its number of words; a logistic
 curve, fitted on labelled rows that the counts have not seen, maps it to 0..1.
 
 Bounds: the models are fitted on at most ``per_class`` labelled documents of either
@@ -39,6 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RESULT = ("score", "predicted")
 ORDER = 6
 PER_CLASS = 4000
+#: Of a toxic document's words, those that the toxic model draws.
+SHARE = 0.005
+#: Discount of the highest order: what a class shows once counts for little there.
+TOP_DISCOUNT = 0.95
 #: Distinct words whose value a worker remembers.
 CACHE = 400_000
 #: Maps A-Z to a-z and every separator byte to a space, so that split() gives the words.
@@ -98,7 +104,7 @@ def fit(vocabulary: list[bytes], ordinary: np.ndarray, toxic: np.ndarray) -> dic
     top, back = [], []
     for c in counts:
         total, kinds = np.bincount(inverse, c, len(contexts)), np.bincount(inverse, c > 0, len(contexts))
-        d = _discount(c[c > 0])
+        d = TOP_DISCOUNT
         rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
         top.append(np.maximum(c - d, 0) / np.maximum(total[inverse], 1) + rest[inverse] * base)
         back.append(rest)
@@ -106,6 +112,7 @@ def fit(vocabulary: list[bytes], ordinary: np.ndarray, toxic: np.ndarray) -> dic
 
 
 def word_values(model: dict[str, np.ndarray], vocabulary: list[bytes]) -> np.ndarray:
+    """Per word, the log of the mixture's likelihood over the ordinary model's."""
     if not vocabulary:
         return np.zeros(0)
     grams, word_of = _grams(vocabulary)
@@ -114,13 +121,14 @@ def word_values(model: dict[str, np.ndarray], vocabulary: list[bytes]) -> np.nda
     context = grams >> np.uint64(8)
     over = np.minimum(np.searchsorted(model["contexts"], context), len(model["contexts"]) - 1)
     value = np.where(seen, model["ratio"][at], np.where(model["contexts"][over] == context, model["unseen"][over], 0.0))
-    return np.bincount(word_of, value, len(vocabulary))
+    ratio = np.bincount(word_of, value, len(vocabulary))
+    return np.log(1 - SHARE + SHARE * np.exp(np.minimum(ratio, 15)))
 
 
 def document_values(model: dict[str, np.ndarray], texts, cache: dict[bytes, float]) -> list[float]:
     """Length-normalised log-likelihood differences of texts given as bytes or None."""
     split = [split_words(t) if t else [] for t in texts]
-    fresh = list(set().union(*split) - cache.keys())
+    fresh = list(set().union(*split).difference(cache))
     for start in range(0, len(fresh), 50_000):
         part = fresh[start : start + 50_000]
         cache.update(zip(part, word_values(model, part).tolist()))
