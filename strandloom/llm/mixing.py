@@ -69,6 +69,10 @@ def learn(docs: DataFrame, domains: DataFrame, scratch: Scratch, text_col: str =
     return names, np.log(prior / prior.sum()), np.log(weights / weights.sum(axis=1, keepdims=True))
 
 
+def _adding(weights):
+    return lambda total, bucket: total + F.get(weights, bucket)
+
+
 def with_posteriors(docs: DataFrame, names: list[str], prior: np.ndarray, weights: np.ndarray, text_col: str = "text"):
     """A struct column (n, p): number of words, and posteriors in the order of ``names``."""
     k = len(names)
@@ -80,7 +84,7 @@ def with_posteriors(docs: DataFrame, names: list[str], prior: np.ndarray, weight
         hashed = F.transform(words, _bucket)
 
         def scored(buckets):
-            means = [F.aggregate(buckets, F.lit(0.0), lambda a, b, t=t: a + F.get(t, b)) / F.greatest(n, F.lit(1)) for t in tables]
+            means = [F.aggregate(buckets, F.lit(0.0), _adding(t)) / F.greatest(n, F.lit(1)) for t in tables]
             logits = [F.lit(float(prior[0]))] + [m * F.least(n, F.lit(EFFECTIVE)) + float(prior[j + 1]) for j, m in enumerate(means)]
             odds = [F.exp(F.least(x - logits[0], F.lit(500.0))) for x in logits]
             return let(F.array(*odds), lambda o: F.transform(o, lambda x: x / F.aggregate(o, F.lit(0.0), lambda a, y: a + y)))
