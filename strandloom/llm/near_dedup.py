@@ -5,14 +5,15 @@ hash picks a bucket; of a bucket's smallest value only the number of leading zer
 ``MANTISSA`` bits after them are kept, two bytes a bucket. ``ROWS`` registers make a
 band; documents that agree in a band are candidates. Before any set is fetched, the
 share of equal registers, corrected for chance collisions, gives an estimate, and
-pairs more than five standard deviations under the threshold are dropped. What is left
+pairs more than ``SLACK`` standard deviations under the threshold are dropped. What is left
 is confirmed on full sets.
 
 No step emits all pairs of a group. Documents with one set are one node. In a band's
-group every member is first compared with the group's smallest node alone; connected
-components of the confirmed links follow. Only pairs of one group that are then still
-in different components are compared, in blocks, so no link between different texts
-that share a band is lost. A pair at the very threshold shares no band with
+group every member is first compared with the group's hub alone, the node that shares
+its bands with most others (in a family of copies, the one that was changed least);
+connected components of the confirmed links follow. Only pairs of one group that are
+then still in different components are compared, in blocks, so no link between
+different texts that share a band is lost. A pair at the very threshold shares no band with
 probability (1 - 0.8**6)**42, about 3e-6.
 
 Defined results: null or white text has an empty set and is linked with nothing. Of
@@ -44,6 +45,8 @@ REGISTERS = ROWS * BANDS
 EMPTY = 0xFFFF
 #: Fixed value of the published collision estimate for equal-sized sets.
 COLLISION = 0.169919487159739093975315012348
+#: An estimate this many standard deviations too low is never met in practice (under 1 in 100,000).
+SLACK = 4.3
 BLOCK = 512
 CACHE = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,10 +110,10 @@ def estimate(a: np.ndarray, b: np.ndarray, na, nb) -> tuple[np.ndarray, np.ndarr
 
 
 def promising(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
-    """Whether a pair may reach the threshold: sizes allow it and the estimate is within five deviations."""
+    """Whether a pair may reach the threshold: sizes allow it and the estimate is within SLACK deviations."""
     at = percent / 100
     guess, filled = estimate(a, b, na, nb)
-    slack = 5 * np.sqrt(at * (1 - at) / np.maximum(filled, 1)) + 1e-9
+    slack = SLACK * np.sqrt(at * (1 - at) / np.maximum(filled, 1)) + 1e-9
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (guess >= at - slack)
 
 
@@ -137,8 +140,8 @@ def signatures(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> Dat
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """Rows (band, node) of the bands in which a node has any register."""
-    schema = pa.schema([("band", pa.int64()), ("node", pa.int64())])
+    """Rows (band, node, n) of the bands in which a node has any register."""
+    schema = pa.schema([("band", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
     weights = (np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
     def keys(batches):
@@ -150,15 +153,15 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     h = _mixed(h + regs[:, :, r].astype(np.uint64))
                 full = (regs != EMPTY).any(axis=2)
-                node = np.repeat(part.column("node").to_numpy(), full.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(h[full].view(np.int64)), pa.array(node)], schema=schema)
+                node, n = (np.repeat(part.column(k).to_numpy(), full.sum(axis=1)) for k in ("node", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(h[full].view(np.int64)), pa.array(node), pa.array(n)], schema=schema)
 
-    return nodes.select("node", "registers").mapInArrow(keys, "band long, node long")
+    return nodes.select("node", "n", "registers").mapInArrow(keys, "band long, node long, n long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The promising ones of (a, b) pairs."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
+    """The promising ones of (a, b, na, nb) pairs."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("registers").alias(f"r{k}"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches):
@@ -271,17 +274,20 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: s
     nodes = scratch.write(nodes.select("s1", "s2", "node", "least", "t.t1", "t.t2", "n", "registers"), "nodes")
 
     bands = band_keys(nodes)
-    groups = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    groups = scratch.write(groups, "groups")
-    small = groups.count() * 32 <= broadcast_bytes
+    groups = scratch.write(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "groups")
+    small = groups.count() * 24 <= broadcast_bytes
     members = scratch.write(bands.join(F.broadcast(groups) if small else groups, "band"), "members")
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    shared = members.groupBy("node").agg(F.sum("size").alias("shared"))
+    hubs = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"), "n")).alias("hub"))
+    hubs = hubs.select("band", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na"))
+    stars = members.join(hubs, "band").where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    stars = stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).distinct()
     args = (shingle, percent, text_col, broadcast_bytes)
     links = confirm(_estimated(stars, nodes, percent), docs, nodes, scratch, "stars", *args)
     roots = components(links, scratch, "first")
 
     # what the stars could not show: pairs of one group in different components
-    rooted = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = members.where("size > 2").select("band", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     open_groups = rooted.join(mixed, "band").join(nodes.select("node", "n", "registers"), "node")
     found = confirm(_across(open_groups.select("band", "size", "node", "root", "n", "registers"), percent), docs, nodes, scratch, "across", *args)
