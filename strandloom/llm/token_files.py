@@ -23,6 +23,8 @@ gives no shards.
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 import sys
 import types
@@ -30,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,13 +42,14 @@ from .common import BROADCAST_BYTES, Scratch, quoted, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"RPG1"
-SHARD_TOKENS = 6_000_000
-WORD_ROUNDS, TEXT_ROUNDS = 6, 3
+SHARD_TOKENS = 3_000_000
+WORD_ROUNDS, TEXT_ROUNDS = 5, 2
 MIN_COUNT, MAX_NEW = 8, 8192
 #: Distinct words whose ids a worker remembers.
 CACHE = 300_000
 SHARDS = "shard int, part int, n_tokens long, doc_ids array<bigint>, payload binary"
-_END = b" "  # no word contains a space
+#: Fixed value: marks that the tokenizer parts from the letters before them.
+MARKS = ".,;:!?"
 
 
 def _kept() -> types.ModuleType:
@@ -54,22 +58,73 @@ def _kept() -> types.ModuleType:
 
 
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     kept = _kept()
     if getattr(kept, "path", None) != path:
         kept.tokenizer, kept.path, kept.ids = Tokenizer.from_file(path), path, {}
+        kept.closes = np.zeros(kept.tokenizer.get_vocab_size(), dtype=bool)
+        kept.closes[[i for k, i in kept.tokenizer.get_vocab().items() if k.endswith("</w>")]] = True
     return kept.tokenizer
 
 
-def _encode_words(path: str, words: list[bytes]) -> None:
-    """Put the packed ids of words into the worker's memory."""
-    tok = _tokenizer(path)
+def _encode_words(path: str, words: list[str]) -> None:
+    """Put the ids of words into the worker's memory.
+
+    A word of letters is one unit of the tokenizer, which ends in an id that closes a
+    word: such words are encoded many at a time and told apart by those ids.
+    """
+    tok, kept = _tokenizer(path), _kept()
+    letters = [w for w in words if w.isalpha()]
+    alone = [w for w in words if not w.isalpha()]
+    for start in range(0, len(letters), 20_000):
+        part = letters[start : start + 20_000]
+        groups = [part[i : i + 200] for i in range(0, len(part), 200)]
+        for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            got = e.ids
+            ends = np.flatnonzero(kept.closes[got])
+            if len(ends) != len(group):
+                alone += group
+                continue
+            at = 0
+            for w, end in zip(group, ends.tolist()):
+                kept.ids[w] = got[at : end + 1]
+                at = end + 1
+    for start in range(0, len(alone), 20_000):
+        part = alone[start : start + 20_000]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+            kept.ids[w] = e.ids
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word as the tokenizer splits it at the least: letters, and marks after them.
+
+    A-Z are lower-cased as the tokenizer does itself, unless a special token's opening
+    mark is in the word, and marks are only cut off right after a letter.
+    """
+    if "<|" in word or "'" in word:
+        return word, ""
+    if word.isascii():
+        word = word.lower()
+    body = word.rstrip(MARKS)
+    return (body, word[len(body) :]) if body and body[-1].isalpha() else (word, "")
+
+
+def _encode_distinct(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids one after another) of distinct words."""
     ids = _kept().ids
-    for start in range(0, len(words), 20_000):
-        part = words[start : start + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+    parts = [_parts(w) for w in words]
+    missing = {p for both in parts for p in both if p}.difference(ids)
+    if missing:
+        if len(ids) + len(missing) > CACHE:
+            ids.clear()
+            missing = {p for both in parts for p in both if p}
+        _encode_words(path, sorted(missing))
+    ids[""] = []  # white space at a text's end
+    lists = [ids[a] + ids[b] if b else ids[a] for a, b in parts]
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return sizes, np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum()))
 
 
 def _expand(table_of: np.ndarray, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -96,7 +151,8 @@ class Grammar:
         open_at = np.flatnonzero(~closed[:-1])
         if not len(open_at):
             return None
-        found, inverse = np.unique(keys[open_at], return_inverse=True)
+        coded = pa.array(keys[open_at]).dictionary_encode()
+        found, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         count = np.bincount(inverse, None if weight is None else weight[open_at], len(found))
         if len(found) > MAX_NEW:
             least = np.partition(count, len(found) - MAX_NEW)[len(found) - MAX_NEW]
@@ -139,36 +195,28 @@ def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return out
 
 
-def build_shard(path: str, texts: list[bytes], end_id: int) -> tuple[bytes, int]:
-    """The payload of documents given as UTF-8 texts, and its number of ids."""
+def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
+    """The payload of documents given as an array of texts without nulls, and its number of ids."""
     vocabulary = _tokenizer(path).get_vocab_size()
-    local: dict[bytes, int] = {_END: 0}
-    order, doc_words = [], []
-    ids = _kept().ids
-    packed = [b""]
-    for start in range(0, len(texts), 256):
-        flat: list[bytes] = []
-        for t in texts[start : start + 256]:
-            before = len(flat)
-            flat += t.split()
-            flat.append(_END)
-            doc_words.append(len(flat) - before)
-        fresh = list(set(flat).difference(local))
-        missing = [w for w in fresh if w not in ids]
-        if missing:
-            if len(ids) > CACHE:
-                ids.clear()
-                missing = fresh
-            _encode_words(path, missing)
-        for w in fresh:
-            local[w] = len(packed)
-            packed.append(ids[w])
-        order.append(np.fromiter(map(local.__getitem__, flat), dtype=np.int64, count=len(flat)))
-    order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
-    packed[0] = np.array([vocabulary], dtype="<u4").tobytes()
-    sizes = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
-    seq = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
-    n_ids = sizes  # a word's ids, before and after its symbols shrink
+    split = pc.ascii_split_whitespace(texts)
+    ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+    words = split.flatten()
+    coded = words.dictionary_encode()
+    empty = pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+    flat = coded.indices.to_numpy()
+    if empty.any():  # white space at a text's end
+        stays = ~empty[flat]
+        ends = np.append(0, np.cumsum(stays))[ends]
+        flat = flat[stays]
+    word_sizes, seq = _encode_distinct(path, coded.dictionary.to_pylist())
+    # word 0 is the end of a document, one symbol of its own
+    sizes, seq = np.append(1, word_sizes), np.append(vocabulary, seq)
+    word_ends = ends + np.arange(1, len(ends) + 1)
+    order = np.zeros(len(flat) + len(ends), dtype=np.int32)
+    inside = np.ones(len(order), dtype=bool)
+    inside[word_ends - 1] = False
+    order[inside] = flat + 1
+    n_ids = sizes  # a word's ids, before its symbols are joined
 
     grammar = Grammar(vocabulary)
     word_of = np.repeat(np.arange(len(sizes)), sizes)
@@ -199,7 +247,6 @@ def build_shard(path: str, texts: list[bytes], end_id: int) -> tuple[bytes, int]
     rules = grammar.table()
     lengths = expansion_lengths(rules, vocabulary)
     symbol_starts = np.append(0, np.flatnonzero(stream == vocabulary) + 1).astype("<u4")
-    word_ends = np.cumsum(np.array(doc_words, dtype=np.int64))
     id_starts = np.append(0, np.append(0, np.cumsum(n_ids[order]))[word_ends]).astype("<u8")
     header = struct.pack("<6I", len(texts), len(rules), len(stream), vocabulary, end_id, 0)
     parts = (rules.astype("<u4"), lengths.astype("<u4"), symbol_starts, id_starts, stream.astype("<u4"))
@@ -258,15 +305,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text_col
         held, names, weight = [], [], 0
 
         def made():
-            payload, n = build_shard(tokenizer_path, held, end_id)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary())], schema=schema)
+            payload, n = build_shard(tokenizer_path, pa.concat_arrays(held), end_id)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, sum(map(len, names))], pa.int32()), pa.concat_arrays(names)), pa.array([payload], pa.binary())], schema=schema)
 
         for b in batches:
-            text = b.column("text").cast(pa.large_binary())
-            for name, t in zip(b.column("id"), text):
-                held.append(t.as_py() or b"")
-                names.append(name.as_py())
-                weight += len(held[-1]) + 1
+            text = pc.fill_null(b.column("text"), "")
+            weights = pc.binary_length(text).to_numpy() + 1
+            start = 0
+            while start < len(text):  # rows until the shard is full
+                upto = start + 1 + int(np.searchsorted(np.cumsum(weights[start:]), most_bytes - weight))
+                upto = min(upto, len(text))
+                held.append(text.slice(start, upto - start))
+                names.append(b.column("id").slice(start, upto - start))
+                weight += int(weights[start:upto].sum())
+                start = upto
                 if weight >= most_bytes:
                     yield made()
                     held, names, weight, part = [], [], 0, part + 1
