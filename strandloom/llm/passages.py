@@ -11,10 +11,11 @@ such pairs are verified on the shingles themselves (similarity of at least ``per
 and followed along their diagonal as far as the similarity holds.
 
 Documents with equal texts are one. In a signature's group every interval is verified
-against the group's first document only, and those that fail against the first of
-themselves again, until no group has two left: no step emits all pairs of a group, and
-no interval is dropped. Exact repeats of ``min_words`` words are always found; a
-stretch at the very threshold agrees in all functions with probability 0.8**4.
+against the group's first document only. Those that fail are compared with each other
+in blocks, by the shingles around the anchor that their signature shares; a block hands
+on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
+words are always found; a stretch at the very threshold agrees in all functions with
+probability 0.8**4.
 
 Defined results: null texts and texts under ``min_words`` words have no passages.
 Repeats inside one document are not counted. Rows that repeat an id with its text share
@@ -27,6 +28,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ from .near_dedup import _mixed, components, sequence_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, HASHES, MIN_WORDS, PERCENT = 5, 4, 50, 80
+BLOCK = 512
 _SEEDS = [0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89]
 
 
@@ -86,9 +89,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verify(a: np.ndarray, b: np.ndarray, matches: list[tuple], least: int, percent: int) -> list[tuple]:
-    """Per match (a first, a last, a anchor, b first, b last, b anchor): whether it holds, and the stretch starts it spans on each side."""
+    """Per match (a first, a last, a anchor, b first, b last, b anchor): whether it holds, and its first and last shingle on each side (both ends are equal there)."""
     need = -(-2 * percent * least // (100 + percent))
-    runs: dict[int, np.ndarray] = {}
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     out = []
     for af, al, ac, bf, bl, bc in matches:
         lo, hi = max(af - ac, bf - bc), min(al - ac, bl - bc)
@@ -100,15 +103,18 @@ def verify(a: np.ndarray, b: np.ndarray, matches: list[tuple], least: int, perce
         if d not in runs:  # on this diagonal: which stretches have enough equal shingles
             b0 = max(0, -d)
             n = min(len(a) - b0 - d, len(b) - b0)
-            equal = np.concatenate([[0], np.cumsum(a[b0 + d : b0 + d + n] == b[b0 : b0 + n])])
-            good = equal[least:] - equal[:-least] >= need
+            same = a[b0 + d : b0 + d + n] == b[b0 : b0 + n]
+            total = np.concatenate([[0], np.cumsum(same)])
+            good = total[least:] - total[:-least] >= need
             edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
-            runs[d] = edge.reshape(-1, 2) + b0
-        k = np.searchsorted(runs[d][:, 0], sb, side="right") - 1
-        if k >= 0 and sb < runs[d][k, 1]:
-            b0, b1 = int(runs[d][k, 0]), int(runs[d][k, 1]) - 1
+            runs[d] = edge.reshape(-1, 2) + b0, np.flatnonzero(same) + b0
+        edges, at = runs[d]
+        k = np.searchsorted(edges[:, 0], sb, side="right") - 1
+        if k >= 0 and sb < edges[k, 1]:
+            b0 = int(at[np.searchsorted(at, edges[k, 0])])
+            b1 = int(at[np.searchsorted(at, edges[k, 1] - 1 + least) - 1])
         else:
-            b0 = b1 = sb
+            b0, b1 = sb, sb + least - 1
         out.append((True, b0 + d, b1 + d, b0, b1))
     return out
 
@@ -163,6 +169,47 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int)
     return joined.select("hub", "row", "hub_seq", "row_seq", "matches").mapInArrow(check, "key long, hub long, row long, first int, ok boolean, h0 int, h1 int, r0 int, r1 int")
 
 
+def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
+    """Verified (hub, row, spans) among the members of a group that its first document does not explain.
+
+    ``rest``: key, size, row, anchor. A group of g members is cut into ceil(g / BLOCK)
+    blocks and a task holds two: each member with the ``least - 1`` shingles on either
+    side of its anchor. Along the shared anchor every pair's best stretch is counted.
+    """
+    side = least - 1
+    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), side), "seq", F.array_repeat(F.lit(0).cast("long"), side))
+    around = rest.join(sequences, "row").select("key", "row", "anchor", F.slice(padded, F.col("anchor") + 1, 2 * side + 1).alias("around"), F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    each = around.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "anchor", "around")
+    need = -(-2 * percent * least // (100 + percent))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", kind="stable")
+        row, anchor, block = (pdf[c].to_numpy() for c in ("row", "anchor", "own"))
+        text = np.stack(pdf["around"].to_numpy())
+        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        root = np.arange(len(row))
+        out = []
+        for k in range(len(row) - 1):
+            equal = (text[k + 1 :] == text[k]) & (text[k] != 0)
+            total = np.concatenate([np.zeros((len(equal), 1), dtype=np.int32), np.cumsum(equal, axis=1, dtype=np.int32)], axis=1)
+            good = total[:, least:] - total[:, :-least] >= need
+            ok = good.any(axis=1) & (row[k + 1 :] != row[k])
+            if two:
+                ok &= block[k + 1 :] != block[k]
+            for m in np.flatnonzero(ok):
+                if root[k] != root[k + 1 + m]:
+                    root[root == root[k + 1 + m]] = root[k]
+                    starts = np.flatnonzero(good[m])
+                    at = np.flatnonzero(equal[m, starts[0] : starts[-1] + least]) + starts[0] - side
+                    lo, hi = int(at[0]), int(at[-1])
+                    out.append((row[k], row[k + 1 + m], anchor[k] + lo, anchor[k] + hi, anchor[k + 1 + m] + lo, anchor[k + 1 + m] + hi))
+        return pd.DataFrame(out, columns=["hub", "row", "h0", "h1", "r0", "r1"]) if out else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("hub", "row", "h0", "h1", "r0", "r1")})
+
+    return each.groupBy("key", "i", "j").applyInPandas(compare, "hub long, row long, h0 int, h1 int, r0 int, r1 int")
+
+
 def _merged(spans):
     """Sorted (first, last) spans with those that touch made one."""
     empty = F.array().cast("array<struct<first:int,last:int>>")
@@ -179,9 +226,10 @@ def _merged(spans):
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, class_id, n_links, spans, cut_spans) of each document that shares a passage.
 
-    Spans are (first, last) word numbers. ``cut_spans`` are those that an earlier
-    document has too, so that cutting them everywhere leaves one of each passage;
-    equal texts have their whole length there in all rows but the smallest id's.
+    Spans are (first, last) word numbers. ``cut_spans`` are those that a document before
+    it (in the operator's own order of texts) has too, so that cutting them everywhere
+    leaves one of each passage; equal texts have their whole length there in all rows
+    but the smallest id's.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     least = max(1, min_words - SHINGLE + 1)
@@ -203,36 +251,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     ends = scratch.write(left.select("row").distinct(), "ends")
     sequences = scratch.write(_sequences(numbered, ends, broadcast_bytes), "sequences")
 
-    held, step = [], 0
-    while not left.isEmpty():
-        hubs = left.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("size"), F.min(F.struct("row", "first", "last", "anchor")).alias("h")).where("size > 1")
-        hubs = hubs.select("key", "hub", F.col("h.first").alias("h_first"), F.col("h.last").alias("h_last"), F.col("h.anchor").alias("h_anchor"))
-        match = left.join(hubs, "key").where("row <> hub")
-        pairs = match.groupBy("hub", "row").agg(F.collect_list(F.struct("key", "h_first", "h_last", "h_anchor", "first", "last", "anchor")).alias("matches"))
-        checked = scratch.write(_verified(pairs, sequences, least, percent), f"checked{step}")
-        held.append(checked.where("ok").select("hub", "row", "h0", "h1", "r0", "r1"))
-        failed = checked.where("NOT ok").select("key", "row", "first").distinct()
-        failed = failed.join(left, ["key", "row", "first"])
-        more = failed.groupBy("key").count().where("count > 1").select("key")
-        left = scratch.write(failed.join(more, "key", "left_semi").select("key", "row", "first", "last", "anchor"), f"left{step}")
-        step += 1
-
-    links = held[0] if held else None
-    for df in held[1:]:
-        links = links.unionByName(df)
-    wide = least + SHINGLE - 2
-    if links is None:
-        empty = "row long, spans array<struct<first:int,last:int>>, cut_spans array<struct<first:int,last:int>>, n_links long"
-        linked = docs.sparkSession.createDataFrame([], empty).withColumn("root", F.col("row"))
-    else:
-        sides = links.select(F.col("hub").alias("row"), F.col("row").alias("other"), F.col("h0").alias("first"), (F.col("h1") + wide).alias("last"), F.lit(False).alias("cut")).unionByName(
-            links.select("row", F.col("hub").alias("other"), F.col("r0").alias("first"), (F.col("r1") + wide).alias("last"), F.lit(True).alias("cut"))
-        )
-        span = F.struct("first", "last")
-        spans = sides.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set(F.when(F.col("cut"), span))).alias("c"), F.count_distinct("other").alias("n_links"))
-        spans = spans.select("row", _merged(F.col("s")).alias("spans"), _merged(F.col("c")).alias("cut_spans"), "n_links")
-        roots = components(links.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), scratch, "classes")
-        linked = scratch.write(spans.join(roots.withColumnRenamed("node", "row"), "row"), "linked")
+    hubs = left.groupBy("key").agg(F.min(F.struct("row", "first", "last", "anchor")).alias("h"))
+    hubs = hubs.select("key", F.col("h.row").alias("hub"), F.col("h.first").alias("h_first"), F.col("h.last").alias("h_last"), F.col("h.anchor").alias("h_anchor"))
+    match = left.join(hubs, "key").where("row <> hub")
+    pairs = match.groupBy("hub", "row").agg(F.collect_list(F.struct("key", "h_first", "h_last", "h_anchor", "first", "last", "anchor")).alias("matches"))
+    checked = scratch.write(_verified(pairs, sequences, least, percent), "checked")
+    failed = checked.where("NOT ok").select("key", "row", "first")
+    more = failed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rest = scratch.write(failed.join(more, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"]).select("key", "size", "row", "anchor"), "rest")
+    links = checked.where("ok").select("hub", "row", "h0", "h1", "r0", "r1").unionByName(_among(rest, sequences, least, percent))
+    links = scratch.write(links, "links")
+    wide = SHINGLE - 1
+    sides = links.select(F.col("hub").alias("row"), F.col("row").alias("other"), F.col("h0").alias("first"), (F.col("h1") + wide).alias("last"), F.lit(False).alias("cut")).unionByName(
+        links.select("row", F.col("hub").alias("other"), F.col("r0").alias("first"), (F.col("r1") + wide).alias("last"), F.lit(True).alias("cut"))
+    )
+    span = F.struct("first", "last")
+    spans = sides.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set(F.when(F.col("cut"), span))).alias("c"), F.count_distinct("other").alias("n_links"))
+    spans = spans.select("row", _merged(F.col("s")).alias("spans"), _merged(F.col("c")).alias("cut_spans"), "n_links")
+    roots = components(links.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), scratch, "classes")
+    linked = scratch.write(spans.join(roots.withColumnRenamed("node", "row"), "row"), "linked")
 
     # classes by id; equal texts of at least min_words words are a class even without other links
     of_text = same.join(linked, "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -260,7 +297,7 @@ def _one_each(keyed: DataFrame, same: DataFrame, broadcast_bytes: int) -> DataFr
 
 
 def cut_passages(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every passage cut that an earlier document has; ids must be unique."""
+    """``docs`` with each passage left in one document alone; ids must be unique."""
     spans = found.where(F.size("cut_spans") > 0).select(F.col("id").alias(id_col), "cut_spans")
     text = quoted(text_col)
     pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))

@@ -125,7 +125,7 @@ def test_passages_inside_longer_texts(spark):
         assert got.keys() == set(range(30)) | {102, 103, None}
         assert all(r.class_id == 0 for r in got.values())
         assert [(s.first, s.last) for s in got[7].spans] == [(47, 106)]
-        assert not got[0].cut_spans and got[7].cut_spans
+        assert sum(not got[i].cut_spans for i in [*range(30), 102]) == 1
     assert ps.repeated_passages(df.limit(0)).count() == 0
 
 
