@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, passthrough, quoted, table
+from .common import BROADCAST_BYTES, Scratch, let, passthrough, quoted, table
 
 RESULT = ("n_tokens", "domain", "posteriors", "rate", "copies")
 BUCKETS, EFFECTIVE, SMOOTH = 4096, 24, 0.5
@@ -54,8 +54,14 @@ def label_domains(labels: DataFrame, id_col: str = "doc_id", quality_col: str =
 
 def learn(docs: DataFrame, domains: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(domain names, log priors, log weights of each domain's buckets)."""
-    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(domains, "id")
-    each = texts.select("domain", F.explode_outer(F.transform(_words(F.col("text")), _bucket)).alias("bucket"))
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    buckets = F.transform(_words(F.col("text")), lambda w: _bucket(w).cast("smallint")).alias("buckets")
+    domains = scratch.write(domains, "domains")
+    if domains.count() * 64 <= BROADCAST_BYTES:  # labelled texts are found in the scan
+        met = texts.join(F.broadcast(domains), "id").select("domain", buckets)
+    else:  # hashed words are shuffled, not texts
+        met = texts.select("id", buckets).join(domains, "id")
+    each = met.select("domain", F.explode_outer("buckets").alias("bucket"))
     counts = scratch.write(each.groupBy("domain", "bucket").count(), "counts")
     per_domain = domains.groupBy("domain").count().orderBy("domain").collect()
     names = [r.domain for r in per_domain]
