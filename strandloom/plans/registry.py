@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,21 +26,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    """
-    SELECT CAST(l_partkey AS BIGINT) AS item,
-           string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) FILTER (WHERE l_returnflag = 'A') AS owned_by,
-           string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) FILTER (WHERE l_returnflag = 'R') AS written_by,
-           string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) FILTER (WHERE l_returnflag = 'N') AS read_by,
-           count(*) FILTER (WHERE l_returnflag = 'A') AS n_migrations
-    FROM lineitem GROUP BY l_partkey"""
-)
-def o01_ownership(spark, sf_dir):
-    from strandloom.operators.aggs import ownership
-
-    edges = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("item"),
-        F.col("l_suppkey").cast("string").alias("actor"),
-        F.col("l_returnflag").alias("channel"),
-    )
-    return ownership(edges, "item", "actor", "channel", {"owned_by": "A", "written_by": "R", "read_by": "N"}, count_of=("n_migrations", "A"))
+# each module registers its queries when it is imported
+from strandloom.plans import graphs, ledger, lookups  # noqa: E402,F401
