@@ -15,7 +15,7 @@ def connect(sf):
 
 def plain(df):
     def text(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or not isinstance(x, (list, tuple)) and pd.isna(x):
             return "null"
         return f"{x:.6g}" if isinstance(x, float) and x != int(x) else str(int(x)) if isinstance(x, float) else str(x)
 
