@@ -2,7 +2,8 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents with
 benchmark passages go, what is left is repeated towards target weights (every document
-stays at least once), and its token ids are written and read back.
+stays at least once), and its token ids are written and read back. A stage's result has
+been written when the next one starts; what it needed on the way is deleted then.
 """
 
 from __future__ import annotations
@@ -19,25 +20,29 @@ TARGETS, TOTAL = {"q1t0": 0.75, "q0t0": 0.25}, 1.25
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    Scratch.release()
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*[quoted(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    Scratch.release()
     return near_dedup.keep_one_each(docs, near_dedup.near_dedup(docs, shingle=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return contamination.remove_documents(judged).select(*[quoted(c) for c in docs.columns])
+    Scratch.release()
+    return contamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    Scratch.release()
     mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, total=TOTAL, at_least=1)
     return mixing.repeat_rows(mixed).select(*[quoted(c) for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    Scratch.release()
     shards = token_files.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.with_starts(token_files.read_documents(shards), shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -55,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", kept=True)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)

@@ -48,11 +48,20 @@ class Scratch:
     """Written tables of one operator call, in the shared folder."""
 
     _roots: dict[int, str] = {}
+    _live: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, kept: bool = False):
         self.spark = spark
         self.path = f"{self.root(spark)}/strandloom/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.clear)
+        if not kept:
+            self._live.append(self)
+
+    @classmethod
+    def release(cls) -> None:
+        """Delete the tables of all earlier operator calls, whose results have been written by now."""
+        while cls._live:
+            cls._live.pop().clear()
 
     @classmethod
     def root(cls, spark: SparkSession) -> str:

@@ -127,6 +127,21 @@ def remove_documents(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("contaminated")).select(*passthrough(judged, RESULT))
 
 
+def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` without hits, as they are.
+
+    Whether a text is hit is a function of the text, so the hit ones are known by a
+    128-bit hash of it and anti-joined: texts are neither copied nor, while the hit
+    ones are few, shuffled.
+    """
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    keyed = docs.withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)})
+    judged = find_contamination(keyed, bench, n, text_col, carry=["__t1", "__t2"], broadcast_bytes=broadcast_bytes)
+    hit = Scratch(docs.sparkSession, "contaminated").write(judged.where("contaminated").select("__t1", "__t2").distinct(), "texts")
+    small = hit.count() * 24 <= broadcast_bytes
+    return keyed.join(F.broadcast(hit) if small else hit, ["__t1", "__t2"], "left_anti").select(*[quoted(c) for c in docs.columns])
+
+
 def remove_spans(judged: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows, with hit words (and what follows each up to the next word) cut from the text."""
     text = F.coalesce(quoted(text_col), F.lit(""))

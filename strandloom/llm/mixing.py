@@ -100,19 +100,20 @@ def with_posteriors(docs: DataFrame, names: list[str], prior: np.ndarray, weight
     return let(_words(quoted(text_col)), posterior)
 
 
-def fit_rates(slim: DataFrame, targets: np.ndarray, scratch: Scratch, total: float = 1.0, tolerance: float = 1e-4, steps: int = 40, hold: int = 8) -> tuple[DataFrame, list[dict]]:
-    """``slim`` (n, p, ...) with ``rate``; and what each step saw.
+def fit_rates(slim: DataFrame, targets: np.ndarray, scratch: Scratch, total: float = 1.0, tolerance: float = 1e-4, steps: int = 40, hold: int = 8) -> tuple[list[list[float]], list[dict]]:
+    """The pushes of all steps, from which ``rate_of`` gives a document's rate; and what each step saw.
 
-    ``targets`` are shares of ``total`` times the present tokens.
+    ``slim``: n, p. ``targets`` are shares of ``total`` times the present tokens.
     """
+    slim = slim.select("n", "p")
     k = len(targets)
     p = [F.get("p", F.lit(j)) for j in range(k)]
     sums = [F.sum(F.col("n") * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
     row = slim.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *sums).first()
     tokens = float(row.n)
-    rated, log = slim.withColumn("rate", F.lit(1.0)), []
+    rated, log, pushes = slim.withColumn("rate", F.lit(1.0)), [], []
     if not tokens or not targets.sum():
-        return rated, log
+        return pushes, log
     overlap = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -127,11 +128,19 @@ def fit_rates(slim: DataFrame, targets: np.ndarray, scratch: Scratch, total: flo
         if np.abs(off).max() <= tolerance:
             break
         push = weight @ off
+        pushes.append([float(x) for x in push])
         slope = sum((p[j] * float(push[j]) for j in range(1, k)), p[0] * float(push[0]))
         rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
         if step % hold == hold - 1:  # short expressions, and nothing to redo after a loss
             rated = scratch.write(rated, f"rates{step}")
-    return rated, log
+    return pushes, log
+
+
+def rate_of(p, pushes: list[list[float]]):
+    """The rate of a document with posteriors ``p``: 1, moved by each push and cut at 0 in turn."""
+    moves = F.from_json(F.lit(json.dumps(pushes)), "array<array<double>>")
+    slope = lambda push: F.aggregate(F.zip_with(p, push, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return F.aggregate(moves, F.lit(1.0), lambda rate, push: F.greatest(F.lit(0.0), rate - slope(push)))
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", total: float = 1.0, at_least: int = 0, carry: list[str] | None = None) -> DataFrame:
@@ -147,7 +156,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col
     kept = [quoted(c) for c in carry if c.casefold() not in taken]
     slim = docs.select(F.struct(*kept).alias("__row"), quoted(id_col).alias("__id"), with_posteriors(docs, names, prior, weights, text_col).alias("__m"))
     slim = scratch.write(slim.select("__row", "__id", F.col("__m.n").alias("n"), F.col("__m.p").alias("p")), "posteriors")
-    rated, _ = fit_rates(slim, np.array([max(0.0, targets.get(d, 0.0)) for d in names]), scratch, total)
+    pushes, _ = fit_rates(slim, np.array([max(0.0, targets.get(d, 0.0)) for d in names]), scratch, total)
+    rated = slim.withColumn("rate", rate_of(F.col("p"), pushes))
     even = F.pmod(F.xxhash64(F.lit("mix"), "__id"), F.lit(1_000_000)) / 1_000_000
     copies = F.greatest(F.floor(F.col("rate") + even), F.lit(at_least)).cast("long")
     best = F.get(F.array(*[F.lit(d) for d in names]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))

@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RESULT = ("score", "predicted")
 ORDER = 6
-PER_CLASS = 4000
+PER_CLASS = 2500
 #: Of a toxic document's words, those that the toxic model draws.
 SHARE = 0.005
 #: Discount of the highest order: what a class shows once counts for little there.

@@ -137,8 +137,8 @@ def test_rates_meet_targets_and_equal_plain_gradient(spark):
 
     slim = spark.createDataFrame([(int(k), [float(x) for x in q]) for k, q in zip(n, p)], "n long, p array<double>")
     target = np.array([0.2, 0.2, 0.6])
-    rated, log = mx.fit_rates(slim, target, Scratch(spark, "t"))
-    got = {(r.n, tuple(r.p)): r.rate for r in rated.collect()}
+    pushes, log = mx.fit_rates(slim, target, Scratch(spark, "t"))
+    got = {(r.n, tuple(r.p)): r.rate for r in slim.withColumn("rate", mx.rate_of(F.col("p"), pushes)).collect()}
     overlap = (p * n[:, None]).T @ p / n.sum()
     w, r = np.linalg.pinv(overlap + 1e-9 * np.eye(3)), np.ones(400)
     for _ in range(len(log) - 1):

@@ -73,6 +73,8 @@ def test_decontamination_odd_rows(spark, limit):
     want = [(12, 10, ["10"], True), (9, 0, [], False), (6, 4, ["11"], True), (0, 0, [], False), (0, 0, [], False), (4, 2, ["14"], True), (2, 2, ["11"], True), (30002, 2, ["11"], True), (1, 0, [], False)]
     assert [got[d] for d in docs] == want
     assert sorted(str(r.text) for r in ct.remove_documents(judged).collect()) == sorted(str(d[1]) for d, w in zip(docs, want) if not w[3])
+    clean = ct.clean_documents(df, bench, broadcast_bytes=limit)
+    assert clean.columns == df.columns and clean.count() == sum(not w[3] for w in want)
     cut = {r.doc_id: r.text for r in ct.remove_spans(judged).where("doc_id IN (3, 6)").collect()}
     assert cut == {3: "a a ", 6: "éa ñb "}
     assert not any(r.contaminated for r in ct.find_contamination(df, bench.limit(0)).collect())

@@ -43,7 +43,7 @@ def test_stages(spark, corpus):
     got = {}
     from strandloom.llm.common import Scratch
 
-    scratch = Scratch(spark, "test-pipeline")
+    scratch = Scratch(spark, "test-pipeline", kept=True)
     for name, stage in cp.STAGES:
         docs = scratch.write(stage(spark, docs, corpus), name)
         got[name] = docs.collect()
