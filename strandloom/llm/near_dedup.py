@@ -28,7 +28,6 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -242,26 +241,68 @@ def _across(grouped: DataFrame, percent: int) -> DataFrame:
     each = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     each = each.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "registers")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        node, root, n, block = (pdf[c].to_numpy() for c in ("node", "root", "n", "own"))
-        regs = np.frombuffer(b"".join(pdf["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        last = np.searchsorted(n * percent, n * 100, side="right")
-        a, b = [], []
-        for k in range(len(node)):
-            cut = slice(k + 1, last[k])
-            ok = root[cut] != root[k]
-            if two:
-                ok &= block[cut] != block[k]
-            ok = np.flatnonzero(ok) + k + 1
-            if len(ok):
-                ok = ok[promising(regs[k], regs[ok], n[k], n[ok], percent)]
-                a.append(np.minimum(node[k], node[ok]))
-                b.append(np.maximum(node[k], node[ok]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, dtype=np.int64), "b": np.concatenate(b) if b else np.zeros(0, dtype=np.int64)})
-
-    return each.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    names = ["band", "i", "j", "own", "node", "root", "n"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def found(rows: dict[str, np.ndarray]):
+        regs = rows["registers"]
+        for left, right in pairs_within(np.stack([rows["band"], rows["i"], rows["j"]])):
+            n, two = rows["n"], rows["i"][left] != rows["j"][left]
+            ok = (rows["root"][left] != rows["root"][right]) & (~two | (rows["own"][left] != rows["own"][right]))
+            ok &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+            left, right = left[ok], right[ok]
+            for at in range(0, len(left), 20_000):
+                x, y = left[at : at + 20_000], right[at : at + 20_000]
+                ok = promising(regs[x], regs[y], n[x], n[y], percent)
+                p, q = rows["node"][x[ok]], rows["node"][y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
+
+    def compare(batches):
+        for rows in whole_groups(batches, names, ["band", "i", "j"], "registers", np.uint16, REGISTERS):
+            yield from found(rows)
+
+    dealt = each.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.select(*names, "registers").mapInArrow(compare, "a long, b long").distinct()
+
+
+def whole_groups(batches, names: list[str], keys: list[str], wide: str, kind, width: int):
+    """Column arrays of sorted rows such that no group of equal keys is cut; at most a batch and a group at once."""
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = {c: b.column(c).to_numpy() for c in names}
+        flat = b.column(wide)
+        rows[wide] = np.frombuffer(b"".join(flat.to_pylist()), dtype=kind).reshape(-1, width) if pa.types.is_binary(flat.type) else flat.flatten().to_numpy().reshape(-1, width)
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        last = np.ones(len(rows[wide]), dtype=bool)
+        for k in keys:
+            last &= rows[k] == rows[k][-1]
+        cut = int(np.argmax(last))  # sorted: the last group is one stretch at the end
+        if cut:
+            yield {c: v[:cut] for c, v in rows.items()}
+        held = {c: v[cut:] for c, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def pairs_within(keys: np.ndarray, most: int = 1_000_000):
+    """(left, right) positions of all pairs of rows with equal keys, neighbours in order, about ``most`` at a time."""
+    size = keys.shape[1]
+    ends = np.flatnonzero(np.append((keys[:, 1:] != keys[:, :-1]).any(axis=0), True))
+    after = ends[np.searchsorted(ends, np.arange(size))] - np.arange(size)
+    total = np.cumsum(after)
+    start = 0
+    while start < size:
+        before = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + most, side="right")))
+        n = after[start:stop]
+        left = np.repeat(np.arange(start, stop), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        if len(left):
+            yield left, right
+        start = stop
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
