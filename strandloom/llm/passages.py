@@ -28,14 +28,13 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, quoted, table
-from .near_dedup import _mixed, components, sequence_hashes
+from .near_dedup import _mixed, components, pairs_within, sequence_hashes, whole_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -184,30 +183,49 @@ def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> D
     each = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "anchor", "around")
     need = -(-2 * percent * least // (100 + percent))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", kind="stable")
-        row, anchor, block = (pdf[c].to_numpy() for c in ("row", "anchor", "own"))
-        text = np.stack(pdf["around"].to_numpy())
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    names = ["key", "i", "j", "own", "row", "anchor"]
+    columns = ("hub", "row", "h0", "h1", "r0", "r1")
+    schema = pa.schema([(c, pa.int64() if c in ("hub", "row") else pa.int32()) for c in columns])
+
+    def found(rows: dict[str, np.ndarray]):
+        row, anchor, text = rows["row"], rows["anchor"], rows["around"]
         root = np.arange(len(row))
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         out = []
-        for k in range(len(row) - 1):
-            equal = (text[k + 1 :] == text[k]) & (text[k] != 0)
-            total = np.concatenate([np.zeros((len(equal), 1), dtype=np.int32), np.cumsum(equal, axis=1, dtype=np.int32)], axis=1)
-            good = total[:, least:] - total[:, :-least] >= need
-            ok = good.any(axis=1) & (row[k + 1 :] != row[k])
-            if two:
-                ok &= block[k + 1 :] != block[k]
-            for m in np.flatnonzero(ok):
-                if root[k] != root[k + 1 + m]:
-                    root[root == root[k + 1 + m]] = root[k]
-                    starts = np.flatnonzero(good[m])
-                    at = np.flatnonzero(equal[m, starts[0] : starts[-1] + least]) + starts[0] - side
-                    lo, hi = int(at[0]), int(at[-1])
-                    out.append((row[k], row[k + 1 + m], anchor[k] + lo, anchor[k] + hi, anchor[k + 1 + m] + lo, anchor[k + 1 + m] + hi))
-        return pd.DataFrame(out, columns=["hub", "row", "h0", "h1", "r0", "r1"]) if out else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("hub", "row", "h0", "h1", "r0", "r1")})
-
-    return each.groupBy("key", "i", "j").applyInPandas(compare, "hub long, row long, h0 int, h1 int, r0 int, r1 int")
+        for left, right in pairs_within(np.stack([rows["key"], rows["i"], rows["j"]])):
+            two = rows["i"][left] != rows["j"][left]
+            ok = (row[left] != row[right]) & (~two | (rows["own"][left] != rows["own"][right]))
+            left, right = left[ok], right[ok]
+            for at in range(0, len(left), 10_000):
+                x, y = left[at : at + 10_000], right[at : at + 10_000]
+                equal = (text[x] == text[y]) & (text[x] != 0)
+                total = np.zeros((len(x), equal.shape[1] + 1), dtype=np.int16)
+                np.cumsum(equal, axis=1, dtype=np.int16, out=total[:, 1:])
+                good = total[:, least:] - total[:, :-least] >= need
+                for m in np.flatnonzero(good.any(axis=1)):
+                    a, b = top(x[m]), top(y[m])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        starts = np.flatnonzero(good[m])
+                        spot = np.flatnonzero(equal[m, starts[0] : starts[-1] + least]) + starts[0] - side
+                        lo, hi = int(spot[0]), int(spot[-1])
+                        p, q = (x[m], y[m]) if row[x[m]] < row[y[m]] else (y[m], x[m])
+                        out.append((row[p], row[q], anchor[p] + lo, anchor[p] + hi, anchor[q] + lo, anchor[q] + hi))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    def compare(batches):
+        for rows in whole_groups(batches, names, ["key", "i", "j"], "around", np.int64, 2 * side + 1):
+            yield from found(rows)
+
+    dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select(*names, "around").mapInArrow(compare, "hub long, row long, h0 int, h1 int, r0 int, r1 int")
 
 
 def _merged(spans):
