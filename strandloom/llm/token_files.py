@@ -23,7 +23,6 @@ gives no shards.
 
 from __future__ import annotations
 
-import itertools
 import os
 import struct
 import sys
@@ -42,11 +41,11 @@ from .common import BROADCAST_BYTES, Scratch, quoted, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"RPG1"
-SHARD_TOKENS = 3_000_000
-WORD_ROUNDS, TEXT_ROUNDS = 5, 2
+SHARD_TOKENS = 6_000_000
+WORD_ROUNDS, TEXT_ROUNDS = 6, 3
 MIN_COUNT, MAX_NEW = 8, 8192
 #: Distinct words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 SHARDS = "shard int, part int, n_tokens long, doc_ids array<bigint>, payload binary"
 #: Fixed value: marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?"
@@ -82,49 +81,53 @@ def _encode_words(path: str, words: list[str]) -> None:
         part = letters[start : start + 20_000]
         groups = [part[i : i + 200] for i in range(0, len(part), 200)]
         for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            got = e.ids
-            ends = np.flatnonzero(kept.closes[got])
+            got = np.array(e.ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(kept.closes[got]) + 1)
             if len(ends) != len(group):
                 alone += group
                 continue
-            at = 0
+            packed, at = got.tobytes(), 0
             for w, end in zip(group, ends.tolist()):
-                kept.ids[w] = got[at : end + 1]
-                at = end + 1
+                kept.ids[w] = packed[at:end]
+                at = end
     for start in range(0, len(alone), 20_000):
         part = alone[start : start + 20_000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            kept.ids[w] = e.ids
+            kept.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A word as the tokenizer splits it at the least: letters, and marks after them.
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words as the tokenizer splits them at the least: what is before a last mark, and the mark or nothing.
 
     A-Z are lower-cased as the tokenizer does itself, unless a special token's opening
-    mark is in the word, and marks are only cut off right after a letter.
+    is among the words; a mark is only cut off right after a letter.
     """
-    if "<|" in word or "'" in word:
-        return word, ""
-    if word.isascii():
-        word = word.lower()
-    body = word.rstrip(MARKS)
-    return (body, word[len(body) :]) if body and body[-1].isalpha() else (word, "")
+    special = pc.match_substring(words, "<|")
+    low = pc.if_else(special, words, pc.ascii_lower(words))
+    body = pc.utf8_slice_codeunits(low, 0, -1)
+    mark = pc.utf8_slice_codeunits(low, -1, 1 << 30)
+    cut = pc.and_(pc.is_in(mark, pa.array(list(MARKS))), pc.utf8_is_alpha(pc.utf8_slice_codeunits(body, -1, 1 << 30)))
+    cut = pc.and_not(cut, pc.ends_with(body, "\u0130"))  # its lower case ends in a mark of its own
+    cut = pc.and_not(cut, pc.or_(special, pc.match_substring(low, "'")))
+    return pc.if_else(cut, body, low), pc.if_else(cut, mark, "")
 
 
-def _encode_distinct(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encode_distinct(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids one after another) of distinct words."""
     ids = _kept().ids
-    parts = [_parts(w) for w in words]
-    missing = {p for both in parts for p in both if p}.difference(ids)
+    both = pa.concat_arrays(_parts(words)).dictionary_encode()
+    pieces, at = both.dictionary.to_pylist(), both.indices.to_numpy().reshape(2, -1).T.reshape(-1)
+    missing = [p for p in pieces if p not in ids]
     if missing:
         if len(ids) + len(missing) > CACHE:
             ids.clear()
-            missing = {p for both in parts for p in both if p}
-        _encode_words(path, sorted(missing))
-    ids[""] = []  # white space at a text's end
-    lists = [ids[a] + ids[b] if b else ids[a] for a, b in parts]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return sizes, np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum()))
+            missing = pieces
+        _encode_words(path, missing)
+    ids[""] = b""  # no mark, or white space at a text's end
+    packed = list(map(ids.__getitem__, pieces))
+    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+    flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
+    return sizes[at].reshape(-1, 2).sum(axis=1), _expand(flat, np.cumsum(sizes) - sizes, sizes, at)
 
 
 def _expand(table_of: np.ndarray, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -147,13 +150,18 @@ class Grammar:
         """One round over a sequence; ``closed[i]`` forbids a pair of i and i + 1. None: no pair is frequent."""
         if len(seq) < 2:
             return None
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
         open_at = np.flatnonzero(~closed[:-1])
+        keys = (seq[open_at].astype(np.uint64) << np.uint64(32)) | seq[open_at + 1].astype(np.uint64)
+        weights = None if weight is None else weight[open_at]
+        # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
+        bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        often = np.bincount(bucket, weights, 1 << 20)[bucket] >= MIN_COUNT
+        open_at, keys = open_at[often], keys[often]
         if not len(open_at):
             return None
-        coded = pa.array(keys[open_at]).dictionary_encode()
+        coded = pa.array(keys).dictionary_encode()
         found, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        count = np.bincount(inverse, None if weight is None else weight[open_at], len(found))
+        count = np.bincount(inverse, None if weights is None else weights[often], len(found))
         if len(found) > MAX_NEW:
             least = np.partition(count, len(found) - MAX_NEW)[len(found) - MAX_NEW]
             count = np.where(count >= least, count, 0)
@@ -164,7 +172,7 @@ class Grammar:
         here[open_at + 1] = count[inverse]
         # of overlapping pairs the more frequent goes first, of equal ones the left
         taken = np.flatnonzero((here[1:-1] > here[:-2]) & (here[1:-1] >= here[2:]))
-        which, rule = np.unique(keys[taken], return_inverse=True)
+        which, rule = np.unique((seq[taken].astype(np.uint64) << np.uint64(32)) | seq[taken + 1].astype(np.uint64), return_inverse=True)
         self.rules.append(np.stack([which >> np.uint64(32), which & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         out = seq.copy()
         out[taken] = self.first + self.size + rule
@@ -208,7 +216,7 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
         stays = ~empty[flat]
         ends = np.append(0, np.cumsum(stays))[ends]
         flat = flat[stays]
-    word_sizes, seq = _encode_distinct(path, coded.dictionary.to_pylist())
+    word_sizes, seq = _encode_distinct(path, coded.dictionary)
     # word 0 is the end of a document, one symbol of its own
     sizes, seq = np.append(1, word_sizes), np.append(vocabulary, seq)
     word_ends = ends + np.arange(1, len(ends) + 1)
