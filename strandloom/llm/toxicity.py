@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RESULT = ("score", "predicted")
 ORDER = 6
-PER_CLASS = 2500
+PER_CLASS = 4000
 #: Of a toxic document's words, those that the toxic model draws.
 SHARE = 0.005
 #: Discount of the highest order: what a class shows once counts for little there.
@@ -81,8 +81,12 @@ def _discount(counts: np.ndarray) -> float:
 
 def fit(vocabulary: list[bytes], ordinary: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
     """Tables of log ratios: of each seen n-gram, and of each seen context for what is unseen after it."""
-    grams, word_of = _grams(vocabulary)
-    keys, counts = _totals(grams, [ordinary[word_of], toxic[word_of]])
+    parts = []
+    for at in range(0, len(vocabulary), 50_000):  # the whole vocabulary's n-grams at once would not fit a small driver
+        grams, word_of = _grams(vocabulary[at : at + 50_000])
+        parts.append(_totals(grams, [ordinary[at + word_of], toxic[at + word_of]]))
+    keys, counts = _totals(np.concatenate([k for k, _ in parts]), [np.concatenate([c[i] for _, c in parts]) for i in (0, 1)])
+    del parts
     # shared orders, from the lowest up: continuation counts are numbers of distinct left neighbours
     mask = [np.uint64((1 << (8 * n)) - 1) for n in range(ORDER + 1)]
     distinct = {ORDER: keys}
