@@ -44,8 +44,8 @@ REGISTERS = ROWS * BANDS
 EMPTY = 0xFFFF
 #: Fixed value of the published collision estimate for equal-sized sets.
 COLLISION = 0.169919487159739093975315012348
-#: An estimate this many standard deviations too low is never met in practice (under 1 in 100,000).
-SLACK = 4.3
+#: An estimate this many standard deviations too low is never met in practice (under 1 in a million).
+SLACK = 5
 BLOCK = 512
 CACHE = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
