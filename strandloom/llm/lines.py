@@ -92,8 +92,8 @@ class LineRuns:
             small = frequent.count() * 32 <= broadcast_bytes
             hits = at.join(F.broadcast(frequent) if small else frequent, ["h1", "h2"])
             gone = self.scratch.write(hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("drop_at")), f"gone{self.made}")
-            widest = gone.agg(F.max(F.size("drop_at"))).first()[0] or 0
-            out = left_join_sized(out, gone, ["t1", "t2"], 48 + 8 * widest, F.col("__id"), broadcast_bytes)
+            # about one decision a text: grows with the corpus, so it is met in a shuffle at every size
+            out = left_join_sized(out, gone, ["t1", "t2"], 48, F.col("__id"), limit=-1)
         lines = F.split("__text", "\n")
         kept = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop_at")), lambda i: F.get(x, i)))
         whole = F.when(F.col("drop_at").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
