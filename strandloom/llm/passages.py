@@ -7,8 +7,8 @@ every stretch between l and r that holds c is at c. Stretches of the least lengt
 thereby grouped: those that start between two neighbouring breaks of all the functions'
 windows have one signature, the tuple of their minima, and are kept as one interval.
 Intervals of different documents with equal signatures agree in every hash function;
-such pairs are verified on the shingles themselves (similarity of at least ``percent``)
-and followed along their diagonal as far as the similarity holds.
+such pairs are verified on the shingles themselves (similarity of at least ``percent``),
+at every start that both intervals have, and followed along their diagonal as far as the similarity holds.
 
 Documents with equal texts are one. In a signature's group every interval is verified
 against the group's first document only. Those that fail are compared with each other
@@ -26,6 +26,7 @@ table returns none. ``class_id`` is the smallest id connected through passages.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -81,21 +82,43 @@ def signature_intervals(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     return key.view(np.int64), first, last, anchor
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    a, b = np.unique(a), np.unique(b)
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
+def alike(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[int]:
+    """Offsets at which the stretches of ``least`` shingles of both, as sets, have the similarity."""
+    a, b = a.tolist(), b.tolist()
+    left, right = Counter(a[:least]), Counter(b[:least])
+    shared = len(left.keys() & right.keys())
+    found = []
+    for k in range(min(len(a), len(b)) - least + 1):
+        if k:
+            for mine, its, gone, new in ((left, right, a[k - 1], a[k - 1 + least]), (right, left, b[k - 1], b[k - 1 + least])):
+                if new not in mine:
+                    shared += new in its
+                    mine[new] = 0
+                mine[new] += 1
+                mine[gone] -= 1
+                if not mine[gone]:
+                    del mine[gone]
+                    shared -= gone in its
+        if 100 * shared >= percent * (len(left) + len(right) - shared):
+            found.append(k)
+    return found
 
 
 def verify(a: np.ndarray, b: np.ndarray, matches: list[tuple], least: int, percent: int) -> list[tuple]:
-    """Per match (a first, a last, a anchor, b first, b last, b anchor): whether it holds, and its first and last shingle on each side (both ends are equal there)."""
+    """Per match (a first, a last, a anchor, b first, b last, b anchor): whether it holds, and its first and last shingle on each side (both ends are in the other side's stretch).
+
+    Every start that both intervals have at one distance from their anchors is tested;
+    where there is none, the two starts that come nearest to it.
+    """
     need = -(-2 * percent * least // (100 + percent))
     runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     out = []
     for af, al, ac, bf, bl, bc in matches:
         lo, hi = max(af - ac, bf - bc), min(al - ac, bl - bc)
-        sa, sb = (ac + lo, bc + lo) if lo <= hi else (af, bf)
-        if not similar(a[sa : sa + least], b[sb : sb + least], percent):
+        sa, sb = (ac + lo, bc + lo) if lo <= hi else (af, bl) if af - ac > bl - bc else (al, bf)
+        long = max(0, hi - lo) + least
+        starts = np.array(alike(a[sa : sa + long], b[sb : sb + long], least, percent), dtype=np.int64) + sb
+        if not len(starts):
             out.append((False, 0, 0, 0, 0))
             continue
         d = sa - sb
@@ -108,13 +131,17 @@ def verify(a: np.ndarray, b: np.ndarray, matches: list[tuple], least: int, perce
             edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
             runs[d] = edge.reshape(-1, 2) + b0, np.flatnonzero(same) + b0
         edges, at = runs[d]
-        k = np.searchsorted(edges[:, 0], sb, side="right") - 1
-        if k >= 0 and sb < edges[k, 1]:
-            b0 = int(at[np.searchsorted(at, edges[k, 0])])
-            b1 = int(at[np.searchsorted(at, edges[k, 1] - 1 + least) - 1])
-        else:
-            b0, b1 = sb, sb + least - 1
-        out.append((True, b0 + d, b1 + d, b0, b1))
+        k = np.searchsorted(edges[:, 0], starts, side="right") - 1
+        k = k[(k >= 0) & (starts < edges[k, 1])] if len(edges) else k[:0]
+        if len(k):
+            b0 = int(at[np.searchsorted(at, edges[k[0], 0])])
+            b1 = int(at[np.searchsorted(at, edges[k[-1], 1] - 1 + least) - 1])
+            out.append((True, b0 + d, b1 + d, b0, b1))
+        else:  # words were put in or taken out: the stretches, from the first to the last shingle that both have
+            b0, b1 = int(starts[0]), int(starts[-1]) + least
+            x, y = a[b0 + d : b1 + d], b[b0:b1]
+            p, q = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+            out.append((True, b0 + d + int(p[0]), b0 + d + int(p[-1]), b0 + int(q[0]), b0 + int(q[-1])))
     return out
 
 

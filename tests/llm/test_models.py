@@ -129,6 +129,31 @@ def test_passages_inside_longer_texts(spark):
     assert ps.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_few_words_in_two_documents(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    rows, where = [], {}
+    for k in range(300):
+        shared = text(50 + k % 11)
+        for i in (2 * k, 2 * k + 1):
+            at = int(rng.integers(20, 120))
+            rows.append((i, " ".join(text(at) + shared + text(60))))
+            where[i] = (at, at + len(shared) - 1)
+    got = {r.id: r for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == where.keys()
+    assert all([tuple(s) for s in got[i].spans] == [where[i]] and got[i].class_id == i - i % 2 for i in where)
+
+
+def test_stretches_alike_equal_sets():
+    rng = np.random.default_rng(12)
+    for values in (6, 60):
+        a = rng.integers(0, values, 90)
+        b = np.where(rng.random(90) < 0.9, a, rng.integers(0, values, 90))
+        sets = [(set(a[k : k + 20]), set(b[k : k + 20])) for k in range(71)]
+        for percent in (60, 80):
+            assert ps.alike(a, b, 20, percent) == [k for k, (x, y) in enumerate(sets) if 100 * len(x & y) >= percent * len(x | y)]
+
+
 def test_rates_meet_targets_and_equal_plain_gradient(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.4, 0.4, 0.2], 400)
