@@ -1,21 +1,21 @@
 """Repeated passages by compact windows over min-hashes.
 
-A document is its sequence of shingles of ``SHINGLE`` words. For each of ``HASHES``
+A document is its sequence of shingles of ``SHINGLE`` words. For each of several
 hash functions a Cartesian tree over the hashed shingles, cut where a range is shorter
 than the least passage, gives the compact windows: (l, c, r) says that the minimum of
 every stretch between l and r that holds c is at c. Stretches of the least length are
-thereby grouped: those that start between two neighbouring breaks of all the functions'
-windows have one signature, the tuple of their minima, and are kept as one interval.
-Intervals of different documents with equal signatures agree in every hash function;
-such pairs are verified on the shingles themselves (similarity of at least ``percent``),
+thereby grouped: those that start between two neighbouring breaks of the windows of a
+signature's ``HASHES`` functions have one signature, the tuple of their minima, and are
+kept as one interval. There are ``SIGNATURES`` signatures, each of functions of its own;
+intervals of different documents that agree in any of them are candidates. Such pairs are verified on the shingles themselves (similarity of at least ``percent``),
 at every start that both intervals have, and followed along their diagonal as far as the similarity holds.
 
 Documents with equal texts are one. In a signature's group every interval is verified
 against the group's first document only. Those that fail are compared with each other
 in blocks, by the shingles around the anchor that their signature shares; a block hands
 on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
-words are always found; a stretch at the very threshold agrees in all functions with
-probability 0.8**4.
+words are always found; a stretch at the very threshold agrees in no signature with
+probability (1 - 0.8**2)**4 = 0.017.
 
 Defined results: null texts and texts under ``min_words`` words have no passages.
 Repeats inside one document are not counted. Rows that repeat an id with its text share
@@ -39,9 +39,9 @@ from .near_dedup import _mixed, components, pairs_within, sequence_hashes, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHINGLE, HASHES, MIN_WORDS, PERCENT = 5, 4, 50, 80
+SHINGLE, SIGNATURES, HASHES, MIN_WORDS, PERCENT = 5, 4, 2, 50, 80
 BLOCK = 512
-_SEEDS = [0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89]
+_SEEDS = _mixed(np.arange(1, SIGNATURES * HASHES + 1, dtype=np.uint64) * np.uint64(0x243F6A8885A308D3))
 
 
 def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,24 +62,41 @@ def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return both[:, 0], both[:, 1]
 
 
-def signature_intervals(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, first start, last start, anchor) of a sequence's intervals of stretches."""
-    if len(seq) < least:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    windows = []
-    for seed in _SEEDS[:HASHES]:
-        values = _mixed(seq ^ np.uint64(seed))
-        starts, at = compact_windows(values, least)
-        windows.append((starts, at, values[at]))
-    first = np.unique(np.concatenate([w[0] for w in windows]))
-    key = np.zeros(len(first), dtype=np.uint64)
-    anchor = None
-    for starts, at, minima in windows:
-        k = np.searchsorted(starts, first, side="right") - 1
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + minima[k])
-        anchor = at[k] if anchor is None else anchor
-    last = np.append(first[1:] - 1, len(seq) - least)
-    return key.view(np.int64), first, last, anchor
+def sliding_minima(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum, its first position) of every stretch of ``least`` values; what ``compact_windows`` finds, for many texts in a row."""
+    low, at, wide = values, np.arange(len(values)), 1
+    while wide < least:
+        step = min(wide, least - wide)
+        after = low[step:] < low[:-step]
+        low, at, wide = np.where(after, low[step:], low[:-step]), np.where(after, at[step:], at[:-step]), wide + step
+    return low, at
+
+
+def signature_intervals(seqs: list[np.ndarray], least: int) -> tuple[np.ndarray, ...]:
+    """(number of the sequence, signature, first start, last start, anchor) of the intervals of stretches of each of the sequences.
+
+    Each of ``SIGNATURES`` signatures has ``HASHES`` functions of its own.
+    """
+    sizes = np.array([len(s) for s in seqs], dtype=np.int64)
+    whole = np.concatenate([*seqs, np.zeros(0, dtype=np.uint64)])
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(seqs)), sizes)[: max(0, len(whole) - least + 1)]
+    starts = np.flatnonzero(np.arange(len(of)) + least <= (begin + sizes)[of])  # stretches inside one text
+    parts = []
+    for n in range(SIGNATURES if len(starts) else 0):
+        key, anchor = np.full(len(starts), n + 1, dtype=np.uint64), None
+        new = np.append(True, of[starts[1:]] != of[starts[:-1]])
+        for seed in _SEEDS[n * HASHES : (n + 1) * HASHES]:
+            low, at = sliding_minima(_mixed(whole ^ seed), least)
+            low, at = low[starts], at[starts]
+            new[1:] |= at[1:] != at[:-1]
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
+            anchor = at if anchor is None else anchor
+        i = np.flatnonzero(new)
+        j = np.append(i[1:], len(starts)) - 1
+        text = of[starts[i]]
+        parts.append((text, key[i].view(np.int64), starts[i] - begin[text], starts[j] - begin[text], anchor[i] - begin[text]))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[int]:
@@ -154,10 +171,8 @@ def _intervals(texts: DataFrame, least: int) -> DataFrame:
         for b in batches:
             text, row = b.column("text").cast(pa.large_binary()), b.column("row").to_numpy()
             for start in range(0, b.num_rows, 128):
-                parts = [signature_intervals(sequence_hashes(t.as_py(), SHINGLE, cache), least) for t in text.slice(start, 128)]
-                rows = np.repeat(row[start : start + 128], [len(p[0]) for p in parts])
-                key, first, last, anchor = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], schema=schema)
+                of, key, first, last, anchor = signature_intervals([sequence_hashes(t.as_py(), SHINGLE, cache) for t in text.slice(start, 128)], least)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[start : start + 128][of]), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], schema=schema)
 
     return texts.select("row", "text").mapInArrow(make, "key long, row long, first int, last int, anchor int")
 

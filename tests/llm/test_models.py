@@ -144,6 +144,27 @@ def test_passages_of_few_words_in_two_documents(spark):
     assert all([tuple(s) for s in got[i].spans] == [where[i]] and got[i].class_id == i - i % 2 for i in where)
 
 
+def test_signatures_of_stretches_and_their_recall():
+    rng = np.random.default_rng(13)
+    least, found, near = 46, 0, 0
+    keys = lambda seq: set(ps.signature_intervals([seq], least)[1].tolist())
+    seqs = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (200, 0, 46, 45, 300)] + [rng.integers(0, 30, 200).astype(np.uint64)]
+    of, key, first, last, anchor = ps.signature_intervals(seqs, least)
+    for k, seq in enumerate(seqs):  # each start has each signature once; an interval's stretches have its minima
+        n = max(0, len(seq) - least + 1)
+        assert sorted(x for f, e in zip(first[of == k], last[of == k]) for x in range(f, e + 1)) == sorted([*range(n)] * ps.SIGNATURES)
+        for s, f, e, c in zip(key[of == k], first[of == k], last[of == k], anchor[of == k]):
+            assert all(s in keys(seq[x : x + least]) and x <= c < x + least for x in (f, e))
+    for _ in range(1000):  # brute force: pairs of stretches that are alike at 0.8 to 0.84
+        a = rng.integers(0, 2**63, least).astype(np.uint64)
+        b = a.copy()
+        b[int(rng.integers(0, least - 4)) :][:5] = rng.integers(0, 2**63, 5)
+        assert ps.alike(a, b, least, 80) == [0] and not ps.alike(a, b, least, 84)
+        near += 1
+        found += bool(keys(a) & keys(b))
+    assert found >= 0.97 * near
+
+
 def test_stretches_alike_equal_sets():
     rng = np.random.default_rng(12)
     for values in (6, 60):
