@@ -11,9 +11,9 @@ intervals of different documents that agree in any of them are candidates. Such
 at every start that both intervals have, and followed along their diagonal as far as the similarity holds.
 
 Documents with equal texts are one. In a signature's group every interval is verified
-against the group's first document only. Those that fail are compared with each other
-in blocks, by the shingles around the anchor that their signature shares; a block hands
-on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
+against the group's first document only. Those that fail are compared with all other
+members in blocks, by the shingles around the anchor that their signature shares; a block
+hands on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
 words are always found; a stretch at the very threshold agrees in no signature with
 probability (1 - 0.8**2)**4 = 0.017.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, quoted, table
-from .near_dedup import _mixed, components, pairs_within, sequence_hashes, whole_groups
+from .near_dedup import _mixed, components, sequence_hashes, whole_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -211,54 +211,76 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int)
 
 
 def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
-    """Verified (hub, row, spans) among the members of a group that its first document does not explain.
+    """Verified (hub, row, spans) of members that their group's first document does not explain, with all its other members.
 
-    ``rest``: key, size, row, anchor. A group of g members is cut into ceil(g / BLOCK)
-    blocks and a task holds two: each member with the ``least - 1`` shingles on either
-    side of its anchor. Along the shared anchor every pair's best stretch is counted.
+    ``rest``: key, row, anchor, ok (explained by the first document), and how many members
+    are not and are in all (failed, size). Those that failed are cut into blocks of BLOCK,
+    and so are all; a task holds a block of either, each member with the ``least - 1``
+    shingles on either side of its anchor. Pairs with enough shingles in common are
+    verified as others are, but for those that the block's links connect already.
     """
     side = least - 1
     padded = F.concat(F.array_repeat(F.lit(0).cast("long"), side), "seq", F.array_repeat(F.lit(0).cast("long"), side))
-    around = rest.join(sequences, "row").select("key", "row", "anchor", F.slice(padded, F.col("anchor") + 1, 2 * side + 1).alias("around"), F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    each = around.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "anchor", "around")
-    need = -(-2 * percent * least // (100 + percent))
-
-    names = ["key", "i", "j", "own", "row", "anchor"]
+    around = rest.join(sequences, "row").select("key", "row", "anchor", F.col("ok").cast("int").alias("ok"), F.greatest(F.lit(0), side - F.col("anchor")).alias("before"), F.least(F.lit(2 * side + 1), side - F.col("anchor") + F.size("seq")).alias("end"), F.slice(padded, F.col("anchor") + 1, 2 * side + 1).alias("around"), *(F.ceil(F.col(c) / F.lit(BLOCK)).cast("int").alias(c) for c in ("failed", "size")))
+    block = lambda c: F.pmod(F.xxhash64("row", "anchor"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    names = ["key", "i", "j", "left", "row", "anchor", "ok", "before", "end"]
+    lefts = around.where("ok = 0").withColumn("i", block("failed")).withColumn("j", every("size")).withColumn("left", F.lit(1))
+    each = lefts.unionByName(around.withColumn("j", block("size")).withColumn("i", every("failed")).withColumn("left", F.lit(0)))
     columns = ("hub", "row", "h0", "h1", "r0", "r1")
     schema = pa.schema([(c, pa.int64() if c in ("hub", "row") else pa.int32()) for c in columns])
 
     def found(rows: dict[str, np.ndarray]):
-        row, anchor, text = rows["row"], rows["anchor"], rows["around"]
-        root = np.arange(len(row))
-
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        order = np.lexsort((-rows["left"], rows["j"], rows["i"], rows["key"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        ids = np.unique(rows["around"], return_inverse=True)[1].reshape(rows["around"].shape)
+        pads = (np.arange(2 * side + 1) < rows["before"][:, None]) | (np.arange(2 * side + 1) >= rows["end"][:, None])
+        held, has = ids.max(initial=0) + 1, np.zeros(ids.max(initial=0) + 2, dtype=bool)
+        ids[pads] = held
+        sorted_ids = np.sort(ids, axis=1)
+        distinct = 1 + (sorted_ids[:, 1:] != sorted_ids[:, :-1]).sum(axis=1) - pads.any(axis=1)
+        # a stretch has at least so many distinct shingles, and two that are alike share a part of them
+        fewest = np.maximum(1, least - ((~pads).sum(axis=1) - distinct))
+        same = np.stack([rows["key"], rows["i"], rows["j"]])
+        edges = np.flatnonzero(np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0)))
         out = []
-        for left, right in pairs_within(np.stack([rows["key"], rows["i"], rows["j"]])):
-            two = rows["i"][left] != rows["j"][left]
-            ok = (row[left] != row[right]) & (~two | (rows["own"][left] != rows["own"][right]))
-            left, right = left[ok], right[ok]
-            for at in range(0, len(left), 10_000):
-                x, y = left[at : at + 10_000], right[at : at + 10_000]
-                equal = (text[x] == text[y]) & (text[x] != 0)
-                total = np.zeros((len(x), equal.shape[1] + 1), dtype=np.int16)
-                np.cumsum(equal, axis=1, dtype=np.int16, out=total[:, 1:])
-                good = total[:, least:] - total[:, :-least] >= need
-                for m in np.flatnonzero(good.any(axis=1)):
-                    a, b = top(x[m]), top(y[m])
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        starts = np.flatnonzero(good[m])
-                        spot = np.flatnonzero(equal[m, starts[0] : starts[-1] + least]) + starts[0] - side
-                        lo, hi = int(spot[0]), int(spot[-1])
-                        p, q = (x[m], y[m]) if row[x[m]] < row[y[m]] else (y[m], x[m])
-                        out.append((row[p], row[q], anchor[p] + lo, anchor[p] + hi, anchor[q] + lo, anchor[q] + hi))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            n_left = int(rows["left"][lo:hi].sum())
+            if not n_left or n_left == hi - lo:
+                continue
+            # members are known by row and anchor on either side; the explained ones are connected
+            first = np.unique(np.stack([rows["row"][lo:hi], rows["anchor"][lo:hi].astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
+            root = np.arange(hi - lo)
+            explained = first[rows["ok"][lo:hi] == 1]
+            root[explained] = explained.min(initial=hi - lo)
+
+            def top(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            others = ids[lo + n_left : hi]
+            for p in range(lo, lo + n_left):
+                has[ids[p]] = True
+                has[held] = False
+                need = percent * (fewest[p] + fewest[lo + n_left : hi]) / (100 + percent)
+                shared = has[others].sum(axis=1)
+                has[ids[p]] = False
+                near = np.flatnonzero((shared >= need) & (rows["row"][lo + n_left : hi] != rows["row"][p])) + lo + n_left
+                for q in near.tolist():
+                    x, y = top(first[p - lo]), top(first[q - lo])
+                    if x == y:
+                        continue
+                    u, v = (p, q) if rows["row"][p] < rows["row"][q] else (q, p)
+                    text = [rows["around"][m, rows["before"][m] : rows["end"][m]] for m in (u, v)]
+                    at = [side - int(rows["before"][m]) for m in (u, v)]
+                    ends = [len(t) - least for t in text]
+                    [(ok, *spans)] = verify(*text, [(0, ends[0], at[0], 0, ends[1], at[1])], least, percent)
+                    if ok:
+                        root[max(x, y)] = min(x, y)
+                        shift = [int(rows["anchor"][m]) - c for m, c in zip((u, v), at)]
+                        out.append((rows["row"][u], rows["row"][v], spans[0] + shift[0], spans[1] + shift[0], spans[2] + shift[1], spans[3] + shift[1]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -316,9 +338,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     match = left.join(hubs, "key").where("row <> hub")
     pairs = match.groupBy("hub", "row").agg(F.collect_list(F.struct("key", "h_first", "h_last", "h_anchor", "first", "last", "anchor")).alias("matches"))
     checked = scratch.write(_verified(pairs, sequences, least, percent), "checked")
-    failed = checked.where("NOT ok").select("key", "row", "first")
-    more = failed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rest = scratch.write(failed.join(more, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"]).select("key", "size", "row", "anchor"), "rest")
+    # members that the hub does not explain meet all others of their group
+    sizes = checked.groupBy("key").agg(F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("size")).where("failed > 0 AND size > 1")
+    rest = checked.join(sizes, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"])
+    rest = scratch.write(rest.select("key", "row", "anchor", "ok", "failed", "size"), "rest")
     links = checked.where("ok").select("hub", "row", "h0", "h1", "r0", "r1").unionByName(_among(rest, sequences, least, percent))
     links = scratch.write(links, "links")
     wide = SHINGLE - 1

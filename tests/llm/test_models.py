@@ -165,6 +165,38 @@ def test_signatures_of_stretches_and_their_recall():
     assert found >= 0.97 * near
 
 
+def test_passages_that_only_another_member_explains(spark):
+    rng = np.random.default_rng(14)
+    word = lambda: f"w{rng.integers(10**7)}"
+    rows = []
+    for k in range(300):  # H and B differ in two places of which A has one each
+        a = [word() for _ in range(60)]
+        h, b = list(a), list(a)
+        h[12] = word()
+        b[46] = word()
+        for i, p in enumerate((h, a, b)):
+            rows.append((3 * k + i, " ".join([word() for _ in range(40)] + p + [word() for _ in range(40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in ps.repeated_passages(df).collect()}
+    want = {}
+    for k in range(300):
+        seqs = [ps.sequence_hashes(t.encode(), ps.SHINGLE, {}) for _, t in rows[3 * k : 3 * k + 3]]
+        assert ps.alike(seqs[0], seqs[1], 46, 80) and ps.alike(seqs[1], seqs[2], 46, 80)
+        want |= {3 * k + i: 3 * k for i in range(3)}
+    lost = want.keys() - got.keys()
+    assert not lost and all(got[i] == want[i] for i in got)
+
+
+def test_members_with_a_word_more_are_compared(spark):
+    rng = np.random.default_rng(15)
+    a = rng.integers(1, 2**40, 48)
+    b = np.concatenate([a[:23], [7], a[23:]])
+    rest = spark.createDataFrame([(1, 10, 10, False, 1, 2), (1, 11, 10, True, 1, 2)], "key long, row long, anchor int, ok boolean, failed long, size long")
+    seqs = spark.createDataFrame([(10, a.tolist()), (11, b.tolist())], "row long, seq array<bigint>")
+    [r] = ps._among(rest, seqs, 46, 80).collect()
+    assert (r.hub, r.row) == (10, 11) and (r.h0, r.r0) == (0, 0) and r.h1 >= 45 and r.r1 >= 45
+
+
 def test_stretches_alike_equal_sets():
     rng = np.random.default_rng(12)
     for values in (6, 60):
