@@ -11,14 +11,15 @@ intervals of different documents that agree in any of them are candidates. Such
 at every start that both intervals have, and followed along their diagonal as far as the similarity holds.
 
 Documents with equal texts are one. In a signature's group every interval is verified
-against the group's first document only. Those that fail are compared with all other
+against the first place of the group's first document only. Those that fail are compared with all other
 members in blocks, by the shingles around the anchor that their signature shares; a block
 hands on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
 words are always found; a stretch at the very threshold agrees in no signature with
 probability (1 - 0.8**2)**4 = 0.017.
 
 Defined results: null texts and texts under ``min_words`` words have no passages.
-Repeats inside one document are not counted. Rows that repeat an id with its text share
+Repeats inside one document alone are not counted; of a passage that another document
+has too, every place is in the spans, and in the first document's ``cut_spans`` none. Rows that repeat an id with its text share
 a class. Only documents with a passage that another has too are returned; an empty
 table returns none. ``class_id`` is the smallest id connected through passages.
 """
@@ -326,30 +327,33 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     groups = intervals.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("key")
     groups = scratch.write(groups, "groups")
     small = groups.count() * 16 <= broadcast_bytes
-    # one interval of a document stands for it in a group
-    left = intervals.join(F.broadcast(groups) if small else groups, "key").groupBy("key", "row").agg(F.min(F.struct("first", "last", "anchor")).alias("at"))
-    left = scratch.write(left.select("key", "row", "at.first", "at.last", "at.anchor"), "members")
+    # a document may hold a passage in many places, each of which is a member
+    left = scratch.write(intervals.join(F.broadcast(groups) if small else groups, "key").select("key", "row", "first", "last", "anchor"), "members")
     scratch.drop("intervals")
     ends = scratch.write(left.select("row").distinct(), "ends")
     sequences = scratch.write(_sequences(numbered, ends, broadcast_bytes), "sequences")
 
     hubs = left.groupBy("key").agg(F.min(F.struct("row", "first", "last", "anchor")).alias("h"))
     hubs = hubs.select("key", F.col("h.row").alias("hub"), F.col("h.first").alias("h_first"), F.col("h.last").alias("h_last"), F.col("h.anchor").alias("h_anchor"))
-    match = left.join(hubs, "key").where("row <> hub")
+    match = left.join(hubs, "key").where("row <> hub OR first <> h_first")
     pairs = match.groupBy("hub", "row").agg(F.collect_list(F.struct("key", "h_first", "h_last", "h_anchor", "first", "last", "anchor")).alias("matches"))
     checked = scratch.write(_verified(pairs, sequences, least, percent), "checked")
     # members that the hub does not explain meet all others of their group
-    sizes = checked.groupBy("key").agg(F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("size")).where("failed > 0 AND size > 1")
-    rest = checked.join(sizes, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"])
+    met = checked.where("row <> hub")
+    sizes = met.groupBy("key").agg(F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("size")).where("failed > 0 AND size > 1")
+    rest = met.join(sizes, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"])
     rest = scratch.write(rest.select("key", "row", "anchor", "ok", "failed", "size"), "rest")
-    links = checked.where("ok").select("hub", "row", "h0", "h1", "r0", "r1").unionByName(_among(rest, sequences, least, percent))
+    # the hub's other places count where another document has the passage
+    ok = checked.where("ok")
+    ok = ok.where("row <> hub").unionByName(ok.where("row = hub").join(ok.where("row <> hub").select("key").distinct(), "key", "left_semi"))
+    links = ok.select("hub", "row", "h0", "h1", "r0", "r1").unionByName(_among(rest, sequences, least, percent))
     links = scratch.write(links, "links")
     wide = SHINGLE - 1
     sides = links.select(F.col("hub").alias("row"), F.col("row").alias("other"), F.col("h0").alias("first"), (F.col("h1") + wide).alias("last"), F.lit(False).alias("cut")).unionByName(
-        links.select("row", F.col("hub").alias("other"), F.col("r0").alias("first"), (F.col("r1") + wide).alias("last"), F.lit(True).alias("cut"))
+        links.select("row", F.col("hub").alias("other"), F.col("r0").alias("first"), (F.col("r1") + wide).alias("last"), (F.col("row") != F.col("hub")).alias("cut"))
     )
     span = F.struct("first", "last")
-    spans = sides.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set(F.when(F.col("cut"), span))).alias("c"), F.count_distinct("other").alias("n_links"))
+    spans = sides.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set(F.when(F.col("cut"), span))).alias("c"), F.count_distinct(F.when(F.col("other") != F.col("row"), F.col("other"))).alias("n_links"))
     spans = spans.select("row", _merged(F.col("s")).alias("spans"), _merged(F.col("c")).alias("cut_spans"), "n_links")
     roots = components(links.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), scratch, "classes")
     linked = scratch.write(spans.join(roots.withColumnRenamed("node", "row"), "row"), "linked")

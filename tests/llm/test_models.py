@@ -197,6 +197,23 @@ def test_members_with_a_word_more_are_compared(spark):
     assert (r.hub, r.row) == (10, 11) and (r.h0, r.r0) == (0, 0) and r.h1 >= 45 and r.r1 >= 45
 
 
+def test_passages_in_two_places_of_a_document(spark):
+    rng = np.random.default_rng(16)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    shared, alone = text(60), text(60)
+    twice = lambda p: " ".join(text(40) + p + text(30) + p + text(20))
+    rows = [(0, twice(shared)), (1, " ".join(text(10) + shared)), (2, twice(shared)), (3, twice(alone))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ps.repeated_passages(df)
+    got = {r.id: r for r in found.collect()}
+    assert got.keys() == {0, 1, 2}
+    for i in (0, 2):
+        assert [tuple(s) for s in got[i].spans] == [(40, 99), (130, 189)]
+    assert all(r.n_links in (1, 2) for r in got.values())
+    cut = {r.doc_id: r.text for r in ps.cut_passages(df, found).collect()}
+    assert sum(" ".join(shared) in t for t in cut.values()) == 1
+
+
 def test_stretches_alike_equal_sets():
     rng = np.random.default_rng(12)
     for values in (6, 60):
