@@ -8,19 +8,26 @@ share of equal registers, corrected for chance collisions, gives an estimate, an
 pairs more than ``SLACK`` standard deviations under the threshold are dropped. What is left
 is confirmed on full sets.
 
-No step emits all pairs of a group. Documents with one set are one node. In a band's
-group every member is first compared with the group's hub alone, the node that shares
-its bands with most others (in a family of copies, the one that was changed least);
-connected components of the confirmed links follow. Only pairs of one group that are
-then still in different components are compared, in blocks, so no link between
-different texts that share a band is lost. A pair at the very threshold shares no band with
-probability (1 - 0.8**6)**42, about 3e-6.
+No step emits all pairs of a group. Documents with one set are one node. Empty buckets
+borrow from filled ones for the bands (not for the estimate), so that sets of few
+shingles share a band no more easily than others. In a band's group every member is
+first compared with the group's hub alone, the node that shares its bands with most
+others (in a family of copies, the one that was changed least); connected components of
+the confirmed links follow. Where a band's group is still in several components, the
+bands' overlaps make families of nodes; members outside a family's largest component
+meet all others of the family, block against block, and a block hands on the links of a
+spanning forest. So no link between different texts that share a band is lost, rows grow
+with members and not with pairs, and a node's set is made in the scan of the documents
+and sent once per block. A pair at the very threshold shares no band with probability
+(1 - 0.8**6)**42, about 3e-6.
 
 Defined results: null or white text has an empty set and is linked with nothing. Of
 fewer words than ``shingle`` the whole sequence is the one shingle. ``component_id``
 is the smallest id reachable; null ids count only where there is no other. Rows that
-repeat an id are rows of their own. Input columns named like a result column are
-replaced. Sets are compared by 64-bit hashes of shingles.
+repeat an id are rows of their own. Ids are integers; other ids raise an error. Equal
+texts share a node whatever their ids, and ties of hubs go to the smaller node. The
+result has the operator's own columns alone, so names in the input cannot clash. Sets
+are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -46,7 +53,10 @@ EMPTY = 0xFFFF
 COLLISION = 0.169919487159739093975315012348
 #: An estimate this many standard deviations too low is never met in practice (under 1 in a million).
 SLACK = 5
-BLOCK = 512
+#: Nodes, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Families of more nodes are compared band by band; rows then grow with bands instead of blocks.
+FAMILY = 8192
 CACHE = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -138,29 +148,51 @@ def signatures(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> Dat
     return rows.mapInArrow(sign, "id long, t1 long, t2 long, s1 long, s2 long, n long, registers binary")
 
 
+def _ranks() -> np.ndarray:
+    """For each bucket, the order in which it looks at the buckets for a filled one; itself comes first."""
+    at = np.arange(REGISTERS, dtype=np.uint64)
+    drawn = _mixed(at[:, None] * np.uint64(0x9E3779B97F4A7C15) + at[None, :] + np.uint64(1))
+    drawn[at.astype(int), at.astype(int)] = 0
+    return drawn.argsort(axis=1).argsort(axis=1).astype(np.int16)
+
+
+def densified(rows: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Register rows in which empty buckets borrow the first filled one of their own order.
+
+    Two sets agree in a borrowed register with their similarity, as in any other, so a
+    band of a small set is no likelier to be shared than that of a large one.
+    """
+    out = rows.copy()
+    for i in np.flatnonzero((rows == EMPTY).any(axis=1)):
+        empty, filled = np.flatnonzero(rows[i] == EMPTY), np.flatnonzero(rows[i] != EMPTY)
+        if len(filled):
+            out[i, empty] = rows[i, filled[ranks[np.ix_(empty, filled)].argmin(axis=1)]]
+    return out
+
+
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """Rows (band, node, n) of the bands in which a node has any register."""
+    """Rows (band, node, n) of every node's bands."""
     schema = pa.schema([("band", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
     weights = (np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
     def keys(batches):
+        ranks = _ranks()
         for b in batches:
             for start in range(0, b.num_rows, 2048):
                 part = b.slice(start, 2048)
-                regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
+                rows = np.frombuffer(b"".join(part.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+                regs = densified(rows, ranks).reshape(-1, BANDS, ROWS)
                 h = np.repeat(weights, len(regs), axis=0)
                 for r in range(ROWS):
                     h = _mixed(h + regs[:, :, r].astype(np.uint64))
-                full = (regs != EMPTY).any(axis=2)
-                node, n = (np.repeat(part.column(k).to_numpy(), full.sum(axis=1)) for k in ("node", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(h[full].view(np.int64)), pa.array(node), pa.array(n)], schema=schema)
+                node, n = (np.repeat(part.column(k).to_numpy(), BANDS) for k in ("node", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(node), pa.array(n)], schema=schema)
 
     return nodes.select("node", "n", "registers").mapInArrow(keys, "band long, node long, n long")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The promising ones of (a, b, na, nb) pairs."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("registers").alias(f"r{k}"))
+def _estimated(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The promising ones of (a, b, na, nb, salts) pairs of hubs and members; a hot hub's registers go to many tasks."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches):
@@ -171,40 +203,103 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 ok = pa.array(promising(ra, rb, part.column("na").to_numpy(), part.column("nb").to_numpy(), percent))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], schema=schema)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, "a long, b long")
+    hubs = stars.select("a", "salts").distinct().join(nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
+    hubs = hubs.select("a", "ra", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = stars.join(nodes.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    return met.join(hubs, ["a", "salt"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, "a long, b long")
+
 
+def _sets(docs: DataFrame, placed: DataFrame, shingle: int, text_col: str, id_col: str, broadcast_bytes: int) -> DataFrame:
+    """Rows (unit, i, j, left, node, root, hashes) of placed nodes, their sets made in the scan of the documents.
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str, broadcast_bytes: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes' texts, found by the texts' own hashes."""
+    ``placed``: node, rep (hashes and id of the row that stands for it), root, places.
+    """
 
     def make(batches):
         cache: dict[bytes, int] = {}
         for b in batches:
             text = b.column("text").cast(pa.large_binary())
             for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
                 sets = [shingle_set(x.as_py(), shingle, cache).view(np.int64) for x in text.slice(start, 256)]
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(start, 256), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("places"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "places", "hashes"])
 
     text = quoted(text_col)
-    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
-    small = wanted.count() * 48 <= broadcast_bytes
-    found = rows.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"])
-    return found.select("node", "text").mapInArrow(make, "node long, hashes array<bigint>")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, shingle: int, percent: int, text_col: str, broadcast_bytes: int) -> DataFrame:
-    """The (a, b) pairs whose full sets reach the threshold, written."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.write(nodes.select("node", "t1", "t2").join(ends, "node"), f"{name}-wanted")
-    # copies of a text carry the same hashes: one of them is enough
-    sets = _sets(docs, wanted, shingle, text_col, broadcast_bytes).dropDuplicates(["node"])
-    sets = scratch.write(sets, f"{name}-sets")
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("ha", "hb")).cast("long")
-    links = both.where(shared * 100 >= (F.size("ha") + F.size("hb") - shared) * percent).select("a", "b")
-    return scratch.write(links, f"{name}-links")
+    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), quoted(id_col).cast("long").alias("id"), text.alias("text"))
+    size = placed.agg(F.sum(F.size("places") * 24 + 64)).first()[0] or 0
+    wanted = placed.select("node", "root", "places", *(F.col(f"rep.{c}").alias(f"_{c}") for c in ("t1", "t2", "id")))
+    same = (rows["t1"] == wanted["_t1"]) & (rows["t2"] == wanted["_t2"]) & rows["id"].eqNullSafe(wanted["_id"])
+    found = rows.join(F.broadcast(wanted) if size <= broadcast_bytes else wanted, same)
+    made = found.select("node", "root", "places", "text").mapInArrow(make, f"node long, root long, places {placed.schema['places'].dataType.simpleString()}, hashes array<bigint>")
+    return made.select(F.explode("places").alias("p"), "node", "root", "hashes").select("p.unit", "p.i", "p.j", "p.left", "node", "root", "hashes")
+
+
+def _links(sets: DataFrame, percent: int, gated: bool) -> DataFrame:
+    """(a, b) links of each block: a spanning forest of what its left members share with the others.
+
+    ``gated``: whether pairs have to pass the registers' estimate here (those of stars have already).
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        for _, group in sorted_groups(batches, ["unit", "i", "j"]):
+            left = np.concatenate([b.column("left").to_numpy() for b in group]) == 1
+            node, root = (np.concatenate([b.column(c).to_numpy() for b in group]) for c in ("node", "root"))
+            sets = [x.values.to_numpy().view(np.uint64) for b in group for x in b.column("hashes")]
+            if left.any() and not left.all():
+                found = forest(node, root, left, sets, percent, gated)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
+
+    dealt = sets.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def forest(node: np.ndarray, root: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percent: int, gated: bool = True) -> list[tuple[int, int]]:
+    """Confirmed links between left members and others of different roots, none that closes a cycle."""
+    n = np.array([len(s) for s in sets])
+    begin = np.cumsum(n) - n
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    has = np.zeros(len(ids) + 1, dtype=bool)
+    regs = np.stack([registers(s) for s in sets]) if gated else None
+    on_left = np.isin(node, node[left])
+    top, found = root.copy(), []
+    for p in np.flatnonzero(left).tolist():
+        # a pair of left members is met twice: the smaller one's turn counts
+        fits = ~left & (top != top[p]) & (node != node[p]) & (~on_left | (node > node[p]))
+        q = np.flatnonzero(fits & (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])))
+        if gated and len(q):
+            q = q[promising(regs[p], regs[q], n[p], n[q], percent)]
+        if not len(q):
+            continue
+        has[ids[begin[p] : begin[p] + n[p]]] = True
+        ends = np.cumsum(n[q])
+        every = np.arange(int(ends[-1])) + np.repeat(begin[q] - (ends - n[q]), n[q])
+        shared = np.add.reduceat(has[ids[every]].astype(np.int64), ends - n[q])
+        has[ids[begin[p] : begin[p] + n[p]]] = False
+        for x in q[100 * shared >= percent * (n[p] + n[q] - shared)].tolist():
+            if top[x] != top[p]:
+                found.append((int(node[p]), int(node[x])))
+                top[top == top[x]] = top[p]
+    return found
+
+
+def sorted_groups(batches, keys: list[str]):
+    """(key, record batches) of each stretch of rows with equal integer keys; one group and one batch are held at once."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = np.stack([b.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(cols[:, lo].tolist())
+            if key != last and held:
+                yield last, held
+                held = []
+            last = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield last, held
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -221,88 +316,33 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             break
         state, step = now, step + 1
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join has plain exchanges on both sides and a root's many rows can be split
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least{step}")
         large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-most{step}")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = scratch.write(small.where("u <> v").distinct(), f"{name}-{step}")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")
 
 
-def _across(grouped: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs of a group's members with different roots, block against block.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(node, root, places) of members of units, left ones (outside the unit's largest component) against all.
 
-    ``grouped``: band, size, node, root, n, registers. A group of g members is cut into
-    ceil(g / BLOCK) blocks; a task holds two of them.
+    ``members``: unit, node, root, n, each node once in a unit.
     """
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    each = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    each = each.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "registers")
-
-    names = ["band", "i", "j", "own", "node", "root", "n"]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def found(rows: dict[str, np.ndarray]):
-        regs = rows["registers"]
-        for left, right in pairs_within(np.stack([rows["band"], rows["i"], rows["j"]])):
-            n, two = rows["n"], rows["i"][left] != rows["j"][left]
-            ok = (rows["root"][left] != rows["root"][right]) & (~two | (rows["own"][left] != rows["own"][right]))
-            ok &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
-            left, right = left[ok], right[ok]
-            for at in range(0, len(left), 20_000):
-                x, y = left[at : at + 20_000], right[at : at + 20_000]
-                ok = promising(regs[x], regs[y], n[x], n[y], percent)
-                p, q = rows["node"][x[ok]], rows["node"][y[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
-
-    def compare(batches):
-        for rows in whole_groups(batches, names, ["band", "i", "j"], "registers", np.uint16, REGISTERS):
-            yield from found(rows)
-
-    dealt = each.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.select(*names, "registers").mapInArrow(compare, "a long, b long").distinct()
-
-
-def whole_groups(batches, names: list[str], keys: list[str], wide: str, kind, width: int):
-    """Column arrays of sorted rows such that no group of equal keys is cut; at most a batch and a group at once."""
-    held: dict[str, np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = {c: b.column(c).to_numpy() for c in names}
-        flat = b.column(wide)
-        rows[wide] = np.frombuffer(b"".join(flat.to_pylist()), dtype=kind).reshape(-1, width) if pa.types.is_binary(flat.type) else flat.flatten().to_numpy().reshape(-1, width)
-        if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-        last = np.ones(len(rows[wide]), dtype=bool)
-        for k in keys:
-            last &= rows[k] == rows[k][-1]
-        cut = int(np.argmax(last))  # sorted: the last group is one stretch at the end
-        if cut:
-            yield {c: v[:cut] for c, v in rows.items()}
-        held = {c: v[cut:] for c, v in rows.items()}
-    if held is not None:
-        yield held
-
-
-def pairs_within(keys: np.ndarray, most: int = 1_000_000):
-    """(left, right) positions of all pairs of rows with equal keys, neighbours in order, about ``most`` at a time."""
-    size = keys.shape[1]
-    ends = np.flatnonzero(np.append((keys[:, 1:] != keys[:, :-1]).any(axis=0), True))
-    after = ends[np.searchsorted(ends, np.arange(size))] - np.arange(size)
-    total = np.cumsum(after)
-    start = 0
-    while start < size:
-        before = int(total[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, before + most, side="right")))
-        n = after[start:stop]
-        left = np.repeat(np.arange(start, stop), n)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        if len(left):
-            yield left, right
-        start = stop
+    parts = members.groupBy("unit", "root").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    units = parts.groupBy("unit").agg(F.max(F.struct("k", (-F.col("root")).alias("minus"), "w")).alias("most"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count("*").alias("roots"))
+    cuts = lambda k, w: F.ceil(F.greatest(k / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES), F.lit(1.0))).cast("int")
+    units = units.where("roots > 1").select("unit", (-F.col("most.minus")).alias("main"), cuts(F.col("k") - F.col("most.k"), F.col("w") - F.col("most.w")).alias("lefts"), cuts(F.col("k"), F.col("w")).alias("alls"))
+    met = members.join(units, "unit").withColumn("left", F.col("root") != F.col("main"))
+    own = lambda c: F.pmod(F.xxhash64("node", "unit"), F.col(c)).cast("int")
+    place = lambda i, j, left: F.struct(F.col("unit"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("alls") - 1), lambda j: place(own("lefts"), j, 1))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: place(i, own("alls"), 0))
+    places = F.concat(F.when(F.col("left"), as_left).otherwise(F.array().cast("array<struct<unit:bigint,i:int,j:int,left:int>>")), as_right)
+    # a node is in one unit, or in at most as many as it has bands
+    return met.groupBy("node", "root").agg(F.flatten(F.collect_list(places)).alias("places"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -311,8 +351,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: s
     signed = signatures(docs, shingle, text_col, id_col).withColumn("row", F.monotonically_increasing_id())
     signed = scratch.write(signed, "signed")
     filled = signed.where("n > 0")
-    nodes = filled.groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.min(F.struct("t1", "t2")).alias("t"), F.max("n").alias("n"), F.max("registers").alias("registers"))
-    nodes = scratch.write(nodes.select("s1", "s2", "node", "least", "t.t1", "t.t2", "n", "registers"), "nodes")
+    rep = F.min(F.struct("row", "t1", "t2", "id")).alias("rep")
+    nodes = filled.groupBy("s1", "s2").agg(rep, F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("registers").alias("registers"))
+    nodes = scratch.write(nodes.select("s1", "s2", F.col("rep.row").alias("node"), "rep", "least", "copies", "n", "registers"), "nodes")
 
     bands = band_keys(nodes)
     groups = scratch.write(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "groups")
@@ -320,26 +361,48 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: s
     members = scratch.write(bands.join(F.broadcast(groups) if small else groups, "band"), "members")
     shared = members.groupBy("node").agg(F.sum("size").alias("shared"))
     hubs = members.join(shared, "node").groupBy("band").agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"), "n")).alias("hub"))
-    hubs = hubs.select("band", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na"))
+    hubs = scratch.write(hubs.select("band", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na")), "hubs")
     stars = members.join(hubs, "band").where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-    stars = stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).distinct()
-    args = (shingle, percent, text_col, broadcast_bytes)
-    links = confirm(_estimated(stars, nodes, percent), docs, nodes, scratch, "stars", *args)
+    stars = scratch.write(stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).distinct(), "stars")
+    degree = stars.groupBy("a").agg(F.ceil(F.count("*") / F.lit(8 * BLOCK)).cast("int").alias("salts"))
+    likely = scratch.write(_estimated(stars.join(degree, "a"), nodes, percent), "likely")
+
+    # a hub is the left side of its own unit, in as many blocks as its members need
+    of = nodes.select("node", "rep", F.col("node").alias("root"))
+    per_hub = likely.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("alls"))
+    per_hub = scratch.write(per_hub, "per-hub")
+    place = lambda unit, j, left: F.struct(unit.alias("unit"), F.lit(0).alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_hub = per_hub.select(F.col("a").alias("node"), F.transform(F.sequence(F.lit(0), F.col("alls") - 1), lambda j: place(F.col("a"), j, 1)).alias("places"))
+    as_member = likely.join(per_hub, "a").select(F.col("b").alias("node"), F.array(place(F.col("a"), F.pmod(F.xxhash64("b"), F.col("alls")).cast("int"), 0)).alias("places"))
+    places = as_hub.unionByName(as_member).groupBy("node").agg(F.flatten(F.collect_list("places")).alias("places"))
+    placed = scratch.write(of.join(places, "node"), "star-places")
+    args = (shingle, text_col, id_col, broadcast_bytes)
+    links = scratch.write(_links(_sets(docs, placed, *args), percent, gated=False).distinct(), "links")
     roots = components(links, scratch, "first")
 
-    # what the stars could not show: pairs of one group in different components
-    rooted = members.where("size > 2").select("band", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_groups = rooted.join(mixed, "band").join(nodes.select("node", "n", "registers"), "node")
-    found = confirm(_across(open_groups.select("band", "size", "node", "root", "n", "registers"), percent), docs, nodes, scratch, "across", *args)
+    # what the stars could not show: groups in several components, by the families that their bands make
+    rooted = members.where("size > 2").select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = scratch.write(rooted, "rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("band", "first")
+    open_groups = scratch.write(rooted.join(mixed, "band"), "open")
+    families = components(open_groups.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), scratch, "families")
+    families = families.withColumnRenamed("root", "family")
+    large = families.groupBy("family").count().where(F.col("count") > FAMILY).select("family", F.lit(True).alias("large"))
+    unit = F.when(F.col("large"), F.col("band")).otherwise(F.col("family"))
+    within = open_groups.join(families, "node").join(large, "family", "left").select(unit.alias("unit"), "node", "root", "n").distinct()
+    blocks = _blocks(scratch.write(within, "within"))
+    placed = scratch.write(blocks.join(nodes.select("node", "rep"), "node"), "block-places")
+    found = scratch.write(_links(_sets(docs, placed, *args), percent, gated=True).distinct(), "found")
     if not found.isEmpty():
         roots = components(links.unionByName(found), scratch, "second")
 
-    placed = nodes.select("s1", "s2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # only sets of several rows, or with links, need to be looked up
+    placed = nodes.select("s1", "s2", "node", "least", "copies").join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    placed = scratch.write(placed, "placed")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    decided = scratch.write(placed.join(smallest, "root").select("s1", "s2", "component"), "decided")
+    decided = scratch.write(placed.join(smallest, "root").select("s1", "s2", "component", F.lit(True).alias("known")), "decided")
     out = left_join_sized(signed.select("id", "t1", "t2", "s1", "s2", "n", "row"), decided, ["s1", "s2"], 48, F.col("row"), broadcast_bytes)
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
+    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("known"), F.col("component")).otherwise(F.col("id"))
     return out.select("id", "t1", "t2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, quoted, table
-from .near_dedup import _mixed, components, sequence_hashes, whole_groups
+from .near_dedup import _mixed, components, sequence_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,6 +45,28 @@ BLOCK = 512
 _SEEDS = _mixed(np.arange(1, SIGNATURES * HASHES + 1, dtype=np.uint64) * np.uint64(0x243F6A8885A308D3))
 
 
+def whole_groups(batches, names: list[str], keys: list[str], wide: str, kind, width: int):
+    """Column arrays of sorted rows such that no group of equal keys is cut; at most a batch and a group at once."""
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = {c: b.column(c).to_numpy() for c in names}
+        flat = b.column(wide)
+        rows[wide] = np.frombuffer(b"".join(flat.to_pylist()), dtype=kind).reshape(-1, width) if pa.types.is_binary(flat.type) else flat.flatten().to_numpy().reshape(-1, width)
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        last = np.ones(len(rows[wide]), dtype=bool)
+        for k in keys:
+            last &= rows[k] == rows[k][-1]
+        cut = int(np.argmax(last))  # sorted: the last group is one stretch at the end
+        if cut:
+            yield {c: v[:cut] for c, v in rows.items()}
+        held = {c: v[cut:] for c, v in rows.items()}
+    if held is not None:
+        yield held
+
+
 def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first start, position of the minimum) of each compact window of at least ``least`` values.
 
