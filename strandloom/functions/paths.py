@@ -19,7 +19,7 @@ ASSET_PATTERN = r"(?i)\.(png|jpe?g|gif|svg|ico|woff2?|ttf|eot|otf|pdf|jar|zip)$"
 DOC_PATTERN = r"(?i)\.(md|rst|adoc|txt)$"
 #: Folders that a walk does not enter.
 WALK_EXCLUDE = """
-.git .hg .svn .cdp .gradle .idea .vscode .mypy_cache .pytest_cache .ruff_cache
+.git .hg .svn .gradle .idea .vscode .mypy_cache .pytest_cache .ruff_cache
 .tox .venv venv env node_modules bower_components vendor target build out dist
 __pycache__ .next .nuxt .parcel-cache .terraform .serverless coverage htmlcov
 bin obj Pods DerivedData .dart_tool .cargo .stack-work _build deps

@@ -6,10 +6,12 @@ written table in the shared folder, so that a lost executor costs one level.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import paths
@@ -17,26 +19,42 @@ from strandloom.functions import paths
 _TEMPORARY: dict[int, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local master may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _TEMPORARY.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="strandloom-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared checkpoint folder and read again."""
+    """The table written to the shared checkpoint folder and read again; deleted when the driver ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _TEMPORARY.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="strandloom-"))
-    at = f"{base.rstrip('/')}/strandloom/step-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_folder(spark)}/strandloom/step-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
+    atexit.register(_delete, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 100) -> DataFrame:
-    """All (src, dst) with a path of at least one edge, by growing a frontier."""
+def _delete(spark: SparkSession, at: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """All (src, dst) with a path of at least one edge, by growing a frontier until it is empty.
+
+    The result itself has a row for each reachable pair; where only components or layers
+    are wanted, ``scc`` and ``layers`` do without it.
+    """
     base = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     known = frontier = base
-    for _ in range(most):
+    while not frontier.isEmpty():
         step = frontier.join(base.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         frontier = cut(step.join(known, ["a", "b"], "left_anti"))
-        if frontier.isEmpty():
-            break
         known = cut(known.unionByName(frontier))
     return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
@@ -67,11 +85,11 @@ def enumerate_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, src:
     """Simple paths from sources to sinks (each recorded when it crosses a sink, and continued).
 
     Rows (path, hops). With ``most_paths`` the report keeps that many, by hops and then
-    by path, and the flag says whether some are left out.
+    by path; the flag says whether some are left out, or paths go on after ``most_hops``.
     """
     steps = edges.select(src, dst).distinct()
     live = cut(sources.select(F.array(F.col(sources.columns[0])).alias("path")).distinct())
-    found = None
+    found, longer = None, False
     goal = sinks.select(F.col(sinks.columns[0]).alias("_end")).distinct()
     for hop in range(1, most_hops + 1):
         grown = live.withColumn(src, F.element_at("path", -1)).join(steps, src).where(~F.array_contains("path", F.col(dst)))
@@ -80,11 +98,13 @@ def enumerate_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, src:
             break
         hit = live.withColumn("_end", F.element_at("path", -1)).join(goal, "_end", "left_semi").select("path", F.lit(hop).alias("hops"))
         found = hit if found is None else found.unionByName(hit)
+        if hop == most_hops:
+            longer = not live.withColumn(src, F.element_at("path", -1)).join(steps, src).where(~F.array_contains("path", F.col(dst))).isEmpty()
     if found is None:
-        return live.select("path", F.lit(0).alias("hops")).limit(0), False
+        return live.select("path", F.lit(0).alias("hops")).limit(0), longer
     if most_paths is None:
-        return found, False
-    return found.orderBy("hops", "path").limit(most_paths), found.count() > most_paths
+        return found, longer
+    return found.orderBy("hops", "path").limit(most_paths), longer or found.count() > most_paths
 
 
 def shortest_per_pair(found: DataFrame) -> DataFrame:
@@ -92,12 +112,60 @@ def shortest_per_pair(found: DataFrame) -> DataFrame:
     return found.groupBy(F.get("path", F.lit(0)).alias("source"), F.element_at("path", -1).alias("sink")).agg(F.min(F.struct("hops", "path")).alias("_p")).select("source", "sink", "_p.hops", "_p.path")
 
 
+def _settled(state: DataFrame, step) -> DataFrame:
+    """``state`` after steps until one changes no row; ``step`` adds a column ``moved``."""
+    while True:
+        after = cut(step(state))
+        if after.where("moved").isEmpty():
+            return after.drop("moved")
+        state = after.drop("moved")
+
+
+def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each node's least colour among those that reach it along ``edges`` (a to b) inside its part."""
+
+    def step(now: DataFrame) -> DataFrame:
+        told = edges.join(now.select(F.col("node").alias("a"), "colour", "part"), "a")
+        best = told.groupBy(F.col("b").alias("node"), "part").agg(F.min("colour").alias("heard"))
+        met = now.join(best, ["node", "part"], "left")
+        return met.select("node", "part", F.least("colour", F.coalesce("heard", "colour")).alias("colour"), F.coalesce(F.col("heard") < F.col("colour"), F.lit(False)).alias("moved"))
+
+    return _settled(state, step)
+
+
 def scc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component) of strongly connected components of more than one node."""
-    reach = closure(edges, src, dst)
-    back = reach.select(F.col(src).alias(dst), F.col(dst).alias(src))
-    mutual = reach.join(back, [src, dst]).where(F.col(src) != F.col(dst))
-    return mutual.groupBy(F.col(src).alias("node")).agg(F.least(F.min(dst), F.min(src)).alias("component"))
+    """(node, component) of strongly connected components of more than one node; the component is its least node.
+
+    Forward and backward colouring: each node takes the least node that reaches it; of
+    the nodes of one colour, those that reach the colour's own node are a component.
+    What is left is coloured anew. Nodes without an edge in or out are trimmed first. A
+    round's rows are nodes and edges, never pairs.
+    """
+    live = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
+    found = None
+    while True:
+        while True:  # what has no edge in, or none out, is in no cycle
+            both = live.select(F.col("a").alias("node")).intersect(live.select(F.col("b").alias("node")))
+            side = lambda c: both.select(F.col("node").alias(c))  # noqa: B023, E731
+            kept = cut(live.join(side("a"), "a", "left_semi").join(side("b"), "b", "left_semi"))
+            same, live = kept.count() == live.count(), kept
+            if same:
+                break
+        if live.isEmpty():
+            break
+        nodes = live.select(F.col("a").alias("node")).distinct()
+        coloured = _spread(nodes.select("node", F.lit(0).alias("part"), F.col("node").alias("colour")), live.select("a", "b"))
+        # back along the edges of one colour, from the colour's own node
+        own = coloured.select("node", F.col("colour").alias("part"), F.when(F.col("node") == F.col("colour"), F.lit(0)).otherwise(F.lit(1)).alias("colour"))
+        reached = _spread(own, live.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("colour = 0").select("node", F.col("part").alias("component"))
+        reached = cut(reached)
+        found = reached if found is None else found.unionByName(reached)
+        ends = lambda c: reached.select(F.col("node").alias(c))  # noqa: B023, E731
+        live = cut(live.join(ends("a"), "a", "left_anti").join(ends("b"), "b", "left_anti"))
+    if found is None:
+        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    sizes = found.groupBy("component").count().where("count > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("node", "component")
 
 
 def layers(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:

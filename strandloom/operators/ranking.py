@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.graph import cut
+
 
 def budget_take(rows: DataFrame, list_no: str, index: str, rank: list[Column], limit: int) -> DataFrame:
     """One allowance of ``limit`` rows over lists in order: each takes what the lists before left.
@@ -22,18 +25,40 @@ def budget_take(rows: DataFrame, list_no: str, index: str, rank: list[Column], l
 
 
 def fair_split(limit: int, demands: Sequence[int]) -> list[int]:
-    """Water-filling: what small demands leave goes to the others in equal shares."""
-    given = [0] * len(demands)
-    left = max(0, int(limit))
-    while left:
-        open_ = [i for i, d in enumerate(demands) if given[i] < d]
-        if not open_:
-            break
-        share = max(1, left // len(open_))
-        for i in open_:
-            part = min(share, demands[i] - given[i], left)
-            given[i], left = given[i] + part, left - part
-    return given
+    """Water-filling over a few lists: all are served up to one level; what is left goes, one each, to the first above it."""
+    want = np.maximum(np.asarray(demands, dtype=np.int64), 0)
+    limit = max(0, int(limit))
+    if want.sum() <= limit:
+        return want.tolist()
+    rising = np.sort(want)
+    # were all demands under the k-th met in full, so much would be there for each of the others
+    levels = (limit - (np.cumsum(rising) - rising)) // np.arange(len(rising), 0, -1)
+    level = levels[np.argmax(rising > levels)]
+    given = np.minimum(want, level)
+    unmet = np.flatnonzero(want > level)[: limit - int(given.sum())]
+    given[unmet] += 1
+    return given.tolist()
+
+
+def split_fairly(lists: DataFrame, demand: str, order: str, limit: int) -> DataFrame:
+    """``fair_split`` for a table of lists, with the share as ``given``; ``order`` is unique.
+
+    The level follows from the demands' histogram, of at most ``limit`` + 1 rows as no
+    demand counts for more than the limit.
+    """
+    want = F.least(F.greatest(F.col(demand), F.lit(0)), F.lit(limit))
+    histogram = lists.groupBy(want.alias("d")).agg(F.count("*").alias("k"))
+    below = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.orderBy("d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    steps = histogram.select("d", F.coalesce(F.sum(F.col("d") * F.col("k")).over(below), F.lit(0)).alias("met"), F.sum("k").over(onward).alias("others"))
+    steps = steps.withColumn("level", F.floor((F.lit(limit) - F.col("met")) / F.col("others")))
+    level = steps.where("d > level").agg(F.min_by("level", "d")).first()[0]
+    if level is None:  # all demands fit
+        return lists.withColumn("given", F.greatest(F.col(demand), F.lit(0)).cast("long"))
+    capped = F.least(want, F.lit(level)).cast("long")
+    left = limit - lists.agg(F.sum(capped)).first()[0]
+    extra = lists.where(want > level).orderBy(order).limit(int(left)).select(order, F.lit(1).alias("_extra"))
+    return lists.join(extra, order, "left").withColumn("given", capped + F.coalesce("_extra", F.lit(0))).drop("_extra")
 
 
 SEPARATORS = r"[.#:/_]+"
@@ -74,10 +99,23 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
+def numbered(df: DataFrame, number: str, order: list[str], after: int = 0) -> DataFrame:
+    """Rows numbered in order from ``after`` + 1, over any number of tasks.
+
+    Rows are sorted by range; a task's first number follows from the sizes of the tasks
+    before it, one row each. The sorted table is written, so that both passes see the same tasks.
+    """
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)))
+    sizes = dealt.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_task", before.alias("_before"), "_least")  # one row per task
+    placed = dealt.join(F.broadcast(offsets), "_task")
+    return placed.withColumn(number, F.col("_before") + F.col("_at") - F.col("_least") + 1 + F.lit(after)).drop("_at", "_task", "_before", "_least")
+
+
 def next_in_sequence(existing: DataFrame, fresh: DataFrame, seq: str, order: list[str]) -> DataFrame:
     """Fresh rows numbered on from the largest number so far."""
-    last = existing.agg(F.coalesce(F.max(seq), F.lit(0))).first()[0]
-    return fresh.withColumn(seq, F.row_number().over(Window.orderBy(*order)) + F.lit(last))
+    return numbered(fresh, seq, order, existing.agg(F.coalesce(F.max(seq), F.lit(0))).first()[0])
 
 
 def outliers(df: DataFrame, contradicted: str, tokens: str, claims: str, key: str, most: int = 5, costly: int = 5000) -> DataFrame:

@@ -220,10 +220,17 @@ def o21_search_rank(spark, sf_dir):
     return ranking.search(rows, "text", "red")
 
 
-@query()
+@query(
+    """
+    WITH b AS (SELECT p_type, count(*) AS demand FROM part GROUP BY p_type),
+    s AS (SELECT demand, (1000 - (sum(demand) OVER w - demand)) // (count(*) OVER () - row_number() OVER w + 1) AS level FROM b WINDOW w AS (ORDER BY demand, p_type)),
+    l AS (SELECT CAST(min_by(level, demand) AS BIGINT) AS level FROM s WHERE demand > level),
+    c AS (SELECT p_type, demand, least(demand, coalesce(level, demand)) AS base, demand > coalesce(level, demand) AS unmet FROM b, l)
+    SELECT p_type, demand, CAST(base + CASE WHEN unmet AND row_number() OVER (PARTITION BY unmet ORDER BY p_type) <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS given FROM c"""
+)
 def o22_fair_split(spark, sf_dir):
-    demands = [r["count"] for r in table(spark, sf_dir, "part").groupBy("p_type").count().orderBy("p_type").collect()]
-    return spark.createDataFrame([(i, d, g) for i, (d, g) in enumerate(zip(demands, ranking.fair_split(1000, demands)))], "bucket int, demand long, given long")
+    demands = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("demand"))
+    return ranking.split_fairly(demands, "demand", "p_type", 1000)
 
 
 @query(

@@ -2,60 +2,49 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 SHORTEST, LONGEST, SPAN, NEAR, MOST_HITS = 12, 400, 4, 5, 3
 
 
+def normalised(text: str) -> str:
+    return " ".join(text.split())
+
+
 class LineIndex:
-    """A file's lines as one blob of normalised white space, with where each line starts in it."""
+    """A file's lines in normalised white space, each with the text that an anchor starting in it may cover."""
 
     def __init__(self, lines: list[str]):
-        self.lines = lines
-        self.plain = [" ".join(x.split()) for x in lines]
-        self.starts, pieces, at = [], [], 0
-        self.filled = [i for i, p in enumerate(self.plain) if p]
-        for i in self.filled:
-            self.starts.append(at)
-            pieces.append(self.plain[i])
-            at += len(self.plain[i]) + 1
-        self.blob = " ".join(pieces)
-
-    def line_at(self, offset: int) -> int:
-        """1-based line that holds an offset of the blob."""
-        import bisect
-
-        return self.filled[bisect.bisect_right(self.starts, offset) - 1] + 1
+        self.plain = list(map(normalised, lines))
+        self.reach = [self.text_of(k, k + SPAN) for k in range(len(lines))]
+
+    def text_of(self, start: int, stop: int) -> str:
+        return " ".join(filter(None, self.plain[start:stop]))
 
     def hits(self, anchor: str) -> list[int]:
-        """Lines where an anchor starts, if it covers at most SPAN lines there; each line once."""
-        needle, found, at = " ".join(anchor.split()), [], 0
-        while needle and (at := self.blob.find(needle, at)) >= 0:
-            first, last = self.line_at(at), self.line_at(at + len(needle) - 1)
-            if last - first < SPAN and (not found or found[-1] != first):
-                found.append(first)
-            at += 1
-        return found
+        """1-based lines in which an anchor starts, if SPAN lines from there hold it."""
+        needle = normalised(anchor)
+        if not needle:
+            return []
+        # an earliest occurrence behind the line's own text starts in a later line
+        return [k for k, (own, text) in enumerate(zip(self.plain, self.reach), 1) if 0 <= text.find(needle) < len(own)]
 
     def build(self, line: int) -> str | None:
         """The shortest anchor of a 1-based line: lines downward, then upward, or None."""
-        spans = [(line, line + n) for n in range(SPAN)] + [(line - n, line) for n in range(1, SPAN)]
-        for first, last in spans:
-            if first < 1 or last > len(self.lines):
-                continue
-            anchor = " ".join(p for p in self.plain[first - 1 : last] if p)
-            if SHORTEST <= len(anchor) <= LONGEST:
-                hits = self.hits(anchor)
-                if 1 <= len(hits) <= MOST_HITS and sum(abs(h - line) <= NEAR for h in hits) == 1:
-                    return anchor
-        return None
+        down = ((line - 1, line + more) for more in range(SPAN))
+        up = ((line - 1 - more, line) for more in range(1, SPAN))
+        within = (self.text_of(*s) for s in chain(down, up) if 0 <= s[0] and s[1] <= len(self.plain))
+        return next((a for a in within if SHORTEST <= len(a) <= LONGEST and self._tells(a, line)), None)
+
+    def _tells(self, anchor: str, line: int) -> bool:
+        return self.verify(anchor, line)[0] == "ok"
 
     def verify(self, anchor: str, line: int) -> tuple[str, int]:
         """(verdict, line): ok with the corrected line, or why not."""
-        if len(" ".join(anchor.split())) < SHORTEST:
-            return "not_found", line
-        hits = self.hits(anchor)
-        if not hits:
-            return "not_found", line
+        hits = self.hits(anchor) if len(normalised(anchor)) >= SHORTEST else []
+        near = [h for h in hits if abs(h - line) <= NEAR]
         if len(hits) > MOST_HITS:
             return "too_common", line
-        near = [h for h in hits if abs(h - line) <= NEAR]
-        return ("not_found", line) if not near else ("ambiguous", line) if len(near) > 1 else ("ok", near[0])
+        if len(near) == 1:
+            return "ok", near[0]
+        return ("ambiguous" if near else "not_found"), line

@@ -6,10 +6,11 @@ Writes are per snapshot and may be repeated; readers see whole snapshots only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import hashing
+from strandloom.operators import ranking
 
 
 class Catalog:
@@ -49,7 +50,7 @@ class Catalog:
             log = self.spark.read.parquet(at)
             hashed = hashed.join(log.select("content_hash"), "content_hash", "left_anti")
             last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        numbered = hashed.withColumn("seq", F.row_number().over(Window.orderBy("content_hash")).cast("long") + F.lit(last))
+        numbered = ranking.numbered(hashed, "seq", ["content_hash"], last)
         n = numbered.count()
         numbered.write.mode("append").parquet(at)
         return n

@@ -167,3 +167,35 @@ def test_streams(spark, tmp_path):
     assert {(r.key, r.state, r.entries) for r in spark.table("newest").collect()} == {("a", "x", 4), ("b", "x", 1)}
     state.drain(state.once(stream, ["key", "state"]), str(tmp_path / "once"), str(tmp_path / "ck2"))
     assert spark.read.parquet(str(tmp_path / "once")).count() == 3
+
+
+def test_split_fairly_equals_the_plain_rule(spark):
+    for limit, demands in [(0, [3, 4]), (7, [9, 9, 9]), (10, [1, 20, 3]), (9, [2, 2]), (5, [0, 0, 8, 8]), (11, [4, 4, 4, 1])]:
+        lists = spark.createDataFrame(list(enumerate(demands)), "k int, demand long")
+        got = [r.given for r in ranking.split_fairly(lists, "demand", "k", limit).orderBy("k").collect()]
+        assert got == ranking.fair_split(limit, demands)
+
+
+def test_numbers_go_on_over_many_tasks(spark):
+    fresh = spark.range(1000).selectExpr("1000 - id AS x").repartition(7)
+    got = ranking.next_in_sequence(spark.createDataFrame([(41,), (7,)], "seq long"), fresh, "seq", ["x"])
+    assert sorted((r.x, r.seq) for r in got.collect()) == [(k, 41 + k) for k in range(1, 1001)]
+    assert ranking.next_in_sequence(spark.createDataFrame([], "seq long"), fresh.limit(0), "seq", ["x"]).count() == 0
+
+
+def test_components_of_long_and_joined_cycles(spark):
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    joined = [(20, 21), (21, 20), (21, 22), (22, 23), (23, 22), (23, 24), (8, 20), (24, 24), (30, 31), (31, 32)]
+    edges = spark.createDataFrame(ring + joined, "src int, dst int")
+    want = {(k, 0) for k in range(9)} | {(20, 20), (21, 20), (22, 22), (23, 22)}
+    assert {tuple(r) for r in graph.scc(edges).collect()} == want
+    assert graph.scc(edges.limit(0)).count() == 0
+
+
+def test_paths_tell_when_hops_run_out(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)], "src int, dst int")
+    ends = lambda k: spark.createDataFrame([(k,)], "n int")
+    found, cut = graph.enumerate_paths(edges, ends(0), ends(3), most_hops=3)
+    assert [r.hops for r in found.collect()] == [3] and cut
+    found, cut = graph.enumerate_paths(edges, ends(0), ends(6), most_hops=8)
+    assert [r.hops for r in found.collect()] == [6] and not cut
