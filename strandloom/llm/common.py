@@ -8,16 +8,24 @@ session names none (as in tests) is a temporary folder chosen.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A side is broadcast only when its measured size is at most this; else it is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: The same where the other side would have to shuffle whole texts.
+BROADCAST_BESIDE_TEXTS = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,29 +53,40 @@ def passthrough(df: DataFrame, reserved) -> list[Column]:
 
 
 class Scratch:
-    """Written tables of one operator call, in the shared folder."""
+    """Written tables of one operator call, in the shared folder, until ``clear`` or the driver's end.
+
+    Who runs operators one after another collects their tables with ``Scratch.recorded``
+    and clears them once the results are written; nobody else's tables are touched.
+    """
 
     _roots: dict[int, str] = {}
-    _live: list[Scratch] = []
+    _recording: list[list[Scratch]] = []
 
-    def __init__(self, spark: SparkSession, label: str, kept: bool = False):
+    def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{self.root(spark)}/strandloom/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.clear)
-        if not kept:
-            self._live.append(self)
+        for made in self._recording:
+            made.append(self)
 
     @classmethod
-    def release(cls) -> None:
-        """Delete the tables of all earlier operator calls, whose results have been written by now."""
-        while cls._live:
-            cls._live.pop().clear()
+    @contextlib.contextmanager
+    def recorded(cls):
+        """A list that gets every Scratch made inside the block."""
+        made: list[Scratch] = []
+        cls._recording.append(made)
+        try:
+            yield made
+        finally:
+            cls._recording.remove(made)
 
     @classmethod
     def root(cls, spark: SparkSession) -> str:
         found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if found:
             return found.rstrip("/")
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         return cls._roots.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="strandloom-"))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -89,6 +108,31 @@ class Scratch:
                 print(f"scratch {self.path} stays: {why}")
 
 
+def trimmed(work):
+    """An Arrow function that gives its worker's unused memory back to the system when a task ends.
+
+    Workers are kept from task to task; what they hold on to is taken from the executor's other tasks.
+    """
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every system's C library has it
+                pass
+
+    return run
+
+
 def left_join_sized(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int, spread: Column, limit: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """Left join with a written right side whose keys are unique.
 

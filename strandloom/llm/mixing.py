@@ -3,35 +3,45 @@
 Domains are the classes of a labelled table. A multinomial naive Bayes classifier over
 ``BUCKETS`` hashed words, learned from every labelled document, gives each document a
 posterior over domains (its mean log-likelihood counts as that of ``EFFECTIVE`` words,
-so that long texts stay soft). Each document gets a rate of at least 0, fitted by
-projected-gradient least squares so that the expected tokens of each domain, the sum of
-tokens x posterior x rate, meet the targets. The squares are weighted by the inverse
-of the domains' token overlap, for which a step of 1 never overshoots.
-
-Everything over documents is DataFrame work: a scan that leaves tokens and posteriors,
-then one small aggregate per step. The driver sees sums per domain and the bounded
-weight table only.
+so that long texts stay soft). Each document gets a rate of at least ``at_least``, fitted
+by projected-gradient least squares so that the expected tokens of each domain, the sum of
+tokens x posterior x rate, meet the targets. A step moves every rate against the gradient,
+scaled by the inverse of the token overlap of the documents that are free to move, and cuts
+it at the bound; a step that makes the error larger is taken back and halved. Steps go on until the
+targets are met within ``tolerance`` or no step of any length helps: ``fit_rates`` returns
+what is then still missing, and ``mix`` raises where that is over ``most_off`` if one is given.
+
+Everything over documents is DataFrame work. Posteriors are rounded to ``1 / GRID``, and
+documents of one rounded posterior are rated alike, so a step is an aggregate over at most
+as many rows as the grid has points, however large the corpus; the driver sees sums per
+domain and the bounded weight table only. Texts are never copied: posteriors are worked
+out again in the result's own scan.
 
 Defined results: a null or white text has 0 tokens and the prior as its posterior; its
 rate follows its posterior like any other. Labels with a null in any label column are
 ignored; an id labelled twice counts once per label. Without labels there is one
 domain, ``all``. Targets for unknown domains are ignored; domains without target get 0;
-if no target is left, or the table has no tokens, all rates are 1. Rows that repeat an
-id are rated alike if their texts are. Columns named like a result column are replaced.
+if no target is left, or the table has no tokens, all rates are the larger of 1 and
+``at_least``. Of domains with equal posteriors the first by name is ``domain``. Rows that repeat an id are rated alike
+if their texts are. Columns named like a result column are replaced by ``mix``;
+``repeat_rows`` of the pipeline keeps them, as it works on names of its own.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, let, passthrough, quoted, table
+from .common import BROADCAST_BYTES, Scratch, let, quoted, table
 
 RESULT = ("n_tokens", "domain", "posteriors", "rate", "copies")
 BUCKETS, EFFECTIVE, SMOOTH = 4096, 24, 0.5
+#: Posteriors are rounded to this part of 1.
+GRID = 64
 SPACE = r"[\x20\x09-\x0D]+"
 #: Share of expected tokens that each domain (quality, toxic) shall have in the query.
 TARGETS = {"q1t0": 0.70, "q0t0": 0.27, "q1t1": 0.02, "q0t1": 0.01}
@@ -100,73 +110,116 @@ def with_posteriors(docs: DataFrame, names: list[str], prior: np.ndarray, weight
     return let(_words(quoted(text_col)), posterior)
 
 
-def fit_rates(slim: DataFrame, targets: np.ndarray, scratch: Scratch, total: float = 1.0, tolerance: float = 1e-4, steps: int = 40, hold: int = 8) -> tuple[list[list[float]], list[dict]]:
-    """The pushes of all steps, from which ``rate_of`` gives a document's rate; and what each step saw.
+def rounded(p, k: int):
+    """Posteriors as whole numbers of ``1 / GRID``: the first takes what the others leave, so that they sum to one."""
+    others = [F.round(F.get(p, F.lit(j)) * GRID).cast("int") for j in range(1, k)]
+    return F.array(F.lit(GRID) - sum(others, F.lit(0)), *others)
+
 
-    ``slim``: n, p. ``targets`` are shares of ``total`` times the present tokens.
+def fit_rates(bins: DataFrame, targets: np.ndarray, total: float | None = 1.0, at_least: float = 0.0, tolerance: float = 1e-4, steps: int = 400) -> tuple[list[list[float]], list[dict]]:
+    """The pushes of all steps, from which ``rate_of`` gives a bin's rate; and what each step saw.
+
+    ``bins``: n (tokens), p (posteriors), one row for each point of the grid. ``targets``
+    are shares of ``total`` times the present tokens; without ``total`` of as many tokens
+    as the documents need, at their least rates, to reach the scarcest target.
     """
-    slim = slim.select("n", "p")
     k = len(targets)
     p = [F.get("p", F.lit(j)) for j in range(k)]
-    sums = [F.sum(F.col("n") * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = slim.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *sums).first()
-    tokens = float(row.n)
-    rated, log, pushes = slim.withColumn("rate", F.lit(1.0)), [], []
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    pushes, log = [], []
+    start = max(1.0, float(at_least))
+    here = bins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(F.col("n") * p[j]).alias(f"e{j}") for j in range(k)]).first()
+    tokens = float(here.n)
     if not tokens or not targets.sum():
         return pushes, log
-    overlap = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            overlap[i, j] = overlap[j, i] = row[f"h{i}_{j}"] / tokens
-    weight = np.linalg.pinv(overlap + 1e-9 * np.eye(k))
-    goal = targets / targets.sum() * total
-    expected = [F.sum(F.col("n") * p[j] * F.col("rate")).alias(f"e{j}") for j in range(k)]
+    goal = targets / targets.sum()
+    if total is None:
+        present = np.array([here[f"e{j}"] for j in range(k)]) / tokens
+        total = max([1.0, *(start * present[goal > 0] / goal[goal > 0])])
+    goal = goal * total
+
+    def seen(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """What the expected tokens are off, and the overlap of the documents above the bound."""
+        rated = bins.withColumn("rate", rate_of(F.col("p"), moves, at_least))
+        free = F.col("rate") > at_least
+        got = rated.agg(*[F.sum(F.col("n") * p[j] * F.col("rate")).alias(f"e{j}") for j in range(k)], *[F.coalesce(F.sum(F.when(free, F.col("n") * p[i] * p[j])), F.lit(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        overlap = np.zeros((k, k))
+        for i, j in pairs:
+            overlap[i, j] = overlap[j, i] = got[f"h{i}_{j}"] / tokens
+        return np.array([got[f"e{j}"] for j in range(k)]) / tokens - goal, overlap
+
+    off, overlap = seen(pushes)
+    length = 1.0
     for step in range(steps):
-        got = rated.agg(*expected).first()
-        off = np.array([got[f"e{j}"] for j in range(k)]) / tokens - goal
-        log.append({"step": step, "off": off.tolist()})
-        if np.abs(off).max() <= tolerance:
+        log.append({"step": step, "off": off.tolist(), "length": length})
+        if np.abs(off).max() <= tolerance or length < 1e-4:
             break
-        push = weight @ off
-        pushes.append([float(x) for x in push])
-        slope = sum((p[j] * float(push[j]) for j in range(1, k)), p[0] * float(push[0]))
-        rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
-        if step % hold == hold - 1:  # short expressions, and nothing to redo after a loss
-            rated = scratch.write(rated, f"rates{step}")
+        # damped towards the plain gradient where the free documents say little of a domain
+        push = length * np.linalg.solve(overlap + (1e-3 + 0.05 * (1 - length)) * np.eye(k), off)
+        tried = [*pushes, [float(x) for x in push]]
+        after, changed = seen(tried)
+        if (after**2).sum() < (off**2).sum() * (1 - 1e-3 * length):
+            pushes, off, overlap, length = tried, after, changed, min(1.0, 2 * length)
+        else:
+            length /= 2
     return pushes, log
 
 
-def rate_of(p, pushes: list[list[float]]):
-    """The rate of a document with posteriors ``p``: 1, moved by each push and cut at 0 in turn."""
+def rate_of(p, pushes: list[list[float]], at_least: float = 0.0):
+    """The rate of a document with posteriors ``p``: 1, moved by each push and cut at ``at_least`` in turn."""
     moves = F.from_json(F.lit(json.dumps(pushes)), "array<array<double>>")
     slope = lambda push: F.aggregate(F.zip_with(p, push, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    return F.aggregate(moves, F.lit(1.0), lambda rate, push: F.greatest(F.lit(0.0), rate - slope(push)))
+    return F.aggregate(moves, F.lit(max(1.0, float(at_least))), lambda rate, push: F.greatest(F.lit(float(at_least)), rate - slope(push)))
+
 
+def _fitted(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col: str, id_col: str, total: float | None, at_least: int, most_off: float | None):
+    """(names, function from a struct of n and p to one of n, p, rate) of the corpus."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    names, prior, weights = learn(docs, domains, scratch, text_col, id_col)
+    k = len(names)
+    judged = with_posteriors(docs, names, prior, weights, text_col)
+    grid = docs.select(judged.alias("m")).select(F.col("m.n").alias("n"), rounded(F.col("m.p"), k).alias("g"))
+    bins = grid.groupBy("g").agg(F.sum("n").alias("n")).select("n", F.transform("g", lambda x: x / F.lit(GRID)).alias("p"))
+    bins = scratch.write(bins.coalesce(1), "bins")  # at most as many rows as the grid has points
+    pushes, log = fit_rates(bins, np.array([max(0.0, targets.get(d, 0.0)) for d in names]), total, at_least)
+    if most_off is not None and log and max(map(abs, log[-1]["off"])) > most_off:
+        raise ValueError(f"the targets cannot be met: expected tokens stay off by {log[-1]['off']}")
+    return names, judged, pushes
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", total: float = 1.0, at_least: int = 0, carry: list[str] | None = None) -> DataFrame:
+
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", total: float | None = 1.0, at_least: int = 0, carry: list[str] | None = None, most_off: float | None = None, as_struct: str | None = None) -> DataFrame:
     """Every row (its ``carry`` columns, all by default) with the RESULT columns.
 
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expected
-    value is the rate, and at least ``at_least``.
+    value is the rate; rates are at least ``at_least``, which the fit knows. With
+    ``as_struct`` the RESULT columns are fields of a column of that name, and all input
+    columns stay, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    names, prior, weights = learn(docs, domains, scratch, text_col, id_col)
-    carry = docs.columns if carry is None else carry
+    names, judged, pushes = _fitted(docs, domains, targets, text_col, id_col, total, at_least, most_off)
+    k = len(names)
+    even = F.pmod(F.xxhash64(F.lit("mix"), quoted(id_col)), F.lit(1_000_000)) / 1_000_000
+    best = lambda p: F.get(F.array(*[F.lit(d) for d in names]), (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+
+    def result(m):
+        grid = F.transform(rounded(m.p, k), lambda x: x / F.lit(GRID))
+        return let(rate_of(grid, pushes, at_least), lambda rate: F.struct(m.n.alias("n_tokens"), best(m.p).alias("domain"), m.p.alias("posteriors"), rate.alias("rate"), F.floor(rate + even).cast("long").alias("copies")))
+
+    mixed = let(judged, result)
+    if as_struct is not None:
+        return docs.select("*", mixed.alias(as_struct))
     taken = {x.casefold() for x in RESULT}
-    kept = [quoted(c) for c in carry if c.casefold() not in taken]
-    slim = docs.select(F.struct(*kept).alias("__row"), quoted(id_col).alias("__id"), with_posteriors(docs, names, prior, weights, text_col).alias("__m"))
-    slim = scratch.write(slim.select("__row", "__id", F.col("__m.n").alias("n"), F.col("__m.p").alias("p")), "posteriors")
-    pushes, _ = fit_rates(slim, np.array([max(0.0, targets.get(d, 0.0)) for d in names]), scratch, total)
-    rated = slim.withColumn("rate", rate_of(F.col("p"), pushes))
-    even = F.pmod(F.xxhash64(F.lit("mix"), "__id"), F.lit(1_000_000)) / 1_000_000
-    copies = F.greatest(F.floor(F.col("rate") + even), F.lit(at_least)).cast("long")
-    best = F.get(F.array(*[F.lit(d) for d in names]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return rated.select("__row.*", F.col("n").alias("n_tokens"), best.alias("domain"), F.col("p").alias("posteriors"), "rate", copies.alias("copies"))
-
-
-def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its copies say, without the operator's own columns."""
-    return mixed.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>")))).select(*passthrough(mixed, RESULT))
+    kept = [c for c in (docs.columns if carry is None else carry) if c.casefold() not in taken]
+    out = docs.select(F.struct(*[quoted(c) for c in kept]).alias("__row") if kept else F.lit(0).alias("__row"), mixed.alias("__m"))
+    return out.select(*(["__row.*"] if kept else []), *[F.col(f"__m.{c}").alias(c) for c in RESULT])
+
+
+def repeat_rows(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", total: float | None = 1.0, at_least: int = 0) -> DataFrame:
+    """Each row of ``docs`` as often as ``mix`` says, with all of its own columns and no others."""
+    own = f"__mix_{uuid.uuid4().hex[:8]}"
+    mixed = mix(docs, domains, targets, text_col, id_col, total, at_least, as_struct=own)
+    times = F.col(f"{own}.copies")
+    each = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
+    return mixed.withColumn(own, F.explode(each)).drop(own)
 
 
 def op1_mixing(spark, sf_dir):

@@ -41,11 +41,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, left_join_sized, passthrough, quoted, table
+from .common import BROADCAST_BESIDE_TEXTS, BROADCAST_BYTES, Scratch, left_join_sized, quoted, table, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RESULT = ("n_shingles", "component_id", "kept")
 ROWS, BANDS, MANTISSA = 6, 42, 10
 REGISTERS = ROWS * BANDS
 EMPTY = 0xFFFF
@@ -145,7 +144,7 @@ def signatures(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> Dat
 
     text = quoted(text_col)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
-    return rows.mapInArrow(sign, "id long, t1 long, t2 long, s1 long, s2 long, n long, registers binary")
+    return rows.mapInArrow(trimmed(sign), "id long, t1 long, t2 long, s1 long, s2 long, n long, registers binary")
 
 
 def _ranks() -> np.ndarray:
@@ -188,7 +187,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 node, n = (np.repeat(part.column(k).to_numpy(), BANDS) for k in ("node", "n"))
                 yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(node), pa.array(n)], schema=schema)
 
-    return nodes.select("node", "n", "registers").mapInArrow(keys, "band long, node long, n long")
+    return nodes.select("node", "n", "registers").mapInArrow(trimmed(keys), "band long, node long, n long")
 
 
 def _estimated(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +205,7 @@ def _estimated(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     hubs = stars.select("a", "salts").distinct().join(nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
     hubs = hubs.select("a", "ra", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     met = stars.join(nodes.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    return met.join(hubs, ["a", "salt"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, "a long, b long")
+    return met.join(hubs, ["a", "salt"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(trimmed(test), "a long, b long")
 
 
 def _sets(docs: DataFrame, placed: DataFrame, shingle: int, text_col: str, id_col: str, broadcast_bytes: int) -> DataFrame:
@@ -226,11 +225,11 @@ def _sets(docs: DataFrame, placed: DataFrame, shingle: int, text_col: str, id_co
 
     text = quoted(text_col)
     rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), quoted(id_col).cast("long").alias("id"), text.alias("text"))
-    size = placed.agg(F.sum(F.size("places") * 24 + 64)).first()[0] or 0
+    size = placed.agg(F.sum(F.size("places") * 64 + 200)).first()[0] or 0  # as Spark holds them in memory
     wanted = placed.select("node", "root", "places", *(F.col(f"rep.{c}").alias(f"_{c}") for c in ("t1", "t2", "id")))
     same = (rows["t1"] == wanted["_t1"]) & (rows["t2"] == wanted["_t2"]) & rows["id"].eqNullSafe(wanted["_id"])
     found = rows.join(F.broadcast(wanted) if size <= broadcast_bytes else wanted, same)
-    made = found.select("node", "root", "places", "text").mapInArrow(make, f"node long, root long, places {placed.schema['places'].dataType.simpleString()}, hashes array<bigint>")
+    made = found.select("node", "root", "places", "text").mapInArrow(trimmed(make), f"node long, root long, places {placed.schema['places'].dataType.simpleString()}, hashes array<bigint>")
     return made.select(F.explode("places").alias("p"), "node", "root", "hashes").select("p.unit", "p.i", "p.j", "p.left", "node", "root", "hashes")
 
 
@@ -251,7 +250,7 @@ def _links(sets: DataFrame, percent: int, gated: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     dealt = sets.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def forest(node: np.ndarray, root: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percent: int, gated: bool = True) -> list[tuple[int, int]]:
@@ -345,7 +344,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return met.groupBy("node", "root").agg(F.flatten(F.collect_list(places)).alias("places"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, beside_texts: int = BROADCAST_BESIDE_TEXTS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row, with the text's hashes t1 and t2."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     signed = signatures(docs, shingle, text_col, id_col).withColumn("row", F.monotonically_increasing_id())
@@ -376,7 +375,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: s
     as_member = likely.join(per_hub, "a").select(F.col("b").alias("node"), F.array(place(F.col("a"), F.pmod(F.xxhash64("b"), F.col("alls")).cast("int"), 0)).alias("places"))
     places = as_hub.unionByName(as_member).groupBy("node").agg(F.flatten(F.collect_list("places")).alias("places"))
     placed = scratch.write(of.join(places, "node"), "star-places")
-    args = (shingle, text_col, id_col, broadcast_bytes)
+    args = (shingle, text_col, id_col, beside_texts)
     links = scratch.write(_links(_sets(docs, placed, *args), percent, gated=False).distinct(), "links")
     roots = components(links, scratch, "first")
 

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, quoted, table
+from .common import BROADCAST_BYTES, Scratch, quoted, table, trimmed
 from .near_dedup import _mixed, components, sequence_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -197,7 +197,7 @@ def _intervals(texts: DataFrame, least: int) -> DataFrame:
                 of, key, first, last, anchor = signature_intervals([sequence_hashes(t.as_py(), SHINGLE, cache) for t in text.slice(start, 128)], least)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[start : start + 128][of]), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], schema=schema)
 
-    return texts.select("row", "text").mapInArrow(make, "key long, row long, first int, last int, anchor int")
+    return texts.select("row", "text").mapInArrow(trimmed(make), "key long, row long, first int, last int, anchor int")
 
 
 def _sequences(texts: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _sequences(texts: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(start, 256), pa.array(seqs, pa.list_(pa.int64()))], names=["row", "seq"])
 
     small = wanted.count() * 16 <= broadcast_bytes
-    return texts.join(F.broadcast(wanted) if small else wanted, "row", "left_semi").select("row", "text").mapInArrow(make, "row long, seq array<bigint>")
+    return texts.join(F.broadcast(wanted) if small else wanted, "row", "left_semi").select("row", "text").mapInArrow(trimmed(make), "row long, seq array<bigint>")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int)
                 yield pa.RecordBatch.from_arrays([m.field("key"), pa.array([hub] * n, pa.int64()), pa.array([row] * n, pa.int64()), m.field("first").cast(pa.int32()), pa.array(ok), *(pa.array(x, pa.int32()) for x in (h0, h1, r0, r1))], schema=schema)
 
     joined = pairs.join(sequences.select(F.col("row").alias("hub"), F.col("seq").alias("hub_seq")), "hub").join(sequences.withColumnRenamed("seq", "row_seq"), "row")
-    return joined.select("hub", "row", "hub_seq", "row_seq", "matches").mapInArrow(check, "key long, hub long, row long, first int, ok boolean, h0 int, h1 int, r0 int, r1 int")
+    return joined.select("hub", "row", "hub_seq", "row_seq", "matches").mapInArrow(trimmed(check), "key long, hub long, row long, first int, ok boolean, h0 int, h1 int, r0 int, r1 int")
 
 
 def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> D
             yield from found(rows)
 
     dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select(*names, "around").mapInArrow(compare, "hub long, row long, h0 int, h1 int, r0 int, r1 int")
+    return dealt.select(*names, "around").mapInArrow(trimmed(compare), "hub long, row long, h0 int, h1 int, r0 int, r1 int")
 
 
 def _merged(spans):

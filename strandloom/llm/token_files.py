@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, quoted, table
+from .common import BROADCAST_BYTES, Scratch, quoted, table, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -335,7 +335,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text_col
 
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return Scratch(docs.sparkSession, "token-files").write(dealt.mapInArrow(encode, SHARDS), "shards")
+    return Scratch(docs.sparkSession, "token-files").write(dealt.mapInArrow(trimmed(encode), SHARDS), "shards")
 
 
 def read_documents(shards: DataFrame, visit=None) -> DataFrame:
@@ -355,7 +355,7 @@ def read_documents(shards: DataFrame, visit=None) -> DataFrame:
                     schema=schema,
                 )
 
-    return shards.select("shard", "part", "doc_ids", "payload").mapInArrow(decode, "shard int, part int, doc_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return shards.select("shard", "part", "doc_ids", "payload").mapInArrow(trimmed(decode), "shard int, part int, doc_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(documents: DataFrame, shards: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -25,6 +25,7 @@ id are each scored. Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, Scratch, passthrough, quoted, table
+from .common import LOWER, UPPER, Scratch, passthrough, quoted, table, trimmed
 from .contamination import words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -156,10 +157,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0]) / scale), float(w[1])
 
 
-def values_of(docs: DataFrame, model: dict[str, np.ndarray], text_col: str, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns and a double ``value`` for every row."""
+def values_of(docs: DataFrame, model: dict[str, np.ndarray], text_col: str, carry: list[str], name: str = "value") -> DataFrame:
+    """The ``carry`` columns and a double ``name`` for every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*[docs.schema[c] for c in carry], T.StructField("value", T.DoubleType())])
+    out = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
 
     def score(batches):
         cache: dict[bytes, float] = {}
@@ -168,9 +169,9 @@ def values_of(docs: DataFrame, model: dict[str, np.ndarray], text_col: str, carr
             for start in range(0, b.num_rows, 256):  # long texts: few at a time as lists of words
                 part = b.slice(start, 256)
                 got = document_values(shipped.value, (x.as_py() for x in text.slice(start, 256)), cache)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], names=[*part.schema.names[:-1], "value"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], names=[*part.schema.names[:-1], name])
 
-    return docs.select(*[quoted(c) for c in carry], quoted(text_col).alias("__text")).mapInArrow(score, out)
+    return docs.select(*[quoted(c) for c in carry], quoted(text_col).alias("__text")).mapInArrow(trimmed(score), out)
 
 
 def _bucket(id_col):
@@ -203,6 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     return model, *_logistic(held["value"].to_numpy(float), held.bad.to_numpy(float))
 
 
+def _score(value, slope: float, offset: float):
+    return 1 / (1 + F.exp(-(value * slope + offset)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, carry: list[str] | None = None) -> DataFrame:
     """Every row (its ``carry`` columns, all by default) with score and predicted."""
     model, slope, offset = train(docs, labels, text_col, id_col, label_col, per_class)
@@ -211,10 +216,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
         valued = docs.select(*[quoted(c) for c in carry], F.lit(0.0).alias("value"))
     else:
         valued = values_of(docs, model, text_col, carry)
-    score = 1 / (1 + F.exp(-(F.col("value") * slope + offset)))
+    score = _score(F.col("value"), slope, offset)
     return valued.select(*[quoted(c) for c in carry], score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all of their columns, whatever these are called."""
+    value = f"__value_{uuid.uuid4().hex[:8]}"
+    model, slope, offset = train(docs, labels, text_col, id_col, label_col, per_class)
+    valued = docs.withColumn(value, F.lit(0.0)) if model is None else values_of(docs, model, text_col, docs.columns, value)
+    return valued.where(~(_score(F.col(value), slope, offset) >= 0.5)).drop(value)
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])

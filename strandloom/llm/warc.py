@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, left_join_sized, quoted, table
+from .common import BROADCAST_BYTES, Scratch, left_join_sized, quoted, table, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
@@ -118,7 +118,7 @@ def to_chunks(marked: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     def write(batches):
         yield from _batches(rows(batches), schema, lambda row: len(row[3]) + 100)
 
-    return marked.select("row_no", "page_id", "uri", "payload", "digest", "refers_to").mapInArrow(write, CHUNKS)
+    return marked.select("row_no", "page_id", "uri", "payload", "digest", "refers_to").mapInArrow(trimmed(write), CHUNKS)
 
 
 def read_records(rows):
@@ -171,7 +171,7 @@ def read_archives(chunks: DataFrame) -> DataFrame:
         yield from _batches(read_records(rows()), schema, lambda row: 200)
 
     ordered = chunks.select("record_id", "chunk_no", "data", "running_sha1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return ordered.mapInArrow(read, RECORDS)
+    return ordered.mapInArrow(trimmed(read), RECORDS)
 
 
 def write_archives(pages: DataFrame, min_revisit: int = 1000, chunk_bytes: int = CHUNK_BYTES, **columns) -> DataFrame:

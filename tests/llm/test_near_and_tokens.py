@@ -74,7 +74,7 @@ def test_near_dedup_chain_and_odd_rows(spark):
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "one"), (104, "ONE"), (105, "one two"), (None, chain[0]), (None, None), (106, "x " * 30000), (103, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
     for limit in (8 << 20, 0):
-        got = sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in nd.near_dedup(df, shingle=2, broadcast_bytes=limit).collect())
+        got = sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in nd.near_dedup(df, shingle=2, broadcast_bytes=limit, beside_texts=limit).collect())
         assert got == sorted((str(i), n, str(c)) for i, n, c in brute(rows, 2))
     judged = nd.near_dedup(df, shingle=2)
     kept = nd.keep_one_each(df, judged)
