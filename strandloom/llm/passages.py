@@ -8,26 +8,35 @@ thereby grouped: those that start between two neighbouring breaks of the windows
 signature's ``HASHES`` functions have one signature, the tuple of their minima, and are
 kept as one interval. There are ``SIGNATURES`` signatures, each of functions of its own;
 intervals of different documents that agree in any of them are candidates. Such pairs are verified on the shingles themselves (similarity of at least ``percent``),
-at every start that both intervals have, and followed along their diagonal as far as the similarity holds.
-
-Documents with equal texts are one. In a signature's group every interval is verified
-against the first place of the group's first document only. Those that fail are compared with all other
-members in blocks, by the shingles around the anchor that their signature shares; a block
-hands on a spanning forest of what it found, never all pairs. Exact repeats of ``min_words``
-words are always found; a stretch at the very threshold agrees in no signature with
-probability (1 - 0.8**2)**4 = 0.017.
+at every start near the anchor of both intervals, and followed along their diagonal as far as the similarity holds.
+
+Documents with equal texts are one. Signatures that two texts share are joined with the
+texts' intervals; of a signature's group the first text is the hub, and a text's
+intervals go to the units of its hubs, each unit cut into blocks by bytes. A text's
+shingles are made once, in a scan, and only the stretches around its intervals are sent.
+In a block an interval is dropped where too few of its shingles occur in any other text
+of the block for the similarity to be possible. What is left is verified against the hub;
+what the hub does not explain meets all other texts of its signature, in the block and,
+for units of several blocks, in a second pass over pairs of blocks. Two texts are compared
+once for all signatures they share, not at all where all of that is verified already. A block hands on each
+text's merged spans and a spanning forest of links: rows grow with texts, never with
+pairs. Exact repeats of ``min_words`` words are always found; a stretch at the very
+threshold agrees in no signature with probability (1 - 0.8**2)**4 = 0.017.
 
 Defined results: null texts and texts under ``min_words`` words have no passages.
 Repeats inside one document alone are not counted; of a passage that another document
-has too, every place is in the spans, and in the first document's ``cut_spans`` none. Rows that repeat an id with its text share
-a class. Only documents with a passage that another has too are returned; an empty
-table returns none. ``class_id`` is the smallest id connected through passages.
+has too, every place is in the spans, and in the first document's ``cut_spans`` none.
+Rows that repeat an id with its text share a class, and ``cut_passages`` cuts by text, so
+rows with null or repeated ids are each cut as their text is; one row of equal texts stays
+whole, that with the smallest row number of the scan. Ids are integers. Only documents with a passage
+that another has too are returned; an empty table returns none. ``class_id`` is the smallest id connected
+through passages, null only where all ids of the class are.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,38 +44,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, quoted, table, trimmed
-from .near_dedup import _mixed, components, sequence_hashes
+from .common import BROADCAST_BESIDE_TEXTS, BROADCAST_BYTES, Scratch, left_join_sized, quoted, table, trimmed
+from .near_dedup import _mixed, components, sequence_hashes, sorted_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, SIGNATURES, HASHES, MIN_WORDS, PERCENT = 5, 4, 2, 50, 80
-BLOCK = 512
+#: Texts, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _SEEDS = _mixed(np.arange(1, SIGNATURES * HASHES + 1, dtype=np.uint64) * np.uint64(0x243F6A8885A308D3))
 
 
-def whole_groups(batches, names: list[str], keys: list[str], wide: str, kind, width: int):
-    """Column arrays of sorted rows such that no group of equal keys is cut; at most a batch and a group at once."""
-    held: dict[str, np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = {c: b.column(c).to_numpy() for c in names}
-        flat = b.column(wide)
-        rows[wide] = np.frombuffer(b"".join(flat.to_pylist()), dtype=kind).reshape(-1, width) if pa.types.is_binary(flat.type) else flat.flatten().to_numpy().reshape(-1, width)
-        if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-        last = np.ones(len(rows[wide]), dtype=bool)
-        for k in keys:
-            last &= rows[k] == rows[k][-1]
-        cut = int(np.argmax(last))  # sorted: the last group is one stretch at the end
-        if cut:
-            yield {c: v[:cut] for c, v in rows.items()}
-        held = {c: v[cut:] for c, v in rows.items()}
-    if held is not None:
-        yield held
-
-
 def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first start, position of the minimum) of each compact window of at least ``least`` values.
 
@@ -112,10 +100,12 @@ def signature_intervals(seqs: list[np.ndarray], least: int) -> tuple[np.ndarray,
         for seed in _SEEDS[n * HASHES : (n + 1) * HASHES]:
             low, at = sliding_minima(_mixed(whole ^ seed), least)
             low, at = low[starts], at[starts]
-            new[1:] |= at[1:] != at[:-1]
+            new[1:] |= low[1:] != low[:-1]  # the same shingle again, a place further on, goes on
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
             anchor = at if anchor is None else anchor
         i = np.flatnonzero(new)
+        if len(starts) > LONGEST:  # no interval is longer than can be packed
+            i = np.union1d(i, np.arange(0, len(starts), LONGEST))
         j = np.append(i[1:], len(starts)) - 1
         text = of[starts[i]]
         parts.append((text, key[i].view(np.int64), starts[i] - begin[text], starts[j] - begin[text], anchor[i] - begin[text]))
@@ -144,175 +134,365 @@ def alike(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[int]:
     return found
 
 
-def verify(a: np.ndarray, b: np.ndarray, matches: list[tuple], least: int, percent: int) -> list[tuple]:
-    """Per match (a first, a last, a anchor, b first, b last, b anchor): whether it holds, and its first and last shingle on each side (both ends are in the other side's stretch).
+FIRST, LONGEST = 36, (1 << 20) - 1
+
+
+def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Intervals as one integer each: first, last - first (up to LONGEST), anchor - first."""
+    return (first << FIRST) | ((last - first) << 16) | (anchor - first)
+
+
+def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = places >> FIRST
+    return first, first + ((places >> 16) & LONGEST), first + (places & 0xFFFF)
+
 
-    Every start that both intervals have at one distance from their anchors is tested;
-    where there is none, the two starts that come nearest to it.
+class Block:
+    """Stretches of several texts, by which their shared intervals are verified.
+
+    ``texts``: (row, keys, places, starts, lengths, shingles) of each.
     """
-    need = -(-2 * percent * least // (100 + percent))
-    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    out = []
-    for af, al, ac, bf, bl, bc in matches:
-        lo, hi = max(af - ac, bf - bc), min(al - ac, bl - bc)
-        sa, sb = (ac + lo, bc + lo) if lo <= hi else (af, bl) if af - ac > bl - bc else (al, bf)
-        long = max(0, hi - lo) + least
-        starts = np.array(alike(a[sa : sa + long], b[sb : sb + long], least, percent), dtype=np.int64) + sb
-        if not len(starts):
-            out.append((False, 0, 0, 0, 0))
-            continue
-        d = sa - sb
-        if d not in runs:  # on this diagonal: which stretches have enough equal shingles
-            b0 = max(0, -d)
-            n = min(len(a) - b0 - d, len(b) - b0)
-            same = a[b0 + d : b0 + d + n] == b[b0 : b0 + n]
-            total = np.concatenate([[0], np.cumsum(same)])
-            good = total[least:] - total[:-least] >= need
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
-            runs[d] = edge.reshape(-1, 2) + b0, np.flatnonzero(same) + b0
-        edges, at = runs[d]
-        k = np.searchsorted(edges[:, 0], starts, side="right") - 1
-        k = k[(k >= 0) & (starts < edges[k, 1])] if len(edges) else k[:0]
-        if len(k):
-            b0 = int(at[np.searchsorted(at, edges[k[0], 0])])
-            b1 = int(at[np.searchsorted(at, edges[k[-1], 1] - 1 + least) - 1])
-            out.append((True, b0 + d, b1 + d, b0, b1))
-        else:  # words were put in or taken out: the stretches, from the first to the last shingle that both have
-            b0, b1 = int(starts[0]), int(starts[-1]) + least
-            x, y = a[b0 + d : b1 + d], b[b0:b1]
-            p, q = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
-            out.append((True, b0 + d + int(p[0]), b0 + d + int(p[-1]), b0 + int(q[0]), b0 + int(q[-1])))
-    return out
-
-
-def _intervals(texts: DataFrame, least: int) -> DataFrame:
-    """(key, row, first, last, anchor) of the distinct texts."""
-    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
+
+    def __init__(self, texts: list[tuple], least: int, percent: int):
+        self.least, self.percent = least, percent
+        self.need = -(-2 * percent * least // (100 + percent))
+        self.row = [t[0] for t in texts]
+        parts, self.shift = [], []
+        for _, _, _, starts, lengths, shingles in texts:
+            # a gap after each stretch, so that none runs into the next
+            ends = np.cumsum(lengths)
+            parts.append(np.insert(shingles, ends, 0))
+            self.shift.append((starts, ends - lengths + np.arange(len(lengths))))
+        sizes = np.array([len(x) for x in parts])
+        self.begin = np.cumsum(sizes) - sizes
+        flat = np.concatenate(parts)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        gap = np.concatenate([self._gaps(t[4]) for t in texts])
+        ids = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+        ids[gap] = ids.max(initial=0) + 1 + np.arange(int(gap.sum()))  # equal to nothing
+        self.ids, n = ids, len(flat)
+        in_text = of * (int(ids.max(initial=0)) + 1) + ids
+        order = np.argsort(in_text, kind="stable")
+        again = np.flatnonzero(in_text[order[1:]] == in_text[order[:-1]]) + 1
+        back = np.full(n, n)
+        back[order[again]] = order[again] - order[again - 1]
+        firsts = np.delete(order, again)
+        texts_with = np.bincount(ids[firsts], minlength=int(ids.max(initial=0)) + 1)
+        window = lambda mask: (lambda c: c[least:] - c[:-least])(np.concatenate([[0], np.cumsum(mask)]))
+        if n >= least:
+            whole = window(gap) == 0
+            self.plain = whole & (window(back < least) == 0)  # stretches without a repeated shingle
+            enough = window(texts_with[ids] > 1) >= -(-percent * least // 100)
+            able = whole & (enough | ~self.plain)
+        else:
+            self.plain = able = np.zeros(0, dtype=bool)
+        self.plain = np.append(self.plain, np.zeros(n - len(self.plain), dtype=bool))
+        self.able = np.concatenate([[0], np.cumsum(np.append(able, np.zeros(n - len(able), dtype=bool)))])
+        self.texts_with = [dict() for _ in texts]
+        self.twins: list[dict] = [{} for _ in texts]  # of a place that stands for others: how far they are
+        self.members: dict[int, list[int]] = defaultdict(list)
+        for m, (_, keys, places, *_) in enumerate(texts):
+            first, last, anchor = unpacked(places)
+            low = self.local(m, first)
+            first, last, anchor = low, last - first + low, anchor - first + low
+            alive = self.able[last + 1] > self.able[first]
+            for key, f, t, c in zip(keys[alive].tolist(), first[alive].tolist(), last[alive].tolist(), anchor[alive].tolist()):
+                self.texts_with[m].setdefault(key, []).append((f, t, c))
+        for m, held in enumerate(self.texts_with):
+            for key, places in held.items():
+                self.members[key].append(m)
+                if len(places) > 1:  # of places with one context the first is compared, and stands for all
+                    alike_ = defaultdict(list)
+                    for f, t, c in places:
+                        alike_[self.ids[f : t + least].tobytes(), c - f].append((f, t, c))
+                    held[key] = [g[0] for g in alike_.values()]
+                    for (f, _, c), *others in alike_.values():
+                        if others:
+                            self.twins[m][f, c] = [x - f for x, _, _ in others]
+        self.spans: list[list[tuple[int, int, bool]]] = [[] for _ in texts]
+        self.done = [np.zeros(int(s), dtype=np.uint8) for s in sizes]  # starts of stretches: 1 for verified, 2 for verified with an earlier text
+        self.top = list(range(len(texts)))
+        self.edges: list[tuple[int, int]] = []
+        self.explained: dict[int, set[int]] = {}
+
+    @staticmethod
+    def _gaps(lengths: np.ndarray) -> np.ndarray:
+        out = np.zeros(int(lengths.sum()) + len(lengths), dtype=bool)
+        out[np.cumsum(lengths) + np.arange(len(lengths))] = True
+        return out
+
+    def local(self, m: int, position: np.ndarray) -> np.ndarray:
+        """Positions in a text as positions in the block."""
+        starts, at = self.shift[m]
+        k = np.searchsorted(starts, position, side="right") - 1
+        return self.begin[m] + at[k] + position - starts[k]
+
+    def of_text(self, m: int, position: int) -> int:
+        starts, at = self.shift[m]
+        k = int(np.searchsorted(at, position - self.begin[m], side="right")) - 1
+        return int(starts[k] + position - self.begin[m] - at[k])
+
+    def find(self, m: int) -> int:
+        while self.top[m] != m:
+            self.top[m] = self.top[self.top[m]]
+            m = self.top[m]
+        return m
+
+    def alike(self, a: int, b: int, n: int) -> np.ndarray:
+        """Of the ``n`` starts from ``a`` and ``b`` on: whether the stretches of both, as sets, have the similarity."""
+        least, long = self.least, n + self.least - 1
+        x, y = self.ids[a : a + long], self.ids[b : b + long]
+        both, i, j = np.intersect1d(x, y, return_indices=True)
+        own = len(np.unique(x))
+        # each place that a stretch leaves out takes at most one distinct shingle from it
+        if 100 * len(both) < self.percent * (own - n + 1):
+            return np.zeros(n, dtype=bool)
+        if own == long and len(np.unique(y)) == long:  # a shared shingle counts where a stretch has both of its places
+            low, high = np.minimum(i, j), np.maximum(i, j) - least + 1
+            met = low >= high
+            steps = np.bincount(np.maximum(high[met], 0), minlength=long + 1) - np.bincount(low[met] + 1, minlength=long + 1)
+            return np.cumsum(steps)[:n] >= self.need
+        out = np.zeros(n, dtype=bool)
+        out[alike(x, y, least, self.percent)] = True
+        return out
+
+    def pair(self, a: int, b: int, keys) -> set[int]:
+        """The keys whose intervals in both texts have a common stretch; its spans are kept.
+
+        Each start that two intervals have at one distance from their anchors is tested;
+        where there is none, the two starts that come nearest to it.
+        """
+        least, ok, found, twins = self.least, set(), set(), []
+        asked: dict[int, list[tuple]] = defaultdict(list)
+        for key in keys:
+            for one in self.texts_with[a][key]:
+                for two in self.texts_with[b][key]:
+                    (af, al, ac), (bf, bl, bc) = one, two
+                    lo, hi = max(af - ac, bf - bc), min(al - ac, bl - bc)
+                    sa, sb = (ac + lo, bc + lo) if lo <= hi else (af, bl) if af - ac > bl - bc else (al, bf)
+                    asked[sa - sb].append((sb, sb + max(0, hi - lo) + 1, key, one, two))
+        for d, items in asked.items():
+            b0, same, good, edges = self._diagonal(a, b, d)
+            total = np.concatenate([[0], np.cumsum(good)])
+            holds, slow = good, []
+            missing = [(lo, hi) for lo, hi, *_ in sorted(items, key=lambda x: x[:2]) if total[hi - b0] == total[lo - b0]]
+            while missing:  # ranges that overlap are tested as one
+                lo, hi = missing.pop(0)
+                while missing and missing[0][0] <= hi:
+                    hi = max(hi, missing.pop(0)[1])
+                got = self.alike(lo + d, lo, hi - lo)
+                if got.any():
+                    holds = holds.copy() if holds is good else holds
+                    holds[lo - b0 : hi - b0] |= got
+                    slow += (np.flatnonzero(np.diff(np.concatenate([[0], got.view(np.int8), [0]]))).reshape(-1, 2) + lo).tolist()
+            if holds is not good:
+                total = np.concatenate([[0], np.cumsum(holds)])
+            starts = []
+            for lo, hi, key, one, two in items:
+                if total[hi - b0] > total[lo - b0]:
+                    ok.add(key)
+                    starts.append(np.flatnonzero(holds[lo - b0 : hi - b0]) + lo - b0)
+                    twins += [(m, other, place, by) for m, other, place in ((a, b, one), (b, a, two)) for by in self.twins[m].get((place[0], place[2]), ())]
+            if not starts:
+                continue
+            starts = np.unique(np.concatenate(starts))
+            self.done[a][starts + b0 + d - self.begin[a]] |= 3 if self.row[a] > self.row[b] else 1
+            self.done[b][starts + b0 - self.begin[b]] |= 3 if self.row[b] > self.row[a] else 1
+            fast = starts[good[starts]]
+            for x, y in edges[np.unique(np.searchsorted(edges[:, 0], fast, side="right") - 1)].tolist() if len(fast) else ():
+                first, last = np.flatnonzero(same[x : y - 1 + least])[[0, -1]] + x + b0
+                found.add((int(first) + d, int(last) + d, int(first), int(last)))
+            for x0, x1 in slow:  # words were put in or taken out: from the first to the last shingle that both have
+                u, v = self.ids[x0 + d : x1 - 1 + least + d], self.ids[x0 : x1 - 1 + least]
+                p, q = np.flatnonzero(np.isin(u, v)), np.flatnonzero(np.isin(v, u))
+                found.add((x0 + d + int(p[0]), x0 + d + int(p[-1]), x0 + int(q[0]), x0 + int(q[-1])))
+        for a0, a1, b0, b1 in found:
+            self._add(a, a0, a1, self.row[a] > self.row[b])
+            self._add(b, b0, b1, self.row[b] > self.row[a])
+        for m, other, (f, t, _), by in twins:
+            self._add(m, f + by, t + by + least - 1, self.row[m] > self.row[other])
+        if found and self.find(a) != self.find(b):
+            self.top[self.find(b)] = self.find(a)
+            self.edges.append((a, b))
+        return ok
+
+    def _add(self, m: int, first: int, last: int, cut: bool) -> None:
+        self.spans[m].append((self.of_text(m, first), self.of_text(m, last), cut))
+
+    def _diagonal(self, a: int, b: int, d: int) -> tuple:
+        """(first position, equal shingles, good starts, runs of good starts) of both texts shifted by ``d``."""
+        end = lambda m: int(self.begin[m]) + len(self.done[m])
+        b0 = max(int(self.begin[b]), int(self.begin[a]) - d)
+        b1 = min(end(b), end(a) - d)
+        same = self.ids[b0 + d : b1 + d] == self.ids[b0:b1]
+        total = np.concatenate([[0], np.cumsum(same)])
+        good = np.zeros(max(0, b1 - b0), dtype=bool)
+        if len(same) >= self.least:
+            # as many equal places without repeats are as many equal shingles
+            n = len(same) - self.least + 1
+            equal = total[self.least :] - total[: -self.least]
+            good[:n] = (equal == self.least) | (equal >= self.need) & self.plain[b0 : b0 + n] & self.plain[b0 + d : b0 + d + n]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8))).reshape(-1, 2)
+        return b0, same, good, edges
+
+    def covered(self, p: int, q: int, key: int) -> bool:
+        """Whether all that two texts might share by a key is in their spans already, and cut from the later one."""
+        later = p if self.row[p] > self.row[q] else q
+        whole = lambda m, bit: all((self.done[m][f - self.begin[m] : t - self.begin[m] + 1] & bit).all() for f, t, _ in self.texts_with[m][key])
+        return whole(later, 2) and whole(p + q - later, 1)
+
+    def star(self, hub: int) -> dict[int, set[int]]:
+        """What of each text's keys the hub does not explain, after the hub has met all texts."""
+        mine, open_ = self.texts_with[hub], {}
+        for m in range(len(self.row)):
+            if m == hub:
+                continue
+            shared = [k for k in self.texts_with[m] if k in mine]
+            ok = self.pair(hub, m, shared) if shared else set()
+            if rest := set(self.texts_with[m]) - ok:
+                open_[m] = rest
+            self.explained[m] = ok
+        return open_
+
+    def among(self, open_: dict[int, set[int]], others=None) -> None:
+        """Texts with open keys against all (other) texts that have these, each pair once."""
+        met = set()
+        for p in sorted(open_):
+            partners: dict[int, list[int]] = defaultdict(list)
+            for key in open_[p]:
+                for q in self.members[key]:
+                    if q != p and (others is None or q in others) and (q, p) not in met:
+                        partners[q].append(key)
+            for q, keys in partners.items():
+                if self.row[q] == self.row[p]:
+                    continue
+                met.add((p, q))
+                if self.find(p) == self.find(q):
+                    keys = [k for k in keys if not self.covered(p, q, k)]
+                if keys:
+                    self.pair(p, q, keys)
+
+
+def _intervals(docs: DataFrame, least: int, text_col: str, id_col: str) -> DataFrame:
+    """Per row: id, hashes of the text, number of words, and the text's intervals as arrays of keys and packed places."""
+    names = ["id", "t1", "t2", "words", "keys", "places"]
 
     def make(batches):
         cache: dict[bytes, int] = {}
         for b in batches:
-            text, row = b.column("text").cast(pa.large_binary()), b.column("row").to_numpy()
+            text = b.column("text").cast(pa.large_binary())
             for start in range(0, b.num_rows, 128):
-                of, key, first, last, anchor = signature_intervals([sequence_hashes(t.as_py(), SHINGLE, cache) for t in text.slice(start, 128)], least)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[start : start + 128][of]), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], schema=schema)
+                part = b.slice(start, 128)
+                seqs = [sequence_hashes(t.as_py(), SHINGLE, cache) for t in text.slice(start, 128)]
+                of, key, first, last, anchor = signature_intervals(seqs, least)
+                order = np.argsort(of, kind="stable")
+                cuts = pa.array(np.searchsorted(of[order], np.arange(len(seqs) + 1)).astype(np.int32))
+                place = packed(first, last, anchor)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order], pa.int64())) for x in (key, place)]
+                words = pa.array([len(s) + SHINGLE - 1 if len(s) > 1 else min(len(s), 1) for s in seqs], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), words, *lists], names=names)
+
+    text = quoted(text_col)
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+    return rows.mapInArrow(trimmed(make), "id long, t1 long, t2 long, words int, keys array<bigint>, places array<bigint>")
+
 
-    return texts.select("row", "text").mapInArrow(trimmed(make), "key long, row long, first int, last int, anchor int")
+STRETCHES = "unit long, i int, j int, part int, row long, keys array<bigint>, places array<bigint>, starts array<int>, lengths array<int>, shingles array<bigint>"
 
 
-def _sequences(texts: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
+def _stretches(docs: DataFrame, placed: DataFrame, least: int, text_col: str, id_col: str, beside_texts: int) -> DataFrame:
+    """A STRETCHES row for each (unit, i, j, part, keys, places) that a text is placed in.
+
+    ``placed``: row, rep (hashes and id of the row that stands for the text), at. Texts are told from
+    the others by a broadcast while that is small, and met by their hashes in a shuffle.
+    """
+
+    def cut(seq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, last, _ = unpacked(places)
+        order = np.argsort(first)
+        lo, hi = first[order], last[order] + least
+        hi = np.maximum.accumulate(hi)
+        new = np.append(True, lo[1:] > hi[:-1])
+        starts, stops = lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]
+        return starts, stops - starts, np.concatenate([seq[x:y] for x, y in zip(starts.tolist(), stops.tolist())])
+
     def make(batches):
         cache: dict[bytes, int] = {}
+        fields = [pa.field("unit", pa.int64()), *(pa.field(c, pa.int32()) for c in ("i", "j", "part")), pa.field("row", pa.int64()), *(pa.field(c, pa.list_(pa.int64())) for c in ("keys", "places")), *(pa.field(c, pa.list_(pa.int32())) for c in ("starts", "lengths")), pa.field("shingles", pa.list_(pa.int64()))]
         for b in batches:
             text = b.column("text").cast(pa.large_binary())
-            for start in range(0, b.num_rows, 256):
-                seqs = [sequence_hashes(x.as_py(), SHINGLE, cache).view(np.int64) for x in text.slice(start, 256)]
-                yield pa.RecordBatch.from_arrays([b.column("row").slice(start, 256), pa.array(seqs, pa.list_(pa.int64()))], names=["row", "seq"])
+            for n in range(b.num_rows):
+                seq = sequence_hashes(text[n].as_py(), SHINGLE, cache).view(np.int64)
+                row = b.column("row")[n].as_py()
+                out = []
+                for at in b.column("at")[n].values.to_pylist():
+                    places = np.array(at["places"], dtype=np.int64)
+                    # every stretch that holds the anchor counts, not those alone that have the signature
+                    _, last, anchor = unpacked(places)
+                    first = np.maximum(anchor - least + 1, 0)
+                    places = packed(first, np.minimum(np.minimum(np.maximum(anchor, last), len(seq) - least), first + LONGEST), anchor)
+                    out.append((at["unit"], at["i"], at["j"], at["part"], row, at["keys"], places, *cut(seq, places)))
+                for start in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[start : start + 64]), fields)], schema=pa.schema(fields))
 
-    small = wanted.count() * 16 <= broadcast_bytes
-    return texts.join(F.broadcast(wanted) if small else wanted, "row", "left_semi").select("row", "text").mapInArrow(trimmed(make), "row long, seq array<bigint>")
+    text = quoted(text_col)
+    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), quoted(id_col).cast("long").alias("id"), text.alias("text"))
+    ends = placed.select(*(F.col(f"rep.{c}").alias(f"_{c}") for c in ("t1", "t2", "id")), "row")
+    same = lambda a, b: (a["t1"] == b["_t1"]) & (a["t2"] == b["_t2"]) & a["id"].eqNullSafe(b["_id"])
+    if ends.count() * 200 <= beside_texts:
+        rows = rows.join(F.broadcast(ends.drop("row")), same(rows, ends), "left_semi")
+    wanted = placed.select("row", "at", *(F.col(f"rep.{c}").alias(f"_{c}") for c in ("t1", "t2", "id")))
+    met = rows.join(wanted.hint("merge"), same(rows, wanted))
+    return met.select("row", "at", "text").mapInArrow(trimmed(make), STRETCHES)
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
-    """(key, hub, row, first, ok and spans) for each match of (hub, row, matches) pairs."""
-    schema = pa.schema([("key", pa.int64()), ("hub", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("ok", pa.bool_()), *((c, pa.int32()) for c in ("h0", "h1", "r0", "r1"))])
+def _verified(stretches: DataFrame, least: int, percent: int) -> DataFrame:
+    """(unit, row, other, spans, cuts, open) of each block: merged spans of its texts, its links, and keys left open.
 
-    def check(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                hub, row = b.column("hub")[i].as_py(), b.column("row")[i].as_py()
-                a, c = (b.column(k)[i].values.to_numpy() for k in ("hub_seq", "row_seq"))
-                m = b.column("matches")[i].values
-                f = [m.field(k).to_numpy() for k in ("h_first", "h_last", "h_anchor", "first", "last", "anchor")]
-                got = verify(a, c, list(zip(*(x.tolist() for x in f))), least, percent)
-                ok, h0, h1, r0, r1 = zip(*got)
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([m.field("key"), pa.array([hub] * n, pa.int64()), pa.array([row] * n, pa.int64()), m.field("first").cast(pa.int32()), pa.array(ok), *(pa.array(x, pa.int32()) for x in (h0, h1, r0, r1))], schema=schema)
-
-    joined = pairs.join(sequences.select(F.col("row").alias("hub"), F.col("seq").alias("hub_seq")), "hub").join(sequences.withColumnRenamed("seq", "row_seq"), "row")
-    return joined.select("hub", "row", "hub_seq", "row_seq", "matches").mapInArrow(trimmed(check), "key long, hub long, row long, first int, ok boolean, h0 int, h1 int, r0 int, r1 int")
-
-
-def _among(rest: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
-    """Verified (hub, row, spans) of members that their group's first document does not explain, with all its other members.
-
-    ``rest``: key, row, anchor, ok (explained by the first document), and how many members
-    are not and are in all (failed, size). Those that failed are cut into blocks of BLOCK,
-    and so are all; a task holds a block of either, each member with the ``least - 1``
-    shingles on either side of its anchor. Pairs with enough shingles in common are
-    verified as others are, but for those that the block's links connect already.
+    Blocks with a part 0 are stars: part 0 is the hub; others are of part 1, or of part 3
+    where the unit has several blocks. In blocks without, the texts of part 1 meet those of part 2.
     """
-    side = least - 1
-    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), side), "seq", F.array_repeat(F.lit(0).cast("long"), side))
-    around = rest.join(sequences, "row").select("key", "row", "anchor", F.col("ok").cast("int").alias("ok"), F.greatest(F.lit(0), side - F.col("anchor")).alias("before"), F.least(F.lit(2 * side + 1), side - F.col("anchor") + F.size("seq")).alias("end"), F.slice(padded, F.col("anchor") + 1, 2 * side + 1).alias("around"), *(F.ceil(F.col(c) / F.lit(BLOCK)).cast("int").alias(c) for c in ("failed", "size")))
-    block = lambda c: F.pmod(F.xxhash64("row", "anchor"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    names = ["key", "i", "j", "left", "row", "anchor", "ok", "before", "end"]
-    lefts = around.where("ok = 0").withColumn("i", block("failed")).withColumn("j", every("size")).withColumn("left", F.lit(1))
-    each = lefts.unionByName(around.withColumn("j", block("size")).withColumn("i", every("failed")).withColumn("left", F.lit(0)))
-    columns = ("hub", "row", "h0", "h1", "r0", "r1")
-    schema = pa.schema([(c, pa.int64() if c in ("hub", "row") else pa.int32()) for c in columns])
-
-    def found(rows: dict[str, np.ndarray]):
-        order = np.lexsort((-rows["left"], rows["j"], rows["i"], rows["key"]))
-        rows = {c: v[order] for c, v in rows.items()}
-        ids = np.unique(rows["around"], return_inverse=True)[1].reshape(rows["around"].shape)
-        pads = (np.arange(2 * side + 1) < rows["before"][:, None]) | (np.arange(2 * side + 1) >= rows["end"][:, None])
-        held, has = ids.max(initial=0) + 1, np.zeros(ids.max(initial=0) + 2, dtype=bool)
-        ids[pads] = held
-        sorted_ids = np.sort(ids, axis=1)
-        distinct = 1 + (sorted_ids[:, 1:] != sorted_ids[:, :-1]).sum(axis=1) - pads.any(axis=1)
-        # a stretch has at least so many distinct shingles, and two that are alike share a part of them
-        fewest = np.maximum(1, least - ((~pads).sum(axis=1) - distinct))
-        same = np.stack([rows["key"], rows["i"], rows["j"]])
-        edges = np.flatnonzero(np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0)))
-        out = []
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
-            n_left = int(rows["left"][lo:hi].sum())
-            if not n_left or n_left == hi - lo:
+    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    schema = pa.schema([("unit", pa.int64()), ("row", pa.int64()), ("other", pa.int64()), ("spans", span), ("cuts", span), ("open", pa.list_(pa.int64()))])
+
+    def joined(spans: list[tuple[int, int]]) -> list[dict]:
+        out: list[dict] = []
+        for first, last in sorted(set(spans)):
+            last += SHINGLE - 1
+            if out and out[-1]["last"] >= first - 1:
+                out[-1]["last"] = max(out[-1]["last"], last)
+            else:
+                out.append({"first": first, "last": last})
+        return out
+
+    def check(batches):
+        for (unit, _, _), group in sorted_groups(batches, ["unit", "i", "j"]):
+            texts, part = [], []
+            for b in group:
+                for n in range(b.num_rows):
+                    arrays = [b.column(c)[n].values.to_numpy() for c in ("keys", "places", "starts", "lengths", "shingles")]
+                    texts.append((b.column("row")[n].as_py(), *arrays[:2], *(x.astype(np.int64) for x in arrays[2:4]), arrays[4]))
+                    part.append(b.column("part")[n].as_py())
+            if len(texts) < 2:
                 continue
-            # members are known by row and anchor on either side; the explained ones are connected
-            first = np.unique(np.stack([rows["row"][lo:hi], rows["anchor"][lo:hi].astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
-            root = np.arange(hi - lo)
-            explained = first[rows["ok"][lo:hi] == 1]
-            root[explained] = explained.min(initial=hi - lo)
-
-            def top(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            others = ids[lo + n_left : hi]
-            for p in range(lo, lo + n_left):
-                has[ids[p]] = True
-                has[held] = False
-                need = percent * (fewest[p] + fewest[lo + n_left : hi]) / (100 + percent)
-                shared = has[others].sum(axis=1)
-                has[ids[p]] = False
-                near = np.flatnonzero((shared >= need) & (rows["row"][lo + n_left : hi] != rows["row"][p])) + lo + n_left
-                for q in near.tolist():
-                    x, y = top(first[p - lo]), top(first[q - lo])
-                    if x == y:
-                        continue
-                    u, v = (p, q) if rows["row"][p] < rows["row"][q] else (q, p)
-                    text = [rows["around"][m, rows["before"][m] : rows["end"][m]] for m in (u, v)]
-                    at = [side - int(rows["before"][m]) for m in (u, v)]
-                    ends = [len(t) - least for t in text]
-                    [(ok, *spans)] = verify(*text, [(0, ends[0], at[0], 0, ends[1], at[1])], least, percent)
-                    if ok:
-                        root[max(x, y)] = min(x, y)
-                        shift = [int(rows["anchor"][m]) - c for m, c in zip((u, v), at)]
-                        out.append((rows["row"][u], rows["row"][v], spans[0] + shift[0], spans[1] + shift[0], spans[2] + shift[1], spans[3] + shift[1]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-    def compare(batches):
-        for rows in whole_groups(batches, names, ["key", "i", "j"], "around", np.int64, 2 * side + 1):
-            yield from found(rows)
-
-    dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select(*names, "around").mapInArrow(trimmed(compare), "hub long, row long, h0 int, h1 int, r0 int, r1 int")
+            block, left = Block(texts, least, percent), {}
+            if 0 in part:
+                block.among(block.star(part.index(0)))
+                # in a unit of several blocks, whatever the hub did not explain meets the others
+                left = {m: rest for m, p in enumerate(part) if p == 3 and (rest := set(texts[m][1].tolist()) - block.explained[m])}
+            else:
+                block.among({m: set(block.texts_with[m]) for m, p in enumerate(part) if p == 1}, {m for m, p in enumerate(part) if p == 2})
+            rows = []
+            for m, row in enumerate(block.row):
+                if block.spans[m] or m in left:
+                    rows.append((unit, row, None, joined([s[:2] for s in block.spans[m]]), joined([s[:2] for s in block.spans[m] if s[2]]), sorted(left.get(m, ()))))
+            rows += [(unit, block.row[a], block.row[b], [], [], []) for a, b in block.edges]
+            for start in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[start : start + 512]), schema)], schema=schema)
+
+    dealt = stretches.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    out = "array<struct<first:int,last:int>>"
+    return dealt.mapInArrow(trimmed(check), f"unit long, row long, other long, spans {out}, cuts {out}, open array<bigint>")
 
 
 def _merged(spans):
@@ -328,99 +508,124 @@ def _merged(spans):
     )
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, class_id, n_links, spans, cut_spans) of each document that shares a passage.
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, beside_texts: int = BROADCAST_BESIDE_TEXTS) -> DataFrame:
+    """(id, class_id, class_size, spans, cut_spans, t1, t2, stays) of each row that shares a passage.
 
-    Spans are (first, last) word numbers. ``cut_spans`` are those that a document before
-    it (in the operator's own order of texts) has too, so that cutting them everywhere
-    leaves one of each passage; equal texts have their whole length there in all rows
-    but the smallest id's.
+    Spans are (first, last) word numbers. ``cut_spans`` are those that a text before it
+    (in the operator's own order of texts) has too, so that cutting them everywhere
+    leaves one of each passage. Of rows with equal texts of at least ``min_words`` words
+    one ``stays``; the others have their whole length there. ``t1`` and ``t2`` are
+    hashes of the text; ``class_size`` is the number of rows of the class.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     least = max(1, min_words - SHINGLE + 1)
-    text = quoted(text_col)
-    keyed = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
-    # one row per distinct text; the text itself is read again and never shuffled
-    same = keyed.select("id", "t1", "t2").groupBy("t1", "t2").agg(F.min("id").alias("least_id"), F.count("*").alias("n"))
-    same = scratch.write(same.withColumn("row", F.monotonically_increasing_id()), "texts")
-    numbered = _one_each(keyed, same, broadcast_bytes)
-
-    intervals = scratch.write(_intervals(numbered, least), "intervals")
-    groups = intervals.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("key")
+    if least >= 1 << 16:
+        raise ValueError("passages of at most 65,535 words can be asked for")
+    marked = scratch.write(_intervals(docs, least, text_col, id_col).withColumn("row", F.monotonically_increasing_id()), "marked")
+    rep = F.min(F.struct("row", "t1", "t2", "id")).alias("rep")
+    same = marked.groupBy("t1", "t2").agg(rep, F.min("id").alias("least_id"), F.count("*").alias("n"), F.max("words").alias("words"))
+    same = scratch.write(same.select(F.col("rep.row").alias("row"), "t1", "t2", "rep", "least_id", "n", "words"), "texts")
+
+    # intervals of one row of each text; the rows of copies are few, or else met in a shuffle
+    copies = marked.select("row", "t1", "t2").join(same.where("n > 1").select("t1", "t2", F.col("row").alias("first_row")), ["t1", "t2"]).where("row <> first_row").select("row")
+    copies = scratch.write(copies, "copies")
+    small = copies.count() * 64 <= broadcast_bytes
+    once = marked.select("row", "keys", "places").join(F.broadcast(copies) if small else copies, "row", "left_anti")
+    intervals = once.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    groups = intervals.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("hi")).where("hub <> hi").select("key", "hub")
     groups = scratch.write(groups, "groups")
-    small = groups.count() * 16 <= broadcast_bytes
-    # a document may hold a passage in many places, each of which is a member
-    left = scratch.write(intervals.join(F.broadcast(groups) if small else groups, "key").select("key", "row", "first", "last", "anchor"), "members")
-    scratch.drop("intervals")
-    ends = scratch.write(left.select("row").distinct(), "ends")
-    sequences = scratch.write(_sequences(numbered, ends, broadcast_bytes), "sequences")
-
-    hubs = left.groupBy("key").agg(F.min(F.struct("row", "first", "last", "anchor")).alias("h"))
-    hubs = hubs.select("key", F.col("h.row").alias("hub"), F.col("h.first").alias("h_first"), F.col("h.last").alias("h_last"), F.col("h.anchor").alias("h_anchor"))
-    match = left.join(hubs, "key").where("row <> hub OR first <> h_first")
-    pairs = match.groupBy("hub", "row").agg(F.collect_list(F.struct("key", "h_first", "h_last", "h_anchor", "first", "last", "anchor")).alias("matches"))
-    checked = scratch.write(_verified(pairs, sequences, least, percent), "checked")
-    # members that the hub does not explain meet all others of their group
-    met = checked.where("row <> hub")
-    sizes = met.groupBy("key").agg(F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("size")).where("failed > 0 AND size > 1")
-    rest = met.join(sizes, "key").join(left.select("key", "row", "first", "anchor"), ["key", "row", "first"])
-    rest = scratch.write(rest.select("key", "row", "anchor", "ok", "failed", "size"), "rest")
-    # the hub's other places count where another document has the passage
-    ok = checked.where("ok")
-    ok = ok.where("row <> hub").unionByName(ok.where("row = hub").join(ok.where("row <> hub").select("key").distinct(), "key", "left_semi"))
-    links = ok.select("hub", "row", "h0", "h1", "r0", "r1").unionByName(_among(rest, sequences, least, percent))
-    links = scratch.write(links, "links")
-    wide = SHINGLE - 1
-    sides = links.select(F.col("hub").alias("row"), F.col("row").alias("other"), F.col("h0").alias("first"), (F.col("h1") + wide).alias("last"), F.lit(False).alias("cut")).unionByName(
-        links.select("row", F.col("hub").alias("other"), F.col("r0").alias("first"), (F.col("r1") + wide).alias("last"), (F.col("row") != F.col("hub")).alias("cut"))
-    )
-    span = F.struct("first", "last")
-    spans = sides.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set(F.when(F.col("cut"), span))).alias("c"), F.count_distinct(F.when(F.col("other") != F.col("row"), F.col("other"))).alias("n_links"))
-    spans = spans.select("row", _merged(F.col("s")).alias("spans"), _merged(F.col("c")).alias("cut_spans"), "n_links")
-    roots = components(links.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), scratch, "classes")
-    linked = scratch.write(spans.join(roots.withColumnRenamed("node", "row"), "row"), "linked")
+    pairs = intervals.join(groups.hint("merge"), "key").groupBy("hub", "row").agg(F.collect_list(F.struct("key", "place")).alias("x")).select("hub", "row", F.col("x.key").alias("keys"), F.col("x.place").alias("places"))
+    pairs = scratch.write(pairs, "pairs")
+
+    # stars: the hub in each block of its unit, every other text in one
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.greatest((F.count("*") - 1) / F.lit(BLOCK), F.sum(F.size("keys")) * least / F.lit(2 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    sizes = scratch.write(sizes, "sizes")
+    met = pairs.join(sizes, "hub")
+    is_hub = F.col("row") == F.col("hub")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    place = lambda i, j, part: F.struct(F.col("hub").alias("unit"), i.cast("int").alias("i"), j.cast("int").alias("j"), part.cast("int").alias("part"), F.col("keys"), F.col("places"))
+    blocks = F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    at = F.transform(blocks, lambda j: place(F.lit(0), j, F.when(is_hub, F.lit(0)).when(F.col("blocks") > 1, F.lit(3)).otherwise(F.lit(1))))
+    placed = met.select("row", at.alias("at")).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))
+    placed = scratch.write(placed.join(same.select("row", "rep"), "row"), "star-places")
+    args = (least, text_col, id_col, beside_texts)
+    stars = scratch.write(_verified(_stretches(docs, placed, *args), least, percent), "stars")
+
+    # units of several blocks: what hubs did not explain meets the other blocks
+    wide = sizes.where("blocks > 1").select(F.col("hub").alias("unit"))
+    open_ = stars.where(F.size("open") > 0).join(wide, "unit", "left_semi").select("unit", "row", "open")
+    open_ = scratch.write(open_, "open")
+    found = stars
+    if not open_.isEmpty():
+        keys = open_.select("unit", F.explode("open").alias("key"))
+        lefts = keys.distinct()
+        every = pairs.where(~is_hub).select(F.col("hub").alias("unit"), "row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("unit", "row", "x.keys", "x.places").withColumnsRenamed({"keys": "key", "places": "place"})
+        every = every.join(lefts, ["unit", "key"], "left_semi")
+        failed = open_.select("unit", "row", F.explode("open").alias("key")).withColumn("failed", F.lit(True))
+        every = every.join(failed.distinct(), ["unit", "row", "key"], "left")
+        listed = every.groupBy("unit", "row").agg(F.collect_list(F.struct("key", "place", "failed")).alias("x"))
+        listed = listed.withColumn("y", F.filter("x", lambda e: e.failed)).select("unit", "row", F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("y.key").alias("left_keys"), F.col("y.place").alias("left_places"))
+        listed = scratch.write(listed, "listed")
+        counts = listed.groupBy("unit").agg(*(F.ceil(F.greatest(F.count_if(F.size(c) > 0) / F.lit(BLOCK), F.sum(F.size(c)) * least / F.lit(2 * BLOCK_SHINGLES), F.lit(1.0))).cast("int").alias(n) for c, n in (("left_keys", "lefts"), ("keys", "alls"))))
+        both = listed.join(counts, "unit")
+        own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+        to = lambda i, j, part, k, p: F.struct(F.col("unit"), i.alias("i"), j.alias("j"), F.lit(part).alias("part"), F.col(k).alias("keys"), F.col(p).alias("places"))
+        as_left = F.transform(F.sequence(F.lit(0), F.col("alls") - 1), lambda j: to(own("lefts"), j, 1, "left_keys", "left_places"))
+        as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: to(i, own("alls"), 2, "keys", "places"))
+        at = F.concat(F.when(F.size("left_keys") > 0, as_left).otherwise(F.slice(as_left, 1, 0)), as_right)
+        placed = both.select("row", at.alias("at")).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))
+        placed = scratch.write(placed.join(same.select("row", "rep"), "row"), "block-places")
+        found = stars.unionByName(scratch.write(_verified(_stretches(docs, placed, *args), least, percent), "among"))
+
+    links = found.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")).distinct()
+    roots = components(links, scratch, "classes")
+    spans = found.where(F.size("spans") > 0).groupBy("row").agg(*(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "cuts")))
+    spans = scratch.write(spans.select("row", _merged(F.col("spans")).alias("spans"), _merged(F.col("cuts")).alias("cut_spans")), "spans")
 
     # classes by id; equal texts of at least min_words words are a class even without other links
-    of_text = same.join(linked, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    least_ids = of_text.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    found = scratch.write(of_text.join(least_ids, "root").where("n > 1 OR spans IS NOT NULL").select("t1", "t2", "n", "least_id", "class_id", "spans", "cut_spans", "n_links"), "found")
-    small = found.count() * 512 <= broadcast_bytes
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("int")
-    out = keyed.join(F.broadcast(found) if small else found, ["t1", "t2"]).withColumn("words", F.when((F.col("n") > 1), words))
+    of_text = same.join(spans, "row", "left").where(F.col("spans").isNotNull() | ((F.col("n") > 1) & (F.col("words") >= min_words)))
+    of_text = scratch.write(of_text.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "of-text")
+    classes = of_text.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
+    known = scratch.write(of_text.join(classes, "root").select("t1", "t2", F.col("row").alias("first_row"), "n", "words", "class_id", "class_size", "spans", "cut_spans"), "known")
+    rows = marked.select("row", "id", "t1", "t2")
+    out = left_join_sized(rows, known, ["t1", "t2"], 512, F.col("row"), broadcast_bytes).where(F.col("class_size").isNotNull())
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("words") - 1).alias("last")))
     copied = (F.col("n") > 1) & (F.col("words") >= min_words)
+    stays = ~copied | (F.col("row") == F.col("first_row"))
     none = F.array().cast("array<struct<first:int,last:int>>")
-    return out.where(copied | F.col("spans").isNotNull()).select(
+    return out.select(
         "id",
         "class_id",
-        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).cast("long").alias("n_links"),
+        "class_size",
         F.when(copied, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copied & ~F.col("id").eqNullSafe(F.col("least_id")), whole).otherwise(F.coalesce("cut_spans", none)).alias("cut_spans"),
+        F.when(~stays, whole).otherwise(F.coalesce("cut_spans", none)).alias("cut_spans"),
+        "t1",
+        "t2",
+        stays.alias("stays"),
     )
 
 
-def _one_each(keyed: DataFrame, same: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """(row, text) of every distinct text, taken from the row with its least id."""
-    rows = keyed.join(F.broadcast(same) if same.count() * 48 <= broadcast_bytes else same, ["t1", "t2"])
-    return rows.where((F.col("n") == 1) | F.col("id").eqNullSafe(F.col("least_id"))).select("row", "text")
-
-
 def cut_passages(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each passage left in one document alone; ids must be unique."""
-    spans = found.where(F.size("cut_spans") > 0).select(F.col("id").alias(id_col), "cut_spans")
+    """``docs`` with each passage left in one document alone, as many rows as before and with the same columns.
+
+    Rows are met by the hashes of their texts. Of rows with equal texts the one that
+    ``stays`` is known by its id; where several rows share that id and text, all of them stay.
+    """
     text = quoted(text_col)
+    marked = docs.select("*", F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit("second"), text).alias("__t2"), quoted(id_col).cast("long").alias("__id"))
+    cuts = found.groupBy("t1", "t2", "id").agg(F.max_by("cut_spans", F.col("stays").cast("int")).alias("__cut")).where(F.size("__cut") > 0)
     pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     head = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
-    kept = F.filter(pieces, lambda _, i: ~F.exists("cut_spans", lambda s: (i >= s.first) & (i <= s.last)))
-    cut = F.when(F.col("cut_spans").isNull(), text).otherwise(F.concat(head, F.array_join(kept, "")))
-    return docs.join(spans, id_col, "left").select(*[cut.alias(c) if c == text_col else quoted(c) for c in docs.columns])
+    kept = F.filter(pieces, lambda _, i: ~F.exists("__cut", lambda s: (i >= s.first) & (i <= s.last)))
+    cut = F.when(F.col("__cut").isNull(), text).otherwise(F.concat(head, F.array_join(kept, "")))
+    return marked.join(cuts.select("t1", "t2", "id", "__cut").withColumnsRenamed({"t1": "__c1", "t2": "__c2", "id": "__cid"}), (F.col("__t1") == F.col("__c1")) & (F.col("__t2") == F.col("__c2")) & F.col("__id").eqNullSafe(F.col("__cid")), "left").select(*[cut.alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 def op5_passages(spark, sf_dir):
     found = repeated_passages(table(spark, sf_dir, "documents"))
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.first.cast("string"), s.last.cast("string"))), ",")
     n_words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.last - s.first + 1)
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", n_words.alias("passage_words"), shown.alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", n_words.alias("passage_words"), shown.alias("spans"))
 
 
 QUERIES = {"op5_passages": op5_passages}
