@@ -2,8 +2,10 @@
 
 Words are runs of digits, letters and bytes above 0x7F after A-Z go to lower case. A
 benchmark item gives its windows of ``n`` words (a shorter item is one window). Their
-hashes set bits of a table of at most ``MAX_BITS`` bits, sent with the plan; every
-window of every document is tested against it in the scan. A set bit is only a
+hashes set bits of a table of 16 bits a window, sent with the plan; every window of every
+document is tested against it in the scan. A table has at most ``MAX_BITS`` bits: a
+larger benchmark is dealt by hash into as many slices as need be, each with a table and a
+scan of its own, so that tables are equally thin at every size. A set bit is only a
 candidate: candidates carry their words and are verified by an equi-join with the
 benchmark's own windows, so the table's size sets speed and never the result.
 
@@ -25,7 +27,8 @@ RESULT = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 #: Fixed value: what separates words once A-Z are in lower case.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MAX_BITS = 1 << 22
+MAX_BITS = 1 << 24
+BITS_EACH = 16
 
 
 def words(text: Column) -> Column:
@@ -52,7 +55,7 @@ def benchmark_windows(bench: DataFrame, n: int, item_col: str = "item_id", text_
 def _bit_test(bench_windows: DataFrame, n_windows: int):
     """A predicate over window hashes that holds for every benchmark window."""
     bits = 1 << 12
-    while bits < min(16 * n_windows, MAX_BITS):
+    while bits < min(BITS_EACH * n_windows, MAX_BITS):
         bits *= 2
     slot = F.pmod(F.col("h"), F.lit(bits))
     masks = bench_windows.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("mask"))
@@ -77,20 +80,29 @@ def find_contamination(docs: DataFrame, bench: DataFrame, n: int = 10, text_col:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "contamination")
+    text = quoted(text_col)
     every = scratch.write(benchmark_windows(bench, n, item_col, bench_text_col), "windows")
     n_windows = every.count()
     lengths = sorted(r[0] for r in every.select("len").distinct().collect())  # at most n
     source = docs if carry is None else docs.select(*[quoted(c) for c in {*carry, text_col}])
     plain = [c for c in passthrough(source, RESULT) if carry is None] if carry is None else [quoted(c) for c in carry]
-    if n_windows:
-        test = _bit_test(every, n_windows)
-        found = let(words(F.coalesce(quoted(text_col), F.lit(""))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.flatten(F.array(*[_windows(w, size, test) for size in lengths])).alias("cands")))
-    else:
-        found = let(words(F.coalesce(quoted(text_col), F.lit(""))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int,win:string>>").alias("cands")))
-    scanned = source.select(*plain, F.monotonically_increasing_id().alias("__row"), found.alias("__found"))
-    # written once: row numbers are fixed from here on, and texts are scanned once
-    scanned = scratch.write(scanned.select(*plain, "__row", "__found.n_words", "__found.cands"), "scanned")
-    cands = scanned.where(F.size("cands") > 0).select("__row", F.explode("cands").alias("c")).select("__row", "c.pos", "c.len", "c.win")
+    none = F.array().cast("array<struct<pos:int,len:int,win:string>>")
+
+    def scanned_for(part: DataFrame, size: int):
+        tested = _bit_test(part, size) if size else None
+        found = let(words(F.coalesce(quoted(text_col), F.lit(""))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), (F.flatten(F.array(*[_windows(w, n, tested) for n in lengths])) if tested else none).alias("cands")))
+        return found.alias("__found")
+
+    slices = max(1, -(-BITS_EACH * n_windows // MAX_BITS))
+    of_slice = lambda k: every.where(F.pmod(F.shiftright("h", 40), F.lit(slices)) == k)
+    # written once: row numbers are fixed from here on; further slices go by them
+    scanned = source.select(*plain, F.monotonically_increasing_id().alias("__row"), *([text.alias("__text")] if slices > 1 else []), scanned_for(of_slice(0), -(-n_windows // slices)))
+    scanned = scratch.write(scanned.select(*plain, "__row", "__found.*", *(["__text"] if slices > 1 else [])), "scanned")
+    cands = scanned.select("__row", "cands")
+    for k in range(1, slices):
+        more = scanned.withColumnRenamed("__text", text_col) if text_col not in scanned.columns else scanned.drop(text_col).withColumnRenamed("__text", text_col)
+        cands = cands.unionByName(scratch.write(more.select("__row", scanned_for(of_slice(k), -(-n_windows // slices))).select("__row", "__found.cands"), f"slice{k}"))
+    cands = cands.where(F.size("cands") > 0).select("__row", F.explode("cands").alias("c")).select("__row", "c.pos", "c.len", "c.win")
     known = every.select("len", "win").distinct()
     small = n_windows * 160 <= broadcast_bytes
     hits = cands.join(F.broadcast(known) if small else known, ["len", "win"], "left_semi")
@@ -109,7 +121,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, n: int = 10, text_col:
     items_of = every.select("len", "win", "item")
     items = occurring.join(F.broadcast(items_of) if small else items_of, ["len", "win"]).groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     judged = scratch.write(spans.join(items, "__row"), "judged")
-    out = left_join_sized(scanned.drop("cands"), judged, ["__row"], 512, F.col("__row"), broadcast_bytes)
+    out = left_join_sized(scanned.drop("cands", "__text"), judged, ["__row"], 512, F.col("__row"), broadcast_bytes)
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, x: a + x.last - x.first + 1), F.lit(0)).cast("long")
     return out.select(
         *plain,

@@ -2,10 +2,10 @@
 
 Rows are grouped by length, the groups that survive by a hash of a prefix, and the
 groups that survive that by a hash of the whole text, which is thus computed only
-where a twin is still possible. Each level's surviving keys are written and counted;
-within a size bound they are broadcast into the next scan. Beyond it a level's filter
-is left out, since to shuffle texts costs more than to hash them; the result is the
-same either way.
+where a twin is still possible. The first two levels work on a written table of
+lengths and prefix hashes alone; a level's surviving keys are met by equi-joins, at every
+size alike. Texts meet the last level's keys in their own scan while these fit a
+broadcast of counted size, and in a salted shuffle beyond.
 
 Defined results: a null text equals the empty text. Of equal texts the row with the
 largest id stays; null ids are smaller than any other, and where every id of a group
@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, left_join_sized, passthrough, quoted, table
+from .common import BROADCAST_BESIDE_TEXTS, BROADCAST_BYTES, Scratch, left_join_sized, passthrough, quoted, table
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", prefix: int = 256, digest_all: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", prefix: int = 256, digest_all: bool = False, broadcast_bytes: int = BROADCAST_BYTES, beside_texts: int = BROADCAST_BESIDE_TEXTS) -> DataFrame:
     """Every input row with keep_id, group_size, kept and text_sha256.
 
     ``text_sha256`` is null for rows that no other row can equal, unless
@@ -38,15 +38,12 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         F.xxhash64(F.substring(text, 1, prefix)).alias("__prefix"),
     )
 
-    def level(df: DataFrame, keys: list[str], name: str) -> DataFrame | None:
-        """The keys of more than one row, or None where they are too many to broadcast."""
-        kept = scratch.write(df.groupBy(*keys).count().where("count > 1").select(*keys), name)
-        return kept if kept.count() * 24 <= broadcast_bytes else None
-
-    lengths = level(rows, ["__len"], "lengths")
-    by_length = rows if lengths is None else rows.join(F.broadcast(lengths), "__len", "left_semi")
-    prefixes = level(by_length, ["__len", "__prefix"], "prefixes")
-    by_prefix = by_length if prefixes is None else by_length.join(F.broadcast(prefixes), ["__len", "__prefix"], "left_semi")
+    slim = scratch.write(rows.select("__len", "__prefix"), "slim")
+    lengths = scratch.write(slim.groupBy("__len").agg(F.count("*").alias("__rows")).where("__rows > 1"), "lengths")
+    by_length = left_join_sized(slim, lengths, ["__len"], 48, F.rand(17), broadcast_bytes).where("__rows IS NOT NULL")
+    prefixes = by_length.groupBy("__len", "__prefix").agg(F.count("*").alias("__rows")).where("__rows > 1")
+    prefixes = scratch.write(prefixes.select("__len", "__prefix", F.lit(True).alias("__twin")), "prefixes")
+    by_prefix = left_join_sized(rows, prefixes, ["__len", "__prefix"], 64, F.col("__id"), beside_texts).where("__twin")
     groups = (
         by_prefix.select("__id", "__len", F.sha2("__text", 256).alias("__sha"))
         .groupBy("__len", "__sha")
@@ -56,13 +53,14 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     groups = scratch.write(groups, "groups")
 
     full = docs.select(*passthrough(docs, RESULT), quoted(id_col).alias("__id"), text.alias("__text"), F.octet_length(text).alias("__len"), F.xxhash64(F.substring(text, 1, prefix)).alias("__prefix"))
-    if digest_all or prefixes is None:
+    if digest_all:
         hashed = full.withColumn("__sha", F.sha2("__text", 256)).withColumn("text_sha256", F.col("__sha"))
     else:
-        marked = full.join(F.broadcast(prefixes.withColumn("__twin", F.lit(True))), ["__len", "__prefix"], "left")
+        marked = left_join_sized(full, prefixes, ["__len", "__prefix"], 64, F.col("__id"), beside_texts)
         hashed = marked.withColumn("text_sha256", F.when(F.col("__twin"), F.sha2("__text", 256)))
         # rows without a digest get keys of their own, not one null key
         hashed = hashed.withColumn("__sha", F.coalesce("text_sha256", F.concat(F.lit("-"), F.xxhash64("__id", "__prefix").cast("string"))))
+    # the digest column is all that is left of a text here
     joined = left_join_sized(hashed.drop("__text"), groups, ["__len", "__sha"], 128, F.col("__id"), broadcast_bytes)
     keep = F.when(F.col("__n").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return joined.select(

@@ -7,9 +7,9 @@ so that long texts stay soft). Each document gets a rate of at least ``at_least`
 by projected-gradient least squares so that the expected tokens of each domain, the sum of
 tokens x posterior x rate, meet the targets. A step moves every rate against the gradient,
 scaled by the inverse of the token overlap of the documents that are free to move, and cuts
-it at the bound; a step that makes the error larger is taken back and halved. Steps go on until the
-targets are met within ``tolerance`` or no step of any length helps: ``fit_rates`` returns
-what is then still missing, and ``mix`` raises where that is over ``most_off`` if one is given.
+it at the bound; of several lengths, the scaled and the plain direction, the best is taken. Steps
+go on until the targets are met within ``tolerance`` or no step helps: ``fit_rates``
+returns what is then still missing, and ``mix`` raises where that is over ``most_off`` if one is given.
 
 Everything over documents is DataFrame work. Posteriors are rounded to ``1 / GRID``, and
 documents of one rounded posterior are rated alike, so a step is an aggregate over at most
@@ -42,6 +42,8 @@ RESULT = ("n_tokens", "domain", "posteriors", "rate", "copies")
 BUCKETS, EFFECTIVE, SMOOTH = 4096, 24, 0.5
 #: Posteriors are rounded to this part of 1.
 GRID = 64
+#: Without a total: what more of tokens the scarcest target gets than its documents' least, so that it can be met.
+ROOM = 1.1
 SPACE = r"[\x20\x09-\x0D]+"
 #: Share of expected tokens that each domain (quality, toxic) shall have in the query.
 TARGETS = {"q1t0": 0.70, "q0t0": 0.27, "q1t1": 0.02, "q0t1": 0.01}
@@ -116,7 +118,7 @@ def rounded(p, k: int):
     return F.array(F.lit(GRID) - sum(others, F.lit(0)), *others)
 
 
-def fit_rates(bins: DataFrame, targets: np.ndarray, total: float | None = 1.0, at_least: float = 0.0, tolerance: float = 1e-4, steps: int = 400) -> tuple[list[list[float]], list[dict]]:
+def fit_rates(bins: DataFrame, targets: np.ndarray, total: float | None = 1.0, at_least: float = 0.0, tolerance: float = 1e-4, steps: int = 60) -> tuple[list[list[float]], list[dict]]:
     """The pushes of all steps, from which ``rate_of`` gives a bin's rate; and what each step saw.
 
     ``bins``: n (tokens), p (posteriors), one row for each point of the grid. ``targets``
@@ -135,33 +137,42 @@ def fit_rates(bins: DataFrame, targets: np.ndarray, total: float | None = 1.0, a
     goal = targets / targets.sum()
     if total is None:
         present = np.array([here[f"e{j}"] for j in range(k)]) / tokens
-        total = max([1.0, *(start * present[goal > 0] / goal[goal > 0])])
+        total = ROOM * max([1.0, *(start * present[goal > 0] / goal[goal > 0])])
     goal = goal * total
 
-    def seen(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """What the expected tokens are off, and the overlap of the documents above the bound."""
-        rated = bins.withColumn("rate", rate_of(F.col("p"), moves, at_least))
-        free = F.col("rate") > at_least
-        got = rated.agg(*[F.sum(F.col("n") * p[j] * F.col("rate")).alias(f"e{j}") for j in range(k)], *[F.coalesce(F.sum(F.when(free, F.col("n") * p[i] * p[j])), F.lit(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
-        overlap = np.zeros((k, k))
+    rate = lambda moves: rate_of(F.col("p"), moves, at_least)
+
+    def missing(tries: list[list[list[float]]]) -> list[np.ndarray]:
+        """What the expected tokens are off after each list of moves."""
+        rated = bins.select("n", "p", *[rate(moves).alias(f"r{t}") for t, moves in enumerate(tries)])
+        got = rated.agg(*[F.sum(F.col("n") * p[j] * F.col(f"r{t}")).alias(f"e{t}_{j}") for t in range(len(tries)) for j in range(k)]).first()
+        return [np.array([got[f"e{t}_{j}"] for j in range(k)]) / tokens - goal for t in range(len(tries))]
+
+    def overlap(moves: list[list[float]], off: np.ndarray) -> np.ndarray:
+        """The token overlap of the documents that the gradient moves: above the bound, or pushed up from it."""
+        up = sum((p[j] * float(off[j]) for j in range(1, k)), p[0] * float(off[0])) < 0
+        got = bins.where((rate(moves) > at_least) | up).agg(*[F.coalesce(F.sum(F.col("n") * p[i] * p[j]), F.lit(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        out = np.zeros((k, k))
         for i, j in pairs:
-            overlap[i, j] = overlap[j, i] = got[f"h{i}_{j}"] / tokens
-        return np.array([got[f"e{j}"] for j in range(k)]) / tokens - goal, overlap
+            out[i, j] = out[j, i] = got[f"h{i}_{j}"] / tokens
+        return out
 
-    off, overlap = seen(pushes)
-    length = 1.0
+    [off] = missing([pushes])
     for step in range(steps):
-        log.append({"step": step, "off": off.tolist(), "length": length})
-        if np.abs(off).max() <= tolerance or length < 1e-4:
+        log.append({"step": step, "off": off.tolist()})
+        if np.abs(off).max() <= tolerance:
+            break
+        free = overlap(pushes, off)
+        scaled = [np.linalg.solve(free + damp * np.eye(k), off) for damp in (1e-4, 1e-3, 1e-2)]
+        plain = off / max(float(np.linalg.eigvalsh(free).max()), 1e-9)
+        tries = [[*pushes, [float(x) for x in length * push]] for push in (*scaled, plain) for length in (2.0, 1.0, 0.4)]
+        after = missing(tries)
+        best = int(np.argmin([(x**2).sum() for x in after]))
+        if (after[best] ** 2).sum() > (off**2).sum() * (1 - 1e-2):  # a standstill
             break
-        # damped towards the plain gradient where the free documents say little of a domain
-        push = length * np.linalg.solve(overlap + (1e-3 + 0.05 * (1 - length)) * np.eye(k), off)
-        tried = [*pushes, [float(x) for x in push]]
-        after, changed = seen(tried)
-        if (after**2).sum() < (off**2).sum() * (1 - 1e-3 * length):
-            pushes, off, overlap, length = tried, after, changed, min(1.0, 2 * length)
-        else:
-            length /= 2
+        pushes, off = tries[best], after[best]
+    else:
+        log.append({"step": steps, "off": off.tolist()})
     return pushes, log
 
 

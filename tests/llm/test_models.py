@@ -268,22 +268,69 @@ def test_stretches_alike_equal_sets():
             assert ps.alike(a, b, 20, percent) == [k for k, (x, y) in enumerate(sets) if 100 * len(x & y) >= percent * len(x | y)]
 
 
-def test_rates_meet_targets_and_equal_plain_gradient(spark):
+def test_rates_meet_targets(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.4, 0.4, 0.2], 400)
-    n = rng.integers(0, 500, 400)
-    from strandloom.llm.common import Scratch
+    n = rng.integers(1, 500, 400)
+    bins = spark.createDataFrame([(int(k), [float(x) for x in q]) for k, q in zip(n, p)], "n long, p array<double>").coalesce(1)
+    for target, total, floor in (([0.2, 0.2, 0.6], 1.0, 0), ([0.45, 0.4, 0.15], None, 1), ([0.9, 0.05, 0.05], 1.0, 0)):
+        pushes, log = mx.fit_rates(bins, np.array(target), total, floor)
+        rate = np.array([r.rate for r in bins.withColumn("rate", mx.rate_of(F.col("p"), pushes, floor)).collect()])
+        # plain projected gradient, a great many short steps
+        base, got = (p * n[:, None]).sum(axis=0) / n.sum(), np.ones(400)
+        goal = np.array(target) * (total or mx.ROOM * max(1.0, (base / np.array(target)).max()))
+        for _ in range(5_000):
+            got = np.maximum(floor, got - 0.5 * p @ ((p * n[:, None]).T @ got / n.sum() - goal))
+        want = np.abs((p * n[:, None]).T @ got / n.sum() - goal).max()
+        off = np.abs((p * n[:, None]).T @ rate / n.sum() - goal).max()
+        assert rate.min() >= floor and off <= max(1e-4, 1.05 * want) and np.allclose(np.abs(log[-1]["off"]).max(), off, atol=1e-9)
+    assert mx.fit_rates(bins.limit(0), np.ones(3))[0] == []
+
+
+def test_op1_against_plain_computations(spark):
+    import xxhash
+
+    from strandloom.llm.mixing import BUCKETS, EFFECTIVE, GRID, SMOOTH
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r.doc_id, f"q{r.quality}t{r.toxic}") for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    bucket = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42)) % BUCKETS
+    words = {i: [bucket(w.decode()) for w in (t or "").encode().split()] for i, t in texts.items()}
+    names = sorted({d for _, d in labels})
+    weights = np.full((len(names), BUCKETS), SMOOTH)
+    prior = np.zeros(len(names))
+    for i, d in labels:
+        prior[names.index(d)] += 1
+        np.add.at(weights[names.index(d)], words.get(i, []), 1)
+    weights, prior = np.log(weights / weights.sum(axis=1, keepdims=True)), np.log(prior / prior.sum())
+    target = np.array([mx.TARGETS.get(d, 0.0) for d in names])
+    rows = {r.doc_id: r for r in mx.op1_mixing(spark, SF).collect()}
+    assert rows.keys() == texts.keys()
+    expected, tokens, seen = np.zeros(len(names)), 0, {}
+    for i, b in words.items():
+        x = prior + (weights[:, b].mean(axis=1) * min(len(b), EFFECTIVE) if b else 0)
+        q = np.exp(x - x.max())
+        q /= q.sum()
+        r = rows[i]
+        grid = np.floor(q * GRID + 0.5)
+        grid[0] = GRID - grid[1:].sum()
+        expected += len(b) * r.rate * grid / GRID
+        tokens += len(b)
+        assert r.n_tokens == len(b) and abs(r.posterior - q.max()) < 1e-3 and (r.domain == names[int(np.argmax(q))] or sorted(q)[-1] - sorted(q)[-2] < 2e-3)
+        even = signed(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), _seeded("mix"))) % 1_000_000 / 1_000_000
+        assert r.rate >= 0 and r.copies == math.floor(r.rate + even) or abs(r.rate + even - round(r.rate + even)) < 1e-6
+        if np.abs(q * GRID - np.floor(q * GRID) - 0.5).min() > 0.05:
+            seen.setdefault(tuple(grid), set()).add(r.rate)
+    assert all(len(x) == 1 for x in seen.values())  # documents of one rounded posterior are rated alike
+    assert np.abs(expected / tokens - target / target.sum()).max() < 2e-3
+
+
+def _seeded(word):
+    """The state of Spark's hash after a first column: the seed for the next."""
+    import xxhash
 
-    slim = spark.createDataFrame([(int(k), [float(x) for x in q]) for k, q in zip(n, p)], "n long, p array<double>")
-    target = np.array([0.2, 0.2, 0.6])
-    pushes, log = mx.fit_rates(slim, target, Scratch(spark, "t"))
-    got = {(r.n, tuple(r.p)): r.rate for r in slim.withColumn("rate", mx.rate_of(F.col("p"), pushes)).collect()}
-    overlap = (p * n[:, None]).T @ p / n.sum()
-    w, r = np.linalg.pinv(overlap + 1e-9 * np.eye(3)), np.ones(400)
-    for _ in range(len(log) - 1):
-        r = np.maximum(0, r - p @ (w @ ((p * n[:, None]).T @ r / n.sum() - target)))
-    assert all(math.isclose(got[(int(k), tuple(map(float, q)))], x, abs_tol=1e-7) for k, q, x in zip(n, p, r))
-    assert np.abs(log[-1]["off"]).max() < 1e-3 and min(got.values()) >= 0
+    return xxhash.xxh64_intdigest(word.encode(), 42)
 
 
 def test_posteriors_equal_plain_bayes(spark):
@@ -306,6 +353,7 @@ def test_mixing_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = mx.mix(docs, mx.label_domains(labels), {"q1t0": 1.0, "nowhere": 3.0})
     assert out.count() == 4 and all(r.rate >= 0 and r.copies >= 0 for r in out.collect())
-    assert mx.repeat_rows(out).columns == ["doc_id", "text"]
+    every = mx.repeat_rows(docs.withColumns({"copies": F.lit(7), "domain": F.lit("mine")}), mx.label_domains(labels), {"q1t0": 1.0}, total=None, at_least=1)
+    assert every.columns == ["doc_id", "text", "rate", "copies", "domain"] and {(r.rate, r.copies, r.domain) for r in every.collect()} == {(x, 7, "mine") for x in (1.0, 2.0, 3.0, 4.0)}
     assert [r.rate for r in mx.mix(docs, mx.label_domains(labels.limit(0)), {}).collect()] == [1.0] * 4
     assert mx.mix(docs.limit(0), mx.label_domains(labels), {"q1t0": 1.0}).count() == 0

@@ -35,7 +35,7 @@ ODD = [(1, "same"), (2, "same"), (3, None), (4, ""), (None, "same"), (None, "alo
 @pytest.mark.parametrize("digest_all", [True, False])
 def test_exact_dedup_odd_rows(spark, limit, digest_all):
     df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("Kept", F.lit("clash"))
-    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.exact_dedup(df, digest_all=digest_all, broadcast_bytes=limit).collect()), key=str)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.exact_dedup(df, digest_all=digest_all, broadcast_bytes=limit, beside_texts=limit).collect()), key=str)
     want = []
     for i, t in ODD:
         ids = [j for j, u in ODD if (u or "") == (t or "")]
@@ -45,6 +45,23 @@ def test_exact_dedup_odd_rows(spark, limit, digest_all):
     assert ed.exact_dedup(df.limit(0), digest_all=digest_all, broadcast_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_exact_dedup_keeps_its_levels_at_every_size(spark, limit):
+    df = spark.createDataFrame([(k, "x" * (k % 40) + str(k % 7)) for k in range(200)], "doc_id long, text string")
+    plan = ed.exact_dedup(df, broadcast_bytes=limit, beside_texts=limit)._jdf.queryExecution().toString()
+    assert "lengths" not in plan and "prefixes" in plan  # the last level's keys decide whose text is hashed
+    assert ("__salt" in plan) == (limit == 0)
+
+
+def test_benchmarks_of_several_slices(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(14))) for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"start w{k}x1 " + " ".join(f"w{k}x{j}" for j in range(2, 12)) + " end") for k in range(60)], "doc_id long, text string")
+    whole = sorted(map(str, ct.find_contamination(docs, bench).drop("__row").collect()))
+    monkeypatch.setattr(ct, "MAX_BITS", 1 << 10)
+    assert sorted(map(str, ct.find_contamination(docs, bench).collect())) == whole
+    assert sorted(map(str, ct.find_contamination(docs, bench, carry=["doc_id"]).select("doc_id").collect())) == sorted(map(str, docs.select("doc_id").collect()))
+
+
 def test_exact_dedup_digest(spark):
     df = spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string")
     assert {r.text_sha256 for r in ed.exact_dedup(df, digest_all=True).collect()} == {hashlib.sha256(x).hexdigest() for x in ("é".encode(), b"")}
