@@ -73,14 +73,13 @@ def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return both[:, 0], both[:, 1]
 
 
-def sliding_minima(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(minimum, its first position) of every stretch of ``least`` values; what ``compact_windows`` finds, for many texts in a row."""
-    low, at, wide = values, np.arange(len(values)), 1
+def sliding_minima(values: np.ndarray, least: int) -> np.ndarray:
+    """The minimum of every stretch of ``least`` values; what ``compact_windows`` finds, for many texts in a row."""
+    low, wide = values, 1
     while wide < least:
         step = min(wide, least - wide)
-        after = low[step:] < low[:-step]
-        low, at, wide = np.where(after, low[step:], low[:-step]), np.where(after, at[step:], at[:-step]), wide + step
-    return low, at
+        low, wide = np.minimum(low[step:], low[:-step]), wide + step
+    return low
 
 
 def signature_intervals(seqs: list[np.ndarray], least: int) -> tuple[np.ndarray, ...]:
@@ -95,20 +94,22 @@ def signature_intervals(seqs: list[np.ndarray], least: int) -> tuple[np.ndarray,
     starts = np.flatnonzero(np.arange(len(of)) + least <= (begin + sizes)[of])  # stretches inside one text
     parts = []
     for n in range(SIGNATURES if len(starts) else 0):
-        key, anchor = np.full(len(starts), n + 1, dtype=np.uint64), None
-        new = np.append(True, of[starts[1:]] != of[starts[:-1]])
-        for seed in _SEEDS[n * HASHES : (n + 1) * HASHES]:
-            low, at = sliding_minima(_mixed(whole ^ seed), least)
-            low, at = low[starts], at[starts]
+        key, new = np.full(len(starts), n + 1, dtype=np.uint64), np.append(True, of[starts[1:]] != of[starts[:-1]])
+        for k, seed in enumerate(_SEEDS[n * HASHES : (n + 1) * HASHES]):
+            values = _mixed(whole ^ seed)
+            low = sliding_minima(values, least)[starts]
             new[1:] |= low[1:] != low[:-1]  # the same shingle again, a place further on, goes on
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
-            anchor = at if anchor is None else anchor
+            if not k:
+                of_anchor, minima = values, low
         i = np.flatnonzero(new)
         if len(starts) > LONGEST:  # no interval is longer than can be packed
             i = np.union1d(i, np.arange(0, len(starts), LONGEST))
         j = np.append(i[1:], len(starts)) - 1
         text = of[starts[i]]
-        parts.append((text, key[i].view(np.int64), starts[i] - begin[text], starts[j] - begin[text], anchor[i] - begin[text]))
+        within = np.lib.stride_tricks.sliding_window_view(of_anchor, least)
+        anchor = np.concatenate([starts[x] + (within[starts[x]] == minima[x][:, None]).argmax(axis=1) for x in np.array_split(i, len(i) // 8192 + 1)])
+        parts.append((text, key[i].view(np.int64), starts[i] - begin[text], starts[j] - begin[text], anchor - begin[text]))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
 
 
@@ -142,8 +143,12 @@ def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarra
     return (first << FIRST) | ((last - first) << 16) | (anchor - first)
 
 
+#: Marks a place of a text that its unit's hub did not explain.
+OPEN = 1 << 62
+
+
 def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = places >> FIRST
+    first = (places & ~OPEN) >> FIRST
     return first, first + ((places >> 16) & LONGEST), first + (places & 0xFFFF)
 
 
@@ -166,11 +171,13 @@ class Block:
         sizes = np.array([len(x) for x in parts])
         self.begin = np.cumsum(sizes) - sizes
         flat = np.concatenate(parts)
-        of = np.repeat(np.arange(len(texts)), sizes)
+        # a text may be there twice, as one that is met and as one that meets
+        of = np.repeat(np.unique(self.row, return_inverse=True)[1], sizes)
         gap = np.concatenate([self._gaps(t[4]) for t in texts])
         ids = np.unique(flat, return_inverse=True)[1].astype(np.int64)
         ids[gap] = ids.max(initial=0) + 1 + np.arange(int(gap.sum()))  # equal to nothing
         self.ids, n = ids, len(flat)
+        self.place = np.full(int(ids.max(initial=0)) + 1, -1)
         in_text = of * (int(ids.max(initial=0)) + 1) + ids
         order = np.argsort(in_text, kind="stable")
         again = np.flatnonzero(in_text[order[1:]] == in_text[order[:-1]]) + 1
@@ -191,11 +198,13 @@ class Block:
         self.texts_with = [dict() for _ in texts]
         self.twins: list[dict] = [{} for _ in texts]  # of a place that stands for others: how far they are
         self.members: dict[int, list[int]] = defaultdict(list)
+        self.open: list[set[int]] = []
         for m, (_, keys, places, *_) in enumerate(texts):
             first, last, anchor = unpacked(places)
             low = self.local(m, first)
             first, last, anchor = low, last - first + low, anchor - first + low
             alive = self.able[last + 1] > self.able[first]
+            self.open.append(set(keys[(places & OPEN) > 0].tolist()))
             for key, f, t, c in zip(keys[alive].tolist(), first[alive].tolist(), last[alive].tolist(), anchor[alive].tolist()):
                 self.texts_with[m].setdefault(key, []).append((f, t, c))
         for m, held in enumerate(self.texts_with):
@@ -242,18 +251,22 @@ class Block:
         """Of the ``n`` starts from ``a`` and ``b`` on: whether the stretches of both, as sets, have the similarity."""
         least, long = self.least, n + self.least - 1
         x, y = self.ids[a : a + long], self.ids[b : b + long]
-        both, i, j = np.intersect1d(x, y, return_indices=True)
-        own = len(np.unique(x))
+        out, own = np.zeros(n, dtype=bool), np.arange(long)
+        self.place[y] = own
+        at = self.place[x]
+        once = bool((self.place[y] == own).all())
+        self.place[y] = -1
+        i = np.flatnonzero(at >= 0)
+        if once and self.plain[a : a + n].all():  # a shared shingle counts where a stretch has both of its places
+            if len(i) >= self.need:
+                j = at[i]
+                low, high = np.minimum(i, j), np.maximum(i, j) - least + 1
+                met = low >= high
+                steps = np.bincount(np.maximum(high[met], 0), minlength=long + 1) - np.bincount(low[met] + 1, minlength=long + 1)
+                out[:] = np.cumsum(steps)[:n] >= self.need
         # each place that a stretch leaves out takes at most one distinct shingle from it
-        if 100 * len(both) < self.percent * (own - n + 1):
-            return np.zeros(n, dtype=bool)
-        if own == long and len(np.unique(y)) == long:  # a shared shingle counts where a stretch has both of its places
-            low, high = np.minimum(i, j), np.maximum(i, j) - least + 1
-            met = low >= high
-            steps = np.bincount(np.maximum(high[met], 0), minlength=long + 1) - np.bincount(low[met] + 1, minlength=long + 1)
-            return np.cumsum(steps)[:n] >= self.need
-        out = np.zeros(n, dtype=bool)
-        out[alike(x, y, least, self.percent)] = True
+        elif 100 * len(np.unique(x[i])) >= self.percent * (len(np.unique(x)) - n + 1):
+            out[alike(x, y, least, self.percent)] = True
         return out
 
     def pair(self, a: int, b: int, keys) -> set[int]:
@@ -262,7 +275,7 @@ class Block:
         Each start that two intervals have at one distance from their anchors is tested;
         where there is none, the two starts that come nearest to it.
         """
-        least, ok, found, twins = self.least, set(), set(), []
+        least, ok, found, twins, diagonals = self.least, set(), set(), [], {}
         asked: dict[int, list[tuple]] = defaultdict(list)
         for key in keys:
             for one in self.texts_with[a][key]:
@@ -272,40 +285,42 @@ class Block:
                     sa, sb = (ac + lo, bc + lo) if lo <= hi else (af, bl) if af - ac > bl - bc else (al, bf)
                     asked[sa - sb].append((sb, sb + max(0, hi - lo) + 1, key, one, two))
         for d, items in asked.items():
-            b0, same, good, edges = self._diagonal(a, b, d)
-            total = np.concatenate([[0], np.cumsum(good)])
-            holds, slow = good, []
-            missing = [(lo, hi) for lo, hi, *_ in sorted(items, key=lambda x: x[:2]) if total[hi - b0] == total[lo - b0]]
-            while missing:  # ranges that overlap are tested as one
-                lo, hi = missing.pop(0)
-                while missing and missing[0][0] <= hi:
-                    hi = max(hi, missing.pop(0)[1])
-                got = self.alike(lo + d, lo, hi - lo)
-                if got.any():
-                    holds = holds.copy() if holds is good else holds
-                    holds[lo - b0 : hi - b0] |= got
-                    slow += (np.flatnonzero(np.diff(np.concatenate([[0], got.view(np.int8), [0]]))).reshape(-1, 2) + lo).tolist()
-            if holds is not good:
-                total = np.concatenate([[0], np.cumsum(holds)])
-            starts = []
-            for lo, hi, key, one, two in items:
-                if total[hi - b0] > total[lo - b0]:
-                    ok.add(key)
-                    starts.append(np.flatnonzero(holds[lo - b0 : hi - b0]) + lo - b0)
-                    twins += [(m, other, place, by) for m, other, place in ((a, b, one), (b, a, two)) for by in self.twins[m].get((place[0], place[2]), ())]
-            if not starts:
-                continue
-            starts = np.unique(np.concatenate(starts))
-            self.done[a][starts + b0 + d - self.begin[a]] |= 3 if self.row[a] > self.row[b] else 1
-            self.done[b][starts + b0 - self.begin[b]] |= 3 if self.row[b] > self.row[a] else 1
-            fast = starts[good[starts]]
-            for x, y in edges[np.unique(np.searchsorted(edges[:, 0], fast, side="right") - 1)].tolist() if len(fast) else ():
-                first, last = np.flatnonzero(same[x : y - 1 + least])[[0, -1]] + x + b0
-                found.add((int(first) + d, int(last) + d, int(first), int(last)))
-            for x0, x1 in slow:  # words were put in or taken out: from the first to the last shingle that both have
-                u, v = self.ids[x0 + d : x1 - 1 + least + d], self.ids[x0 : x1 - 1 + least]
-                p, q = np.flatnonzero(np.isin(u, v)), np.flatnonzero(np.isin(v, u))
-                found.add((x0 + d + int(p[0]), x0 + d + int(p[-1]), x0 + int(q[0]), x0 + int(q[-1])))
+            items.sort(key=lambda x: x[:2])
+            at = 0
+            while at < len(items):  # ranges that overlap are tested as one
+                lo, hi, upto = items[at][0], items[at][1], at + 1
+                while upto < len(items) and items[upto][0] <= hi:
+                    hi, upto = max(hi, items[upto][1]), upto + 1
+                part, at = items[at:upto], upto
+                total = np.concatenate([[0], np.cumsum(self.ids[lo + d : hi - 1 + least + d] == self.ids[lo : hi - 1 + least])])
+                equal = total[least:] - total[:-least]
+                # as many equal places without repeats are as many equal shingles
+                good = (equal == least) | (equal >= self.need) & self.plain[lo:hi] & self.plain[lo + d : hi + d]
+                holds = good
+                if not good.all() and any(not good[x - lo : y - lo].any() for x, y, *_ in part):
+                    holds = good | self.alike(lo + d, lo, hi - lo)
+                if not holds.any():
+                    continue
+                for x, y, key, one, two in part:
+                    if holds[x - lo : y - lo].any():
+                        ok.add(key)
+                        twins += [(m, other, place, by) for m, other, place in ((a, b, one), (b, a, two)) for by in self.twins[m].get((place[0], place[2]), ())]
+                starts = np.flatnonzero(holds) + lo
+                self.done[a][starts + d - self.begin[a]] |= 3 if self.row[a] > self.row[b] else 1
+                self.done[b][starts - self.begin[b]] |= 3 if self.row[b] > self.row[a] else 1
+                if good.any():
+                    if d not in diagonals:
+                        diagonals[d] = self._diagonal(a, b, d)
+                    b0, same, edges = diagonals[d]
+                    fast = np.flatnonzero(good) + lo - b0
+                    for x, y in edges[np.unique(np.searchsorted(edges[:, 0], fast, side="right") - 1)].tolist():
+                        first, last = np.flatnonzero(same[x : y - 1 + least])[[0, -1]] + x + b0
+                        found.add((int(first) + d, int(last) + d, int(first), int(last)))
+                if holds is not good:  # words were put in or taken out: from the first to the last shingle that both have
+                    for x0, x1 in (np.flatnonzero(np.diff(np.concatenate([[0], (holds & ~good).view(np.int8), [0]]))).reshape(-1, 2) + lo).tolist():
+                        u, v = self.ids[x0 + d : x1 - 1 + least + d], self.ids[x0 : x1 - 1 + least]
+                        p, q = np.flatnonzero(np.isin(u, v)), np.flatnonzero(np.isin(v, u))
+                        found.add((x0 + d + int(p[0]), x0 + d + int(p[-1]), x0 + int(q[0]), x0 + int(q[-1])))
         for a0, a1, b0, b1 in found:
             self._add(a, a0, a1, self.row[a] > self.row[b])
             self._add(b, b0, b1, self.row[b] > self.row[a])
@@ -320,7 +335,7 @@ class Block:
         self.spans[m].append((self.of_text(m, first), self.of_text(m, last), cut))
 
     def _diagonal(self, a: int, b: int, d: int) -> tuple:
-        """(first position, equal shingles, good starts, runs of good starts) of both texts shifted by ``d``."""
+        """(first position, equal shingles, runs of starts with enough equal places) of both texts shifted by ``d``."""
         end = lambda m: int(self.begin[m]) + len(self.done[m])
         b0 = max(int(self.begin[b]), int(self.begin[a]) - d)
         b1 = min(end(b), end(a) - d)
@@ -328,12 +343,11 @@ class Block:
         total = np.concatenate([[0], np.cumsum(same)])
         good = np.zeros(max(0, b1 - b0), dtype=bool)
         if len(same) >= self.least:
-            # as many equal places without repeats are as many equal shingles
             n = len(same) - self.least + 1
             equal = total[self.least :] - total[: -self.least]
             good[:n] = (equal == self.least) | (equal >= self.need) & self.plain[b0 : b0 + n] & self.plain[b0 + d : b0 + d + n]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8))).reshape(-1, 2)
-        return b0, same, good, edges
+        return b0, same, edges
 
     def covered(self, p: int, q: int, key: int) -> bool:
         """Whether all that two texts might share by a key is in their spans already, and cut from the later one."""
@@ -354,18 +368,24 @@ class Block:
             self.explained[m] = ok
         return open_
 
-    def among(self, open_: dict[int, set[int]], others=None) -> None:
-        """Texts with open keys against all (other) texts that have these, each pair once."""
+    def among(self, open_: dict[int, set[int]], others: dict[int, int] | None = None) -> None:
+        """Texts with open keys against all texts that have these, each pair once.
+
+        With ``others`` (their star's block by text) only these are met, but for those of
+        the same star's block, which has compared them, and of two open texts the later one
+        meets the earlier.
+        """
         met = set()
         for p in sorted(open_):
             partners: dict[int, list[int]] = defaultdict(list)
             for key in open_[p]:
                 for q in self.members[key]:
-                    if q != p and (others is None or q in others) and (q, p) not in met:
-                        partners[q].append(key)
+                    if self.row[q] == self.row[p] or (q, p) in met:
+                        continue
+                    if others is not None and (q not in others or others[q] == self.home[p] or self.row[q] > self.row[p] and key in self.open[q]):
+                        continue
+                    partners[q].append(key)
             for q, keys in partners.items():
-                if self.row[q] == self.row[p]:
-                    continue
                 met.add((p, q))
                 if self.find(p) == self.find(q):
                     keys = [k for k in keys if not self.covered(p, q, k)]
@@ -424,14 +444,15 @@ def _stretches(docs: DataFrame, placed: DataFrame, least: int, text_col: str, id
             for n in range(b.num_rows):
                 seq = sequence_hashes(text[n].as_py(), SHINGLE, cache).view(np.int64)
                 row = b.column("row")[n].as_py()
-                out = []
-                for at in b.column("at")[n].values.to_pylist():
-                    places = np.array(at["places"], dtype=np.int64)
+                out, places_of = [], b.column("at")[n].values
+                plain = [places_of.field(c).to_pylist() for c in ("unit", "i", "j", "part")]
+                for at, keys, places in zip(zip(*plain), places_of.field("keys"), places_of.field("places")):
+                    places = places.values.to_numpy()
                     # every stretch that holds the anchor counts, not those alone that have the signature
                     _, last, anchor = unpacked(places)
                     first = np.maximum(anchor - least + 1, 0)
-                    places = packed(first, np.minimum(np.minimum(np.maximum(anchor, last), len(seq) - least), first + LONGEST), anchor)
-                    out.append((at["unit"], at["i"], at["j"], at["part"], row, at["keys"], places, *cut(seq, places)))
+                    places = packed(first, np.minimum(np.minimum(np.maximum(anchor, last), len(seq) - least), first + LONGEST), anchor) | (places & OPEN)
+                    out.append((*at, row, keys.values.to_numpy(), places, *cut(seq, places)))
                 for start in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[start : start + 64]), fields)], schema=pa.schema(fields))
 
@@ -450,7 +471,8 @@ def _verified(stretches: DataFrame, least: int, percent: int) -> DataFrame:
     """(unit, row, other, spans, cuts, open) of each block: merged spans of its texts, its links, and keys left open.
 
     Blocks with a part 0 are stars: part 0 is the hub; others are of part 1, or of part 3
-    where the unit has several blocks. In blocks without, the texts of part 1 meet those of part 2.
+    where the unit has several blocks. In blocks without, the texts of part 1 meet those of
+    part 2, and four times their star's block is added to the part.
     """
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     schema = pa.schema([("unit", pa.int64()), ("row", pa.int64()), ("other", pa.int64()), ("spans", span), ("cuts", span), ("open", pa.list_(pa.int64()))])
@@ -481,7 +503,8 @@ def _verified(stretches: DataFrame, least: int, percent: int) -> DataFrame:
                 # in a unit of several blocks, whatever the hub did not explain meets the others
                 left = {m: rest for m, p in enumerate(part) if p == 3 and (rest := set(texts[m][1].tolist()) - block.explained[m])}
             else:
-                block.among({m: set(block.texts_with[m]) for m, p in enumerate(part) if p == 1}, {m for m, p in enumerate(part) if p == 2})
+                block.home = {m: p // 4 for m, p in enumerate(part)}
+                block.among({m: set(block.texts_with[m]) for m, p in enumerate(part) if p % 4 == 1}, {m: p // 4 for m, p in enumerate(part) if p % 4 == 2})
             rows = []
             for m, row in enumerate(block.row):
                 if block.spans[m] or m in left:
@@ -564,12 +587,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         failed = open_.select("unit", "row", F.explode("open").alias("key")).withColumn("failed", F.lit(True))
         every = every.join(failed.distinct(), ["unit", "row", "key"], "left")
         listed = every.groupBy("unit", "row").agg(F.collect_list(F.struct("key", "place", "failed")).alias("x"))
-        listed = listed.withColumn("y", F.filter("x", lambda e: e.failed)).select("unit", "row", F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("y.key").alias("left_keys"), F.col("y.place").alias("left_places"))
+        marked_places = F.transform("x", lambda e: F.when(e.failed, e.place.bitwiseOR(F.lit(OPEN))).otherwise(e.place))
+        listed = listed.withColumn("y", F.filter("x", lambda e: e.failed)).select("unit", "row", F.col("x.key").alias("keys"), marked_places.alias("places"), F.col("y.key").alias("left_keys"), F.col("y.place").alias("left_places"))
         listed = scratch.write(listed, "listed")
         counts = listed.groupBy("unit").agg(*(F.ceil(F.greatest(F.count_if(F.size(c) > 0) / F.lit(BLOCK), F.sum(F.size(c)) * least / F.lit(2 * BLOCK_SHINGLES), F.lit(1.0))).cast("int").alias(n) for c, n in (("left_keys", "lefts"), ("keys", "alls"))))
-        both = listed.join(counts, "unit")
+        both = listed.join(counts, "unit").join(sizes.withColumnRenamed("hub", "unit"), "unit").withColumn("home", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-        to = lambda i, j, part, k, p: F.struct(F.col("unit"), i.alias("i"), j.alias("j"), F.lit(part).alias("part"), F.col(k).alias("keys"), F.col(p).alias("places"))
+        to = lambda i, j, part, k, p: F.struct(F.col("unit"), i.alias("i"), j.alias("j"), (F.col("home") * 4 + part).alias("part"), F.col(k).alias("keys"), F.col(p).alias("places"))
         as_left = F.transform(F.sequence(F.lit(0), F.col("alls") - 1), lambda j: to(own("lefts"), j, 1, "left_keys", "left_places"))
         as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: to(i, own("alls"), 2, "keys", "places"))
         at = F.concat(F.when(F.size("left_keys") > 0, as_left).otherwise(F.slice(as_left, 1, 0)), as_right)
