@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # each module registers its queries when it is imported
-from strandloom.plans import further, graphs, ledger, lookups  # noqa: E402,F401
+from strandloom.plans import claims, further, graphs, ledger, lookups  # noqa: E402,F401
