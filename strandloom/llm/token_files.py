@@ -2,8 +2,8 @@
 
 Documents are dealt by range of their id and sorted; each task cuts its documents into
 shards of about ``shard_tokens`` ids. In a shard the most frequent pairs of neighbouring
-symbols are replaced by new symbols, again and again: first inside the distinct words,
-each weighted by how often it occurs, then along the whole text. A shard stores its
+symbols are replaced by new symbols until no pair is frequent: first inside the distinct
+words, each weighted by how often it occurs, then along the whole text. A shard stores its
 rules, each symbol's expansion length, the symbol stream, and per document where its
 symbols and its ids start; since no rule reaches over a document's end, any document is
 decoded alone. Layout of a shard (little-endian): ``MAGIC``, six uint32 (documents, rules, symbols,
@@ -42,8 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 6_000_000
-WORD_ROUNDS, TEXT_ROUNDS = 6, 3
-MIN_COUNT, MAX_NEW = 8, 8192
+#: A pair is frequent in a shard from so many places on.
+MIN_COUNT = 8
 #: Distinct words whose ids a worker remembers.
 CACHE = 600_000
 SHARDS = "shard int, part int, n_tokens long, doc_ids array<bigint>, payload binary"
@@ -146,42 +146,55 @@ class Grammar:
         self.rules: list[np.ndarray] = []
         self.size = 0
 
-    def replace(self, seq: np.ndarray, closed: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None] | None:
-        """One round over a sequence; ``closed[i]`` forbids a pair of i and i + 1. None: no pair is frequent."""
-        if len(seq) < 2:
-            return None
-        open_at = np.flatnonzero(~closed[:-1])
-        keys = (seq[open_at].astype(np.uint64) << np.uint64(32)) | seq[open_at + 1].astype(np.uint64)
-        weights = None if weight is None else weight[open_at]
-        # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
-        bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(bucket, weights, 1 << 20)[bucket] >= MIN_COUNT
-        open_at, keys = open_at[often], keys[often]
-        if not len(open_at):
-            return None
-        coded = pa.array(keys).dictionary_encode()
-        found, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        count = np.bincount(inverse, None if weights is None else weights[often], len(found))
-        if len(found) > MAX_NEW:
-            least = np.partition(count, len(found) - MAX_NEW)[len(found) - MAX_NEW]
-            count = np.where(count >= least, count, 0)
-        count = np.where(count >= MIN_COUNT, count, 0)
-        if not count.any():
-            return None
-        here = np.zeros(len(seq) + 1)
-        here[open_at + 1] = count[inverse]
-        # of overlapping pairs the more frequent goes first, of equal ones the left
-        taken = np.flatnonzero((here[1:-1] > here[:-2]) & (here[1:-1] >= here[2:]))
-        which, rule = np.unique((seq[taken].astype(np.uint64) << np.uint64(32)) | seq[taken + 1].astype(np.uint64), return_inverse=True)
-        self.rules.append(np.stack([which >> np.uint64(32), which & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        out = seq.copy()
-        out[taken] = self.first + self.size + rule
-        closed = closed.copy()
-        closed[taken] = closed[taken + 1]
-        self.size += len(which)
-        stay = np.ones(len(seq), dtype=bool)
-        stay[taken + 1] = False
-        return out[stay], closed[stay], None if weight is None else weight[stay]
+    def reduce(self, seq: np.ndarray, closed: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds over a sequence until no pair is frequent; ``closed[i]`` forbids a pair of i and its next.
+
+        A round replaces, of the frequent pairs, those that no more frequent one overlaps.
+        What is not frequent never becomes so, and a new pair has a new symbol in it: later rounds
+        look at the places that were left over and at the neighbours of new symbols alone.
+        """
+        n = len(seq)
+        seq, closed, alive = seq.astype(np.int64), closed.copy(), np.ones(n, dtype=bool)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        score = np.zeros(n + 1)
+        at = np.flatnonzero(~closed[: n - 1])
+        while len(at):
+            keys = (seq[at] << 32) | seq[after[at]]
+            if len(at) > 1 << 16:
+                # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
+                bucket = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+                often = np.bincount(bucket, None if weight is None else weight[at], 1 << 20)[bucket] >= MIN_COUNT
+                at, keys = at[often], keys[often]
+            coded = pa.array(keys).dictionary_encode()
+            inverse = coded.indices.to_numpy()
+            count = np.bincount(inverse, None if weight is None else weight[at], len(coded.dictionary))[inverse]
+            often = count >= MIN_COUNT
+            at, keys, count = at[often], keys[often], count[often]
+            if not len(at):
+                break
+            # of overlapping pairs the more frequent goes first, of equal ones the left
+            score[at] = count
+            right = after[at]
+            taken = (count > score[before[at]]) & (count >= score[right])
+            score[at] = 0
+            t, r = at[taken], right[taken]
+            which, rule = np.unique(keys[taken], return_inverse=True)
+            self.rules.append(np.stack([which >> 32, which & 0xFFFFFFFF], axis=1).astype(np.uint32))
+            seq[t] = self.first + self.size + rule
+            self.size += len(which)
+            alive[r] = False
+            closed[t] = closed[r]
+            after[t] = follow = after[r]
+            inside = follow < n
+            before[follow[inside]] = t[inside]
+            left_over = at[~taken]
+            same = alive[left_over] & (after[left_over] < n)
+            left_over, was = left_over[same], keys[~taken][same]
+            left_over = left_over[((seq[left_over] << 32) | seq[after[left_over]]) == was]
+            ahead = before[t]
+            ahead = ahead[ahead >= 0]
+            at = np.unique(np.concatenate([left_over, ahead[~closed[ahead]], t[inside & ~closed[t]]]))
+        return seq[alive], closed[alive]
 
     def table(self) -> np.ndarray:
         return np.concatenate(self.rules) if self.rules else np.zeros((0, 2), dtype=np.uint32)
@@ -230,11 +243,7 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     word_of = np.repeat(np.arange(len(sizes)), sizes)
     closed = np.append(word_of[1:] != word_of[:-1], True)
     weight = np.bincount(order, minlength=len(sizes))[word_of].astype(float)
-    for _ in range(WORD_ROUNDS):
-        got = grammar.replace(seq, closed, weight)
-        if got is None:
-            break
-        seq, closed, weight = got
+    seq, closed = grammar.reduce(seq, closed, weight)
     # the words' symbols again by word: each word's last symbol is closed
     filled = np.flatnonzero(sizes > 0)
     ends = np.flatnonzero(closed)
@@ -247,11 +256,7 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     closed[:-1] |= last[1:]
     if len(closed):
         closed[-1] = True
-    for _ in range(TEXT_ROUNDS):
-        got = grammar.replace(stream, closed, None)
-        if got is None:
-            break
-        stream, closed, _ = got
+    stream, closed = grammar.reduce(stream, closed, None)
     rules = grammar.table()
     lengths = expansion_lengths(rules, vocabulary)
     symbol_starts = np.append(0, np.flatnonzero(stream == vocabulary) + 1).astype("<u4")
