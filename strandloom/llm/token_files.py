@@ -193,7 +193,8 @@ class Grammar:
             left_over = left_over[((seq[left_over] << 32) | seq[after[left_over]]) == was]
             ahead = before[t]
             ahead = ahead[ahead >= 0]
-            at = np.unique(np.concatenate([left_over, ahead[~closed[ahead]], t[inside & ~closed[t]]]))
+            at = np.sort(np.concatenate([left_over, ahead[~closed[ahead]], t[inside & ~closed[t]]]), kind="stable")  # three sorted runs
+            at = at[np.append(at[1:] != at[:-1], True)] if len(at) else at
         return seq[alive], closed[alive]
 
     def table(self) -> np.ndarray:
