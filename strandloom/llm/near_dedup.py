@@ -36,6 +36,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -56,14 +57,6 @@ SLACK = 5
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Families of more nodes are compared band by band; rows then grow with bands instead of blocks.
 FAMILY = 8192
-CACHE = 400_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    for w in set(words).difference(cache):
-        cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,23 +65,57 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sequence_hashes(text: bytes | None, size: int, cache: dict[bytes, int]) -> np.ndarray:
-    """Hashes of a text's shingles in order, repeats included."""
-    words = text.translate(_LOWER).split() if text else []
-    if len(cache) > CACHE:
-        cache.clear()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    each = word_hashes(words, cache)
-    size = min(size, len(each))
-    h = np.full(len(each) - size + 1, size, dtype=np.uint64)
+def _shingled(words: np.ndarray, size: int) -> np.ndarray:
+    h = np.full(max(0, len(words) - size + 1), size, dtype=np.uint64)
     for i in range(size):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + each[i : len(each) - size + 1 + i])
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - size + 1 + i])
     return h
 
 
-def shingle_set(text: bytes | None, size: int, cache: dict[bytes, int]) -> np.ndarray:
-    return np.unique(sequence_hashes(text, size, cache))
+def sequences(text: pa.Array, size: int) -> list[np.ndarray]:
+    """Hashes of each text's shingles in order, repeats included; of fewer words than ``size`` all are one shingle."""
+    if not len(text):
+        return []
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    words, at = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct)), coded.indices.to_numpy()
+    if "" in distinct:  # white space at a text's ends
+        filled = at != distinct.index("")
+        ends, at = np.append(0, np.cumsum(filled))[ends], at[filled]
+    words = words[at]
+    n = np.diff(ends)
+    inside = np.arange(max(0, len(words) - size + 1)) + size <= np.repeat(ends[1:], n)[: max(0, len(words) - size + 1)]
+    out = np.split(_shingled(words, size)[inside], np.cumsum(np.maximum(n - size + 1, 0))[:-1])
+    for k in np.flatnonzero((n > 0) & (n < size)):
+        out[k] = _shingled(words[ends[k] : ends[k + 1]], int(n[k]))
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    h = np.sort(hashes)
+    return h[np.append(h[1:] != h[:-1], True)] if len(h) else h
+
+
+def portions(text: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 2048):
+    """(start, length) of stretches of a column with a bounded number of rows and, but for single long texts, of bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(text):
+        before = int(total[start - 1]) if start else 0
+        stop = min(start + most_rows, max(start + 1, int(np.searchsorted(total, before + most_bytes, side="right"))))
+        yield start, stop - start
+        start = stop
+
+
+def sequence_hashes(text: bytes | None, size: int) -> np.ndarray:
+    return sequences(pa.array([text.decode() if text is not None else None], pa.string()), size)[0]
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return distinct(sequence_hashes(text, size))
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -130,13 +157,11 @@ def signatures(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> Dat
     schema = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("registers", pa.binary())])
 
     def sign(batches):
-        cache: dict[bytes, int] = {}
         for b in batches:
-            text = b.column("text").cast(pa.large_binary())
-            for start in range(0, b.num_rows, 1024):
-                part, sets = b.slice(start, 1024), []
-                for x in text.slice(start, 1024):
-                    h = shingle_set(x.as_py(), shingle, cache)
+            text = b.column("text")
+            for start, n in portions(text):
+                part, sets = b.slice(start, n), []
+                for h in map(distinct, sequences(text.slice(start, n), shingle)):
                     key = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
                     sets.append((int(key[0]), int(key[1]), len(h), registers(h).tobytes()))
                 s1, s2, n, regs = zip(*sets)
@@ -215,12 +240,11 @@ def _sets(docs: DataFrame, placed: DataFrame, shingle: int, text_col: str, id_co
     """
 
     def make(batches):
-        cache: dict[bytes, int] = {}
         for b in batches:
-            text = b.column("text").cast(pa.large_binary())
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                sets = [shingle_set(x.as_py(), shingle, cache).view(np.int64) for x in text.slice(start, 256)]
+            text = b.column("text")
+            for start, n in portions(text, most_rows=512):
+                part = b.slice(start, n)
+                sets = [distinct(x).view(np.int64) for x in sequences(text.slice(start, n), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("places"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "places", "hashes"])
 
     text = quoted(text_col)

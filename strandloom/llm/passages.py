@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BESIDE_TEXTS, BROADCAST_BYTES, Scratch, left_join_sized, quoted, table, trimmed
-from .near_dedup import _mixed, components, sequence_hashes, sorted_groups
+from .near_dedup import _mixed, components, portions, sequences, sorted_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -194,7 +194,9 @@ class Block:
         else:
             self.plain = able = np.zeros(0, dtype=bool)
         self.plain = np.append(self.plain, np.zeros(n - len(self.plain), dtype=bool))
-        self.able = np.concatenate([[0], np.cumsum(np.append(able, np.zeros(n - len(able), dtype=bool)))])
+        self.hopeless = np.append(~able, np.ones(n - len(able), dtype=bool))  # starts of stretches that are like no other text's
+        self.able = np.concatenate([[0], np.cumsum(~self.hopeless)])
+        self.rough = np.concatenate([[0], np.cumsum(~self.plain)])
         self.texts_with = [dict() for _ in texts]
         self.twins: list[dict] = [{} for _ in texts]  # of a place that stands for others: how far they are
         self.members: dict[int, list[int]] = defaultdict(list)
@@ -352,7 +354,7 @@ class Block:
     def covered(self, p: int, q: int, key: int) -> bool:
         """Whether all that two texts might share by a key is in their spans already, and cut from the later one."""
         later = p if self.row[p] > self.row[q] else q
-        whole = lambda m, bit: all((self.done[m][f - self.begin[m] : t - self.begin[m] + 1] & bit).all() for f, t, _ in self.texts_with[m][key])
+        whole = lambda m, bit: all((self.hopeless[f : t + 1] | (self.done[m][f - self.begin[m] : t - self.begin[m] + 1] & bit > 0)).all() for f, t, _ in self.texts_with[m][key])
         return whole(later, 2) and whole(p + q - later, 1)
 
     def star(self, hub: int) -> dict[int, set[int]]:
@@ -379,31 +381,61 @@ class Block:
         for p in sorted(open_):
             partners: dict[int, list[int]] = defaultdict(list)
             for key in open_[p]:
-                for q in self.members[key]:
-                    if self.row[q] == self.row[p] or (q, p) in met:
-                        continue
-                    if others is not None and (q not in others or others[q] == self.home[p] or self.row[q] > self.row[p] and key in self.open[q]):
-                        continue
+                asked = [q for q in self.members[key] if self.row[q] != self.row[p] and (q, p) not in met]
+                if others is not None:
+                    asked = [q for q in asked if q in others and others[q] != self.home[p] and not (self.row[q] > self.row[p] and key in self.open[q])]
+                for q in self.possible(p, key, asked):
                     partners[q].append(key)
+                met.update((p, q) for q in asked)
             for q, keys in partners.items():
-                met.add((p, q))
                 if self.find(p) == self.find(q):
                     keys = [k for k in keys if not self.covered(p, q, k)]
                 if keys:
                     self.pair(p, q, keys)
 
+    def possible(self, p: int, key: int, asked: list[int]) -> list[int]:
+        """Those texts that ``pair`` may find to share a stretch by the key: what one pass over all of them cannot rule out.
+
+        A stretch of the text is like that at the same distance from the anchor in another
+        only if enough of its shingles lie in both. Where shingles repeat, nothing is ruled out.
+        """
+        least = self.least
+        if len(asked) < 3 or len(self.texts_with[p][key]) > 1:
+            return asked
+        [(f, t, c)] = self.texts_with[p][key]
+        away = np.arange(1 - least, least)
+        at = c + away
+        inside = np.flatnonzero((at >= f) & (at < t + least))
+        mine = self.ids[at[inside]]
+        if t > c or len(np.unique(mine)) < len(mine) or self.rough[t + 1] > self.rough[f]:
+            return asked
+        rows = [(q, *place) for q in asked for place in self.texts_with[q][key]]
+        q, bf, bt, bc = np.array(rows).T
+        open_ = (bt > bc) | (self.rough[bt + 1] > self.rough[bf]) | (np.maximum(f - c, bf - bc) > np.minimum(t - c, bt - bc))
+        self.place[mine] = inside
+        its = bc[:, None] + away
+        valid = (its >= bf[:, None]) & (its < bt[:, None] + least)
+        where = np.where(valid, self.place[self.ids[np.clip(its, 0, len(self.ids) - 1)]], -1)
+        self.place[mine] = -1
+        row, j = np.nonzero(where >= 0)
+        i, wide = where[row, j], len(away) + 1
+        low, high = np.minimum(i, j), np.maximum(np.maximum(i, j) - least + 1, 0)
+        both = low >= high
+        steps = np.bincount(row[both] * wide + high[both], minlength=len(rows) * wide) - np.bincount(row[both] * wide + low[both] + 1, minlength=len(rows) * wide)
+        shared = np.cumsum(steps.reshape(len(rows), wide), axis=1)
+        return np.unique(q[open_ | (shared >= self.need).any(axis=1)]).tolist()
+
 
 def _intervals(docs: DataFrame, least: int, text_col: str, id_col: str) -> DataFrame:
     """Per row: id, hashes of the text, number of words, and the text's intervals as arrays of keys and packed places."""
     names = ["id", "t1", "t2", "words", "keys", "places"]
 
     def make(batches):
-        cache: dict[bytes, int] = {}
         for b in batches:
-            text = b.column("text").cast(pa.large_binary())
-            for start in range(0, b.num_rows, 128):
-                part = b.slice(start, 128)
-                seqs = [sequence_hashes(t.as_py(), SHINGLE, cache) for t in text.slice(start, 128)]
+            text = b.column("text")
+            for start, n in portions(text, 1 << 20):
+                part = b.slice(start, n)
+                seqs = sequences(text.slice(start, n), SHINGLE)
                 of, key, first, last, anchor = signature_intervals(seqs, least)
                 order = np.argsort(of, kind="stable")
                 cuts = pa.array(np.searchsorted(of[order], np.arange(len(seqs) + 1)).astype(np.int32))
@@ -437,13 +469,12 @@ def _stretches(docs: DataFrame, placed: DataFrame, least: int, text_col: str, id
         return starts, stops - starts, np.concatenate([seq[x:y] for x, y in zip(starts.tolist(), stops.tolist())])
 
     def make(batches):
-        cache: dict[bytes, int] = {}
         fields = [pa.field("unit", pa.int64()), *(pa.field(c, pa.int32()) for c in ("i", "j", "part")), pa.field("row", pa.int64()), *(pa.field(c, pa.list_(pa.int64())) for c in ("keys", "places")), *(pa.field(c, pa.list_(pa.int32())) for c in ("starts", "lengths")), pa.field("shingles", pa.list_(pa.int64()))]
         for b in batches:
-            text = b.column("text").cast(pa.large_binary())
-            for n in range(b.num_rows):
-                seq = sequence_hashes(text[n].as_py(), SHINGLE, cache).view(np.int64)
-                row = b.column("row")[n].as_py()
+            text = b.column("text")
+            rows = (x for start, n in portions(text) for x in sequences(text.slice(start, n), SHINGLE))
+            for n, seq in enumerate(rows):
+                seq, row = seq.view(np.int64), b.column("row")[n].as_py()
                 out, places_of = [], b.column("at")[n].values
                 plain = [places_of.field(c).to_pylist() for c in ("unit", "i", "j", "part")]
                 for at, keys, places in zip(zip(*plain), places_of.field("keys"), places_of.field("places")):

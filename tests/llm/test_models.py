@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import class_lm as lm
 from strandloom.llm import mixing as mx
+from strandloom.llm import near_dedup as nd
 from strandloom.llm import passages as ps
 
 SF = "/root/testdata/sf0.01"
@@ -180,7 +181,7 @@ def test_passages_that_only_another_member_explains(spark):
     got = {r.id: r.class_id for r in ps.repeated_passages(df).collect()}
     want = {}
     for k in range(300):
-        seqs = [ps.sequence_hashes(t.encode(), ps.SHINGLE, {}) for _, t in rows[3 * k : 3 * k + 3]]
+        seqs = [nd.sequence_hashes(t.encode(), ps.SHINGLE) for _, t in rows[3 * k : 3 * k + 3]]
         assert ps.alike(seqs[0], seqs[1], 46, 80) and ps.alike(seqs[1], seqs[2], 46, 80)
         want |= {3 * k + i: 3 * k for i in range(3)}
     lost = want.keys() - got.keys()
@@ -212,7 +213,7 @@ def test_near_passages_are_found(spark):
         else:
             for at in rng.choice(80, 1 + k % 3, replace=False):
                 q[at] = word()
-        x, y = (ps.sequence_hashes(" ".join(w).encode(), ps.SHINGLE, {}) for w in (p, q))
+        x, y = (nd.sequence_hashes(" ".join(w).encode(), ps.SHINGLE) for w in (p, q))
         if any(ps.alike(x[i:], y[i + s :], 46, 80) for s in (0, 1) for i in (0,)):
             near[2 * k] = k % 3
         for i, w in ((2 * k, p), (2 * k + 1, q)):

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def words(text):
-    return bytes(text or "", "utf8").translate(nd._LOWER).split()
+    return bytes(text or "", "utf8").translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
 
 
 def shingles(text, k):
