@@ -23,6 +23,30 @@ def build_index(spark: SparkSession, repo: str, excludes: list[str] | None = Non
     return derive(inventory, graph.cut(repository.facts(files, inventory)), roots)
 
 
+def refresh_index(spark: SparkSession, repo: str, old: dict[str, DataFrame], changed: list[str], excludes: list[str] | None = None) -> dict[str, DataFrame]:
+    """The index after ``changed`` files: only their modules are read and extracted again.
+
+    ``old`` is an index with its ``inventory`` and ``facts``. Facts of a module are replaced as a whole,
+    those of modules that are gone are dropped; where the modules themselves are others
+    than before, everything is built anew. The result equals a full build.
+    """
+    listed = repository.tracked_files(repo)
+    listed = repository.walked_files(repo) if listed is None else listed
+    roots = repository.module_roots(listed)
+    module_of = lambda path: next((r for r in sorted(roots, key=len, reverse=True) if path == r or path.startswith(r + "/")), "(root)")
+    known = {r.module for r in old["inventory"].select("module").distinct().collect()}  # one row per module
+    now = {module_of(p) for p in listed}
+    if known != now:
+        return build_index(spark, repo, excludes)
+    stale = {module_of(p) for p in changed}
+    files = repository.contents(spark, repo, [p for p in listed if module_of(p) in stale], excludes)
+    fresh = graph.cut(repository.inventory(files, roots))
+    fresh_facts = repository.facts(files, fresh)
+    kept = lambda df: df.where(~F.col("module").isin(*stale)) if stale else df
+    inventory = graph.cut(kept(old["inventory"]).unionByName(fresh))
+    return derive(inventory, graph.cut(kept(old["facts"]).unionByName(fresh_facts)), roots)
+
+
 def derive(inventory: DataFrame, facts: DataFrame, roots: list[str]) -> dict[str, DataFrame]:
     pick = lambda tag: facts.where(F.col("tag") == tag)
     role = inventory.select("path", "role")
@@ -52,7 +76,7 @@ def derive(inventory: DataFrame, facts: DataFrame, roots: list[str]) -> dict[str
     calls = resolved.where("resolved IN ('local', 'matched') AND primary IS NOT NULL AND fqn <> primary AND NOT endswith(fqn, '.*')").select(F.col("primary").alias("source"), F.col("fqn").alias("target"), F.lit("call").alias("channel"), "file", "line", "module")
     flow = flow.unionByName(joins.first_by(calls, ["source", "target", "channel"], ["file", "line"]))
     scopes = packing.partition(inventory.where("NOT binary"), "module", "path", "loc")
-    index = {"inventory": inventory, "defines": defines, "uses": resolved, "io_edges": edges, "imports": imports, "notes": pick("note").select("path", "module", F.col("name").alias("note"), "line"), "modules": modules, "observed": observed, "declared": declared, "declared_ambiguous": ambiguous, "constants": constants, "routes": routes, "flow": flow, "scopes": scopes}
+    index = {"inventory": inventory, "facts": facts, "defines": defines, "uses": resolved, "io_edges": edges, "imports": imports, "notes": pick("note").select("path", "module", F.col("name").alias("note"), "line"), "modules": modules, "observed": observed, "declared": declared, "declared_ambiguous": ambiguous, "constants": constants, "routes": routes, "flow": flow, "scopes": scopes}
     index["symbols"] = aggs.symbol_table(defines.withColumn("at", text.cite(F.col("file"), F.col("line"))), "fqn", "at", {"kind": "kind", "visibility": "visibility"}, {"value": "value"}, "module", "at")
     index["claims"] = claims(index)
     return index

@@ -114,3 +114,21 @@ def test_walk_and_roots(tmp_path):
         (tmp_path / p).write_text("x")
     assert repository.walked_files(str(tmp_path)) == ["a/x.py", "b/pom.xml"]
     assert repository.module_roots(["a/x.py", "b/pom.xml"]) == ["b"] and repository.module_roots(["a/x.py"]) == ["a"]
+
+
+def test_a_refreshed_index_equals_a_full_build(spark, shop, tmp_path):
+    """A changed, an added and a deleted file; only their modules are read again."""
+    for name, text in FILES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    old = index.build_index(spark, str(tmp_path))
+    entity = "core/src/main/java/com/acme/core/OrderEntity.java"
+    (tmp_path / entity).write_text(FILES[entity].replace("getId", "getNumber"))
+    (tmp_path / "core/src/main/java/com/acme/core/Extra.java").write_text("package com.acme.core;\n\npublic class Extra {\n}\n")
+    (tmp_path / "web/Dockerfile").unlink()
+    new = index.refresh_index(spark, str(tmp_path), old, [entity, "core/src/main/java/com/acme/core/Extra.java", "web/Dockerfile"])
+    whole = index.build_index(spark, str(tmp_path))
+    for name in ("inventory", "facts", "symbols", "uses", "io_edges", "routes", "claims"):
+        assert sorted(map(str, new[name].collect())) == sorted(map(str, whole[name].collect())), name
+    assert "com.acme.core.Extra" in {r.fqn for r in new["symbols"].collect()}
+    assert index.refresh_index(spark, str(tmp_path), whole, [])["inventory"].count() == whole["inventory"].count()
