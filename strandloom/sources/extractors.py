@@ -526,6 +526,11 @@ def build(path: str, lines: list[str]):
     return {"package": "", "primary": path}, facts
 
 
+def toml(path: str, lines: list[str]):
+    """A manifest by its name, else configuration like any other."""
+    return (build if path.rsplit("/", 1)[-1] in ("pyproject.toml", "Cargo.toml") else config)(path, lines)
+
+
 def generic(path: str, lines: list[str]):
     return {"package": "", "primary": path}, []
 
@@ -533,7 +538,7 @@ def generic(path: str, lines: list[str]):
 BY_LANGUAGE = {
     "java": java, "python": python, "javascript": javascript, "typescript": javascript, "go": go, "csharp": csharp, "scala": scala,
     "sql": sql, "docker": docker, "properties": config, "yaml": config, "ini": config, "env": config,
-    "gradle": build, "maven": build, "npm": build, "gomod": build, "toml": build,
+    "gradle": build, "maven": build, "npm": build, "gomod": build, "toml": toml,
 }
 
 

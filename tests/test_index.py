@@ -132,3 +132,10 @@ def test_a_refreshed_index_equals_a_full_build(spark, shop, tmp_path):
         assert sorted(map(str, new[name].collect())) == sorted(map(str, whole[name].collect())), name
     assert "com.acme.core.Extra" in {r.fqn for r in new["symbols"].collect()}
     assert index.refresh_index(spark, str(tmp_path), whole, [])["inventory"].count() == whole["inventory"].count()
+
+
+def test_toml_files_are_configuration_unless_manifests():
+    from strandloom.sources import extractors
+
+    keys = lambda path: [f[1] for f in extractors.extract(path, "toml", ["[db]", 'url = "x"', "# note", "pool = 3"])[1] if f[0] == "define"]
+    assert keys("app/settings.toml") == ["config:url", "config:pool"] and keys("app/pyproject.toml") == []
