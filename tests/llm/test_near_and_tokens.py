@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,57 @@ def test_toxicity_held_out(spark):
     assert docs.count() == scored.sparkSession.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
 
 
+def test_toxicity_finds_held_out_rows_that_show_anything(spark):
+    """In sf0.1 two toxic labels of five are on texts without any sign; of those with one nearly all are found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    rows = [(r.doc_id, r.toxic, r.part, set(tox.split_words((r.text or "").encode()))) for r in docs.join(labels, "doc_id").select("doc_id", "toxic", "text", part.alias("part")).collect()]
+    seen = {k: {} for k in (0, 1)}
+    for _, toxic, p, words in rows:
+        for w in words if p else ():
+            seen[toxic][w] = seen[toxic].get(w, 0) + 1
+    signs = {w for w, n in seen[1].items() if n >= 20 and w not in seen[0]}
+    told = {i for i, toxic, p, words in rows if toxic and not p and words & signs}
+    got = {r.doc_id: r.predicted for r in tox.op6_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    assert len(told) > 40 and sum(got[i] for i in told) >= 0.95 * len(told)
+
+
+def test_toxicity_model_equals_plain_kneser_ney():
+    """Class-conditional top order, shared continuation counts below, with dictionaries."""
+    vocabulary = [b"ab", b"abc", b"ba", b"cab", b"bad", b"abba", b"dab"]
+    counts = [[5, 3, 4, 1, 0, 2, 6], [1, 0, 2, 7, 3, 0, 1]]
+    order = tox.ORDER
+    grams = [[(b"\x02" * (order - 1) + w + b"\x03")[i : i + order] for i in range(len(w) + 1)] for w in vocabulary]
+    top = [{}, {}]
+    for c in (0, 1):
+        for w, n in zip(grams, counts[c]):
+            for g in w:
+                top[c][g] = top[c].get(g, 0) + n
+    kinds = {order: set().union(*map(set, grams))}
+    for n in range(order - 1, 0, -1):
+        kinds[n] = {g[1:] for g in kinds[n + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        left = {h: sum(x[1:] == h for x in kinds[len(g) + 1]) for h in kinds[len(g)]}
+        d = tox._discount(np.array(list(left.values()), dtype=float))
+        same = [k for h, k in left.items() if h[:-1] == g[:-1]]
+        return max(left.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * shared(g[1:])
+
+    def likelihood(c, g):
+        same = [k for h, k in top[c].items() if h[:-1] == g[:-1] and k > 0]
+        if not same:
+            return shared(g[1:])
+        return max(top[c].get(g, 0) - tox.TOP_DISCOUNT, 0) / sum(same) + tox.TOP_DISCOUNT * len(same) / sum(same) * shared(g[1:])
+
+    model = tox.fit(vocabulary, *(np.array(c, dtype=float) for c in counts))
+    got = tox.word_values(model, vocabulary)
+    for w, value in zip(grams, got):
+        ratio = sum(np.log(likelihood(1, g) / likelihood(0, g)) for g in w)
+        assert np.isclose(value, np.log(1 - tox.SHARE + tox.SHARE * np.exp(min(ratio, 15))), rtol=1e-4)
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(i, "good words here" if i % 2 else "vile scum here") for i in range(200)] + [(None, "x"), (500, None), (501, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] + [(0, None), (None, 1), (2, 1)], "doc_id long, toxic int")
