@@ -159,17 +159,17 @@ class Grammar:
         score = np.zeros(n + 1)
         at = np.flatnonzero(~closed[: n - 1])
         while len(at):
-            keys = (seq[at] << 32) | seq[after[at]]
+            keys = (seq[at] << 32) | seq[after[at] if self.size else at + 1]
             if len(at) > 1 << 16:
                 # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
                 bucket = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
                 often = np.bincount(bucket, None if weight is None else weight[at], 1 << 20)[bucket] >= MIN_COUNT
                 at, keys = at[often], keys[often]
             coded = pa.array(keys).dictionary_encode()
-            inverse = coded.indices.to_numpy()
-            count = np.bincount(inverse, None if weight is None else weight[at], len(coded.dictionary))[inverse]
+            pairs, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            count = np.bincount(code, None if weight is None else weight[at], len(pairs))[code]
             often = count >= MIN_COUNT
-            at, keys, count = at[often], keys[often], count[often]
+            at, keys, count, code = at[often], keys[often], count[often], code[often]
             if not len(at):
                 break
             # of overlapping pairs the more frequent goes first, of equal ones the left
@@ -178,7 +178,8 @@ class Grammar:
             taken = (count > score[before[at]]) & (count >= score[right])
             score[at] = 0
             t, r = at[taken], right[taken]
-            which, rule = np.unique(keys[taken], return_inverse=True)
+            used = np.bincount(code[taken], minlength=len(pairs)) > 0
+            which, rule = pairs[used], (np.cumsum(used) - 1)[code[taken]]
             self.rules.append(np.stack([which >> 32, which & 0xFFFFFFFF], axis=1).astype(np.uint32))
             seq[t] = self.first + self.size + rule
             self.size += len(which)
@@ -300,6 +301,10 @@ class Shard:
             self.flat[lo:hi] = _expand(self.flat, self.starts, self.sizes, self.rules[done:upto].reshape(-1).astype(np.int64))
             done = upto
 
+    def ids(self) -> np.ndarray:
+        """The ids of all documents one after another."""
+        return _expand(self.flat, self.starts, self.sizes, self.stream.astype(np.int64))
+
     def document(self, k: int) -> np.ndarray:
         """The ids of one document, from its own symbols alone."""
         part = self.stream[self.symbol_starts[k] : self.symbol_starts[k + 1]].astype(np.int64)
@@ -353,8 +358,9 @@ def read_documents(shards: DataFrame, visit=None) -> DataFrame:
             payloads = b.column("payload").cast(pa.large_binary())
             for i in range(b.num_rows):
                 s = Shard(memoryview(payloads[i].as_buffer()))
-                crc = [zlib.crc32(s.document(k).astype("<u4").tobytes()) for k in range(s.n_docs)]
                 starts = s.id_starts.astype(np.int64)
+                ids, ends = memoryview(s.ids().astype("<u4").tobytes()), (4 * starts).tolist()
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])]
                 n = s.n_docs
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, b.column("shard")[i].as_py(), np.int32)), pa.array(np.full(n, b.column("part")[i].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)), b.column("doc_ids")[i].values, pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
