@@ -68,3 +68,41 @@ def test_empty(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_columns_of_any_name(spark, corpus, tmp_path):
+    """Nulls, repeated rows, a very long text, and columns that operators use themselves."""
+    from pyspark.sql import functions as F
+
+    plain = spark.read.parquet(f"{corpus}/documents.parquet")
+    kept = plain.where("doc_id % 8 <> 0 AND doc_id NOT IN (11, 401, 402)")
+    odd = spark.createDataFrame([(1000, None, None, None, None), (1001, "", "en", "s", 0), (None, "no id at all here", "en", "s", 1), (1002, "lone " * 60_000, "en", "s", 2)], plain.schema)
+    again = kept.where("doc_id = 1")
+    names = ["score", "predicted", "domain", "rate", "copies", "posteriors", "n_tokens", "value", "items", "kept", "n_shingles", "spans"]
+    docs = plain.unionByName(odd).unionByName(again).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in names})
+    want = {r.doc_id for r in kept.collect()} | {1000, 1001, None, 1002}
+    columns = docs.columns
+    from strandloom.llm.common import Scratch
+
+    scratch = Scratch(spark, "test-odd")
+    for name, stage in cp.STAGES:
+        docs = scratch.write(stage(spark, docs, corpus), name)
+        if name == "token_output":
+            break
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert all(r[c] == c + ("?" if r.doc_id is None else str(r.doc_id)) for r in rows for c in names)
+        assert want <= {r.doc_id for r in rows}
+        assert sum(r.doc_id == 1 for r in rows) >= 2  # rows that repeat an id with its text share their fate
+    assert {r.doc_id for r in rows} == want == {r.doc_id for r in docs.collect()}
+    one = {r.doc_id: r.n_tokens for r in docs.collect()}
+    assert one[1000] == one[1001] == 1 and one[1002] > 60_000
+
+
+def test_a_result_outlives_the_pipeline(spark, corpus):
+    """Stages clear their own tables and nobody else's."""
+    from strandloom.llm import exact_dedup
+
+    held = exact_dedup.exact_dedup(spark.read.parquet(f"{corpus}/documents.parquet"))
+    cp.run(spark, corpus).count()
+    assert held.where("kept").count() == 402 - 1
