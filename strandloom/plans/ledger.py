@@ -180,9 +180,9 @@ def o39_waves(spark, sf_dir):
     return ranking.waves(table(spark, sf_dir, "part").select(F.col("p_size").alias("level"), F.col("p_partkey").alias("node")), "level", "node", 8).select("level", "node", "wave")
 
 
-@query("SELECT s_suppkey AS node, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_returnflag = 'R' AND l_tax = 0) THEN 'T3' ELSE 'T2' END AS tier FROM supplier")
+@query("SELECT s_suppkey AS node, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_tax = 0) THEN 'T3' ELSE 'T2' END AS tier FROM supplier")
 def o40_tier(spark, sf_dir):
-    unresolved = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R' AND l_tax = 0").select(F.col("l_suppkey").alias("node"))
+    unresolved = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_tax = 0").select(F.col("l_suppkey").alias("node"))
     return quality.tier(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), unresolved, "node")
 
 
@@ -191,11 +191,11 @@ CONFIDENCE = "CASE WHEN l_discount >= 0.09 THEN 'low' WHEN l_discount >= 0.05 TH
 
 @query(
     f"""SELECT l_suppkey AS grp, arg_min(c, CASE c WHEN 'contested' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS confidence
-    FROM (SELECT l_suppkey, {CONFIDENCE} AS c FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R') GROUP BY l_suppkey"""
+    FROM (SELECT l_suppkey, {CONFIDENCE} AS c FROM lineitem) GROUP BY l_suppkey"""
 )
 def o43_worst_confidence(spark, sf_dir):
     d = F.col("l_discount")
-    members = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("grp"), F.when(d >= 0.09, "low").when(d >= 0.05, "medium").when(d >= 0.01, "high").otherwise("contested").alias("confidence"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.when(d >= 0.09, "low").when(d >= 0.05, "medium").when(d >= 0.01, "high").otherwise("contested").alias("confidence"))
     return graph.worst_confidence(members, "grp", "confidence", aggs.caution_rank)
 
 
@@ -243,12 +243,12 @@ def o50_compaction_split(spark, sf_dir):
 
 @query(
     """
-    WITH e AS (SELECT p_partkey AS k FROM part), g AS (SELECT l_partkey AS k FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' UNION ALL SELECT p_partkey + 5 FROM part WHERE p_size = 50)
+    WITH e AS (SELECT p_partkey AS k FROM part), g AS (SELECT l_partkey AS k FROM lineitem UNION ALL SELECT p_partkey + 5 FROM part WHERE p_size = 50)
     SELECT k, 'duplicate' AS problem FROM g GROUP BY k HAVING count(*) > 1 UNION ALL SELECT k, 'missing' FROM e WHERE k NOT IN (SELECT k FROM g) UNION ALL SELECT DISTINCT k, 'extra' FROM g WHERE k NOT IN (SELECT k FROM e)"""
 )
 def o53_exactly_once(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    got = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).unionByName(part.where("p_size = 50").select((F.col("p_partkey") + 5).alias("k")))
+    got = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).unionByName(part.where("p_size = 50").select((F.col("p_partkey") + 5).alias("k")))
     return setops.exactly_once(part.select(F.col("p_partkey").alias("k")), got, "k")
 
 
