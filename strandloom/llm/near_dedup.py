@@ -444,4 +444,18 @@ def op9_near_dedup(spark, sf_dir):
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}
-ORACLES: dict[str, str] = {}
+#: Rare shingles make the pairs, whole sets decide, a recursion follows the links.
+ORACLES = {
+    "op9_near_dedup": r"""
+    WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END) AS g FROM d WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    f AS (SELECT g, count(*) AS f FROM s GROUP BY g),
+    r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS rn FROM s JOIN f USING (g)),
+    p AS MATERIALIZED (SELECT doc_id, g, n FROM r JOIN n USING (doc_id) WHERE rn <= n - ceil(0.8 * n) + 1),
+    c AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+    l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    t AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.a, t.root FROM t JOIN e ON e.b = t.node)
+    SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, min(root) = node AS kept FROM t LEFT JOIN n ON n.doc_id = node GROUP BY node"""
+}
