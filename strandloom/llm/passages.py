@@ -221,7 +221,7 @@ class Block:
                         if others:
                             self.twins[m][f, c] = [x - f for x, _, _ in others]
         self.spans: list[list[tuple[int, int, bool]]] = [[] for _ in texts]
-        self.done = [np.zeros(int(s), dtype=np.uint8) for s in sizes]  # starts of stretches: 1 for verified, 2 for verified with an earlier text
+        self.size, self.done = sizes, np.zeros(n, dtype=np.uint8)  # starts of stretches: 1 for verified, 2 for verified with an earlier text
         self.top = list(range(len(texts)))
         self.edges: list[tuple[int, int]] = []
         self.explained: dict[int, set[int]] = {}
@@ -308,8 +308,8 @@ class Block:
                         ok.add(key)
                         twins += [(m, other, place, by) for m, other, place in ((a, b, one), (b, a, two)) for by in self.twins[m].get((place[0], place[2]), ())]
                 starts = np.flatnonzero(holds) + lo
-                self.done[a][starts + d - self.begin[a]] |= 3 if self.row[a] > self.row[b] else 1
-                self.done[b][starts - self.begin[b]] |= 3 if self.row[b] > self.row[a] else 1
+                self.done[starts + d] |= 3 if self.row[a] > self.row[b] else 1
+                self.done[starts] |= 3 if self.row[b] > self.row[a] else 1
                 if good.any():
                     if d not in diagonals:
                         diagonals[d] = self._diagonal(a, b, d)
@@ -338,7 +338,7 @@ class Block:
 
     def _diagonal(self, a: int, b: int, d: int) -> tuple:
         """(first position, equal shingles, runs of starts with enough equal places) of both texts shifted by ``d``."""
-        end = lambda m: int(self.begin[m]) + len(self.done[m])
+        end = lambda m: int(self.begin[m] + self.size[m])
         b0 = max(int(self.begin[b]), int(self.begin[a]) - d)
         b1 = min(end(b), end(a) - d)
         same = self.ids[b0 + d : b1 + d] == self.ids[b0:b1]
@@ -354,7 +354,7 @@ class Block:
     def covered(self, p: int, q: int, key: int) -> bool:
         """Whether all that two texts might share by a key is in their spans already, and cut from the later one."""
         later = p if self.row[p] > self.row[q] else q
-        whole = lambda m, bit: all((self.hopeless[f : t + 1] | (self.done[m][f - self.begin[m] : t - self.begin[m] + 1] & bit > 0)).all() for f, t, _ in self.texts_with[m][key])
+        whole = lambda m, bit: all((self.hopeless[f : t + 1] | (self.done[f : t + 1] & bit > 0)).all() for f, t, _ in self.texts_with[m][key])
         return whole(later, 2) and whole(p + q - later, 1)
 
     def star(self, hub: int) -> dict[int, set[int]]:
@@ -422,8 +422,14 @@ class Block:
         low, high = np.minimum(i, j), np.maximum(np.maximum(i, j) - least + 1, 0)
         both = low >= high
         steps = np.bincount(row[both] * wide + high[both], minlength=len(rows) * wide) - np.bincount(row[both] * wide + low[both] + 1, minlength=len(rows) * wide)
-        shared = np.cumsum(steps.reshape(len(rows), wide), axis=1)
-        return np.unique(q[open_ | (shared >= self.need).any(axis=1)]).tolist()
+        near = np.cumsum(steps.reshape(len(rows), wide), axis=1)[:, :least] >= self.need
+        # of texts that are linked, starts that are in both spans already, and cut from the later text, show nothing new
+        linked = np.array([self.find(x) == self.find(p) for x in q.tolist()])
+        later = np.array([self.row[x] > self.row[p] for x in q.tolist()])[:, None]
+        starts = np.arange(least) + 1 - least
+        own, its = (np.take(self.done, np.maximum(x + starts, 0)) for x in (c, bc[:, None]))
+        known = linked[:, None] & (own & np.where(later, 1, 2) > 0) & (its & np.where(later, 2, 1) > 0)
+        return np.unique(q[open_ | (near & ~known).any(axis=1)]).tolist()
 
 
 def _intervals(docs: DataFrame, least: int, text_col: str, id_col: str) -> DataFrame:
