@@ -120,11 +120,11 @@ def trimmed(work):
 
         import pyarrow
 
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())  # whose freed memory can be given back
         try:
             yield from work(batches)
         finally:
             gc.collect()
-            pyarrow.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
             except (AttributeError, OSError):  # not every system's C library has it

@@ -99,7 +99,7 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return h[np.append(h[1:] != h[:-1], True)] if len(h) else h
 
 
-def portions(text: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 2048):
+def portions(text: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 2048):
     """(start, length) of stretches of a column with a bounded number of rows and, but for single long texts, of bytes."""
     total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0

@@ -44,6 +44,8 @@ MAGIC = b"RPG1"
 SHARD_TOKENS = 6_000_000
 #: A pair is frequent in a shard from so many places on.
 MIN_COUNT = 8
+#: Places that are looked at in one go where a whole shard's would take much memory.
+STEP = 1 << 18
 #: Distinct words whose ids a worker remembers.
 CACHE = 600_000
 SHARDS = "shard int, part int, n_tokens long, doc_ids array<bigint>, payload binary"
@@ -131,11 +133,17 @@ def _encode_distinct(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _expand(table_of: np.ndarray, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The entries of each symbol's stretch of a flat table, one after another."""
-    n = sizes[symbols]
-    ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-    return table_of[at + np.repeat(starts[symbols] - (ends - n), n)]
+    """The entries of each symbol's stretch of a flat table, one after another; some symbols at a time, as places take more room than entries."""
+    out = np.empty(int(sizes[symbols].sum()), dtype=table_of.dtype)
+    done = 0
+    for at in range(0, len(symbols), STEP):
+        part = symbols[at : at + STEP]
+        n = sizes[part]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        out[done : done + total] = table_of[np.arange(total) + np.repeat(starts[part] - (ends - n), n)]
+        done += total
+    return out
 
 
 class Grammar:
@@ -154,20 +162,25 @@ class Grammar:
         look at the places that were left over and at the neighbours of new symbols alone.
         """
         n = len(seq)
-        seq, closed, alive = seq.astype(np.int64), closed.copy(), np.ones(n, dtype=bool)
+        seq, closed, alive = seq.astype(np.uint32), closed.copy(), np.ones(n, dtype=bool)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        score = np.zeros(n + 1)
-        at = np.flatnonzero(~closed[: n - 1])
+        score = np.zeros(n + 1, dtype=np.float32)
+        key_of = lambda x: (seq[x].astype(np.int64) << 32) | seq[after[x]]
+        at = np.flatnonzero(~closed[: n - 1]).astype(np.int32)
         while len(at):
-            keys = (seq[at] << 32) | seq[after[at] if self.size else at + 1]
-            if len(at) > 1 << 16:
+            if len(at) > STEP:
                 # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
-                bucket = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-                often = np.bincount(bucket, None if weight is None else weight[at], 1 << 20)[bucket] >= MIN_COUNT
-                at, keys = at[often], keys[often]
+                bucket_of = lambda x: ((key_of(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+                parts = [at[k : k + STEP] for k in range(0, len(at), STEP)]
+                filled = np.zeros(1 << 20)
+                for x in parts:
+                    filled += np.bincount(bucket_of(x), None if weight is None else weight[x], 1 << 20)
+                at = np.concatenate([x[filled[bucket_of(x)] >= MIN_COUNT] for x in parts])
+                del filled, parts
+            keys = key_of(at)
             coded = pa.array(keys).dictionary_encode()
             pairs, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            count = np.bincount(code, None if weight is None else weight[at], len(pairs))[code]
+            count = np.bincount(code, None if weight is None else weight[at], len(pairs)).astype(np.float32)[code]
             often = count >= MIN_COUNT
             at, keys, count, code = at[often], keys[often], count[often], code[often]
             if not len(at):
@@ -191,7 +204,7 @@ class Grammar:
             left_over = at[~taken]
             same = alive[left_over] & (after[left_over] < n)
             left_over, was = left_over[same], keys[~taken][same]
-            left_over = left_over[((seq[left_over] << 32) | seq[after[left_over]]) == was]
+            left_over = left_over[key_of(left_over) == was]
             ahead = before[t]
             ahead = ahead[ahead >= 0]
             at = np.sort(np.concatenate([left_over, ahead[~closed[ahead]], t[inside & ~closed[t]]]), kind="stable")  # three sorted runs
@@ -242,7 +255,8 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     n_ids = sizes  # a word's ids, before its symbols are joined
 
     grammar = Grammar(vocabulary)
-    word_of = np.repeat(np.arange(len(sizes)), sizes)
+    del split, words, coded, flat, inside
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     closed = np.append(word_of[1:] != word_of[:-1], True)
     weight = np.bincount(order, minlength=len(sizes))[word_of].astype(float)
     seq, closed = grammar.reduce(seq, closed, weight)
