@@ -183,6 +183,7 @@ class Block:
         again = np.flatnonzero(in_text[order[1:]] == in_text[order[:-1]]) + 1
         back = np.full(n, n)
         back[order[again]] = order[again] - order[again - 1]
+        self.last_seen = np.arange(n) - back  # where a place's shingle was in its text before, or less than 0
         firsts = np.delete(order, again)
         texts_with = np.bincount(ids[firsts], minlength=int(ids.max(initial=0)) + 1)
         window = lambda mask: (lambda c: c[least:] - c[:-least])(np.concatenate([[0], np.cumsum(mask)]))
@@ -266,11 +267,17 @@ class Block:
                 met = low >= high
                 steps = np.bincount(np.maximum(high[met], 0), minlength=long + 1) - np.bincount(low[met] + 1, minlength=long + 1)
                 out[:] = np.cumsum(steps)[:n] >= self.need
-        # each place that a stretch leaves out takes at most one distinct shingle from it
-        elif 100 * len(np.unique(x[i])) >= self.percent * (len(np.unique(x)) - n + 1):
+        elif 100 * len(np.unique(x[i])) >= self.percent * max(self.fewest(a, n), self.fewest(b, n)):
             out[alike(x, y, least, self.percent)] = True
         return out
 
+    def fewest(self, start: int, n: int) -> int:
+        """The least number of distinct shingles of the ``n`` stretches from ``start`` on."""
+        if self.rough[start + n] == self.rough[start]:
+            return self.least
+        seen = np.lib.stride_tricks.sliding_window_view(self.last_seen[start : start + n + self.least - 1], self.least)
+        return int((seen < start + np.arange(n)[:, None]).sum(axis=1).min())
+
     def pair(self, a: int, b: int, keys) -> set[int]:
         """The keys whose intervals in both texts have a common stretch; its spans are kept.
 
@@ -379,19 +386,29 @@ class Block:
         """
         met = set()
         for p in sorted(open_):
-            partners: dict[int, list[int]] = defaultdict(list)
+            waiting: dict[int, list[int]] = {}
             for key in open_[p]:
                 asked = [q for q in self.members[key] if self.row[q] != self.row[p] and (q, p) not in met]
                 if others is not None:
                     asked = [q for q in asked if q in others and others[q] != self.home[p] and not (self.row[q] > self.row[p] and key in self.open[q])]
-                for q in self.possible(p, key, asked):
-                    partners[q].append(key)
-                met.update((p, q) for q in asked)
-            for q, keys in partners.items():
-                if self.find(p) == self.find(q):
-                    keys = [k for k in keys if not self.covered(p, q, k)]
-                if keys:
-                    self.pair(p, q, keys)
+                if asked:
+                    waiting[key] = asked
+                    met.update((p, q) for q in asked)
+            some = 8
+            while waiting:  # what a few partners show rules out many of the others
+                partners: dict[int, list[int]] = defaultdict(list)
+                for key, asked in waiting.items():
+                    for q in self.possible(p, key, asked):
+                        partners[q].append(key)
+                now = set(list(partners)[:some])
+                for q in now:
+                    keys = partners[q]
+                    if self.find(p) == self.find(q):
+                        keys = [k for k in keys if not self.covered(p, q, k)]
+                    if keys:
+                        self.pair(p, q, keys)
+                waiting = {key: left for key in waiting if (left := [q for q in waiting[key] if q not in now and key in partners.get(q, ())])}
+                some *= 4
 
     def possible(self, p: int, key: int, asked: list[int]) -> list[int]:
         """Those texts that ``pair`` may find to share a stretch by the key: what one pass over all of them cannot rule out.
@@ -403,14 +420,24 @@ class Block:
         if len(asked) < 3 or len(self.texts_with[p][key]) > 1:
             return asked
         [(f, t, c)] = self.texts_with[p][key]
+        rows = [(q, *place) for q in asked for place in self.texts_with[q][key]]
+        q, bf, bt, bc = np.array(rows).T
+
+        def enough(which: np.ndarray) -> np.ndarray:
+            """Of some rows: whether the texts share the part of distinct shingles that alike stretches do."""
+            mine = self.ids[f : t + least]
+            self.place[mine] = np.arange(len(mine))
+            met = (self.place[self.ids[lo : hi + least]] for lo, hi in zip(bf[which].tolist(), bt[which].tolist()))
+            shared = np.array([len(np.unique(x[x >= 0])) for x in met], dtype=np.int64)
+            self.place[mine] = -1
+            return which[100 * shared >= self.percent * self.fewest(f, t - f + 1)]
+
         away = np.arange(1 - least, least)
         at = c + away
         inside = np.flatnonzero((at >= f) & (at < t + least))
         mine = self.ids[at[inside]]
         if t > c or len(np.unique(mine)) < len(mine) or self.rough[t + 1] > self.rough[f]:
-            return asked
-        rows = [(q, *place) for q in asked for place in self.texts_with[q][key]]
-        q, bf, bt, bc = np.array(rows).T
+            return np.unique(q[enough(np.arange(len(rows)))]).tolist()
         open_ = (bt > bc) | (self.rough[bt + 1] > self.rough[bf]) | (np.maximum(f - c, bf - bc) > np.minimum(t - c, bt - bc))
         self.place[mine] = inside
         its = bc[:, None] + away
@@ -421,15 +448,16 @@ class Block:
         i, wide = where[row, j], len(away) + 1
         low, high = np.minimum(i, j), np.maximum(np.maximum(i, j) - least + 1, 0)
         both = low >= high
-        steps = np.bincount(row[both] * wide + high[both], minlength=len(rows) * wide) - np.bincount(row[both] * wide + low[both] + 1, minlength=len(rows) * wide)
-        near = np.cumsum(steps.reshape(len(rows), wide), axis=1)[:, :least] >= self.need
+        steps = np.bincount(row[both] * wide + high[both], minlength=len(q) * wide) - np.bincount(row[both] * wide + low[both] + 1, minlength=len(q) * wide)
+        near = np.cumsum(steps.reshape(len(q), wide), axis=1)[:, :least] >= self.need
         # of texts that are linked, starts that are in both spans already, and cut from the later text, show nothing new
         linked = np.array([self.find(x) == self.find(p) for x in q.tolist()])
         later = np.array([self.row[x] > self.row[p] for x in q.tolist()])[:, None]
         starts = np.arange(least) + 1 - least
         own, its = (np.take(self.done, np.maximum(x + starts, 0)) for x in (c, bc[:, None]))
         known = linked[:, None] & (own & np.where(later, 1, 2) > 0) & (its & np.where(later, 2, 1) > 0)
-        return np.unique(q[open_ | (near & ~known).any(axis=1)]).tolist()
+        new = (near & ~known).any(axis=1)
+        return np.unique(q[np.concatenate([np.flatnonzero(new), enough(np.flatnonzero(open_ & ~new))])]).tolist()
 
 
 def _intervals(docs: DataFrame, least: int, text_col: str, id_col: str) -> DataFrame:
