@@ -46,15 +46,16 @@ def split_fairly(lists: DataFrame, demand: str, order: str, limit: int) -> DataF
     The level follows from the demands' histogram, of at most ``limit`` + 1 rows as no
     demand counts for more than the limit.
     """
-    want = F.least(F.greatest(F.col(demand), F.lit(0)), F.lit(limit))
+    limit = max(0, int(limit))
+    want = F.least(F.greatest(F.col(demand), F.lit(0)), F.lit(limit)).cast("long")
     histogram = lists.groupBy(want.alias("d")).agg(F.count("*").alias("k"))
     below = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     onward = Window.orderBy("d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     steps = histogram.select("d", F.coalesce(F.sum(F.col("d") * F.col("k")).over(below), F.lit(0)).alias("met"), F.sum("k").over(onward).alias("others"))
     steps = steps.withColumn("level", F.floor((F.lit(limit) - F.col("met")) / F.col("others")))
     level = steps.where("d > level").agg(F.min_by("level", "d")).first()[0]
-    if level is None:  # all demands fit
-        return lists.withColumn("given", F.greatest(F.col(demand), F.lit(0)).cast("long"))
+    if level is None:  # all fit, or one demand of the limit or more takes it alone
+        return lists.withColumn("given", want)
     capped = F.least(want, F.lit(level)).cast("long")
     left = limit - lists.agg(F.sum(capped)).first()[0]
     extra = lists.where(want > level).orderBy(order).limit(int(left)).select(order, F.lit(1).alias("_extra"))

@@ -176,6 +176,13 @@ def test_split_fairly_equals_the_plain_rule(spark):
         assert got == ranking.fair_split(limit, demands)
 
 
+def test_one_demand_beyond_the_limit_gets_the_limit(spark):
+    for limit, demands in [(5, [8]), (5, [0, 8, 0]), (5, [-3, 9]), (-1, [3, 4]), (0, [0, 2])]:
+        lists = spark.createDataFrame(list(enumerate(demands)), "k int, demand long")
+        got = [r.given for r in ranking.split_fairly(lists, "demand", "k", limit).orderBy("k").collect()]
+        assert got == ranking.fair_split(limit, demands)
+
+
 def test_numbers_go_on_over_many_tasks(spark):
     fresh = spark.range(1000).selectExpr("1000 - id AS x").repartition(7)
     got = ranking.next_in_sequence(spark.createDataFrame([(41,), (7,)], "seq long"), fresh, "seq", ["x"])
