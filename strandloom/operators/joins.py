@@ -110,18 +110,48 @@ def declared_edges(declared: DataFrame, modules: DataFrame, source: str, dep: st
     return edges, met.where(F.size("candidates") > 1).select(source, dep, "candidates")
 
 
-def match_links(outbound: DataFrame, inbound: DataFrame, carry: list[str]) -> DataFrame:
+#: Rows of a side in a cell of a key's pairs, pairs that a task makes, and the most heavy keys that are broadcast.
+CELL_ROWS, TASK_PAIRS, BROADCAST_KEYS = 2048, 1 << 24, 40_000
+
+
+def meet_evenly(left: DataFrame, right: DataFrame, key: str, cell_rows: int = CELL_ROWS, task_pairs: int = TASK_PAIRS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Inner join whose pairs are dealt evenly over tasks, however few keys have most of them.
+
+    A key with many pairs is cut into a grid of cells of at most about ``cell_rows`` rows
+    of either side, each a key of its own: rows are repeated once per cell of the other
+    side, which is a small share of the pairs. The number of tasks follows from all pairs.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key)
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    heavy = pairs > cell_rows * cell_rows
+    n_pairs, n_heavy = sizes.agg(F.sum(pairs), F.count(F.when(heavy, 1))).first()
+    if not n_heavy:
+        return left.join(right, key)
+    grid = sizes.where(heavy).select(key, F.ceil(F.col("_l") / cell_rows).alias("_rows"), F.ceil(F.col("_r") / cell_rows).alias("_cols"))
+    grid = F.broadcast(grid) if n_heavy <= broadcast_keys else grid
+    n_tasks = max(int(n_pairs // task_pairs), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*side.columns), F.coalesce(own, F.lit(1)))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        met = side.join(grid, key, "left").select(*side.columns, mine.alias(own), each.alias(other))
+        return met.repartition(n_tasks, key, "_rows", "_cols")
+
+    return dealt(left, "_rows", "_cols").join(dealt(right, "_cols", "_rows"), [key, "_rows", "_cols"]).drop("_rows", "_cols")
+
+
+def match_links(outbound: DataFrame, inbound: DataFrame, carry: list[str], **cells: int) -> DataFrame:
     """Pairs of edges that share a link key; exact where their plain paths are equal.
 
     Both sides: channel, target and the ``carry`` columns, which come back with the
     prefixes out_ and in_. A key that many edges share on both sides gives all its pairs:
-    that is the result's own size.
+    that is the result's own size, and ``meet_evenly`` deals them over all tasks.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(text.link_key(F.col("channel"), F.col("target")).alias("key"), text.link_path(F.col("channel"), F.col("target")).alias(f"{prefix}path"), *[F.col(c).alias(prefix + c) for c in carry])
 
-    return side(outbound, "out_").join(side(inbound, "in_"), "key").withColumn("match_kind", F.when(F.col("out_path") == F.col("in_path"), "exact").otherwise("heuristic"))
+    return meet_evenly(side(outbound, "out_"), side(inbound, "in_"), "key", **cells).withColumn("match_kind", F.when(F.col("out_path") == F.col("in_path"), "exact").otherwise("heuristic"))
 
 
 def unmatched_links(outbound: DataFrame, inbound: DataFrame) -> DataFrame:

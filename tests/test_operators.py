@@ -169,6 +169,20 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "once")).count() == 3
 
 
+def test_pairs_of_one_hot_key_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    left = spark.range(700).selectExpr("CASE WHEN id < 600 THEN 'hot' WHEN id < 690 THEN 'k' || id % 9 END AS key", "id % 500 AS a")
+    right = spark.range(500).selectExpr("CASE WHEN id < 400 THEN 'hot' ELSE 'k' || id % 12 END AS key", "id AS b")
+    want = sorted(map(tuple, left.join(right, "key").collect()))
+    for most in (40_000, 0):
+        met = joins.meet_evenly(left, right, "key", cell_rows=50, task_pairs=10_000, broadcast_keys=most)
+        assert sorted(map(tuple, met.collect())) == want
+        per = [r[1] for r in met.where("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per) == 240_000 and max(per) < 60_000
+    assert joins.meet_evenly(left, right.limit(0), "key").count() == 0
+
+
 def test_split_fairly_equals_the_plain_rule(spark):
     for limit, demands in [(0, [3, 4]), (7, [9, 9, 9]), (10, [1, 20, 3]), (9, [2, 2]), (5, [0, 0, 8, 8]), (11, [4, 4, 4, 1])]:
         lists = spark.createDataFrame(list(enumerate(demands)), "k int, demand long")
