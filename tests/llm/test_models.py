@@ -71,6 +71,51 @@ def test_class_probabilities_sum_to_one_and_paths_agree(spark):
             assert math.isclose(r.score, expected("new words a b" if r.id == 99 else None if r.id is None else texts[r.id][0]), rel_tol=1e-9)
 
 
+def test_every_word_has_the_class_of_its_own_neighbours(spark):
+    """Against plain counting: words beyond the exchanged ones, inside the lexicon and beyond it."""
+    from strandloom.llm.common import Scratch
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{kind}{rng.integers(1, 40) ** 2 // 40}{kind[::-1]}" for kind in ("ab", "cd", "ef") * 4) + " zz zz" * (i % 3 == 0) for i in range(80)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = dict(lexicon=30, exchanged=6, signatures=3, classes=6, sweeps=3)
+    plain = lm.learn(df.select("text"), Scratch(spark, "t"), **sizes)["local"]
+    old = dict(zip(plain["words"], map(int, plain["class"])))
+    first = lambda w: old.get(w, int(plain["group_class"][lm.signature(w, 3)]))
+    seqs = [split(t) for t in texts]
+    counts = Counter(w for s in seqs for w in s)
+    want = {w: old[w] for w in plain["words"][:6]}
+    for w in counts.keys() - want.keys():
+        rating = -counts[w] * plain["size"]
+        for s in seqs:
+            for i, x in enumerate(s):
+                if x == w:
+                    rest = [*s[i + 1 :], None][0]
+                    rating = rating + (0 if i and s[i - 1] == w else plain["move"][5 if i == 0 else first(s[i - 1])])
+                    rating = rating + (np.diag(plain["move"]) if rest == w else plain["move"][:, 5 if rest is None else first(rest)])
+        want[w] = int(rating[:5].argmax())
+    assert any(want[w] != first(w) for w in counts) and len(counts) > 40
+    unseen = lambda w: want.get(w, int(plain["group_class"][lm.signature(w, 3)]))
+    between, mass = np.zeros((6, 6)), np.full(6, 0.5)
+    for s in seqs:
+        c = [5, *map(unseen, s), 5]
+        np.add.at(between, (c[:-1], c[1:]), 1)
+    for w, k in counts.items():
+        mass[want[w]] += k + 0.5
+    move, mass[5] = np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 3)), 1
+
+    def expected(t):
+        c = [5, *map(unseen, split(t)), 5]
+        return sum(move[a, b] for a, b in zip(c, c[1:])) + sum(math.log10((counts[w] + 0.5) / mass[unseen(w)]) for w in split(t))
+
+    more = df.unionByName(spark.createDataFrame([(99, "new words ab1ba zz")], "doc_id long, text string"))
+    for limit in (8 << 20, 0):
+        got = lm.class_lm(more, df, broadcast_bytes=limit, every_word=True, **sizes).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            assert math.isclose(r.score, expected("new words ab1ba zz" if r.id == 99 else texts[r.id]), rel_tol=1e-9)
+
+
 def test_class_lm_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {(r.n_known, r.score, r.base_score) for r in lm.class_lm(df, df.limit(0), **SMALL).collect()} == {(0, 0.0, 0.0)}
