@@ -50,7 +50,7 @@ from .near_dedup import _mixed, components, portions, sequences, sorted_groups
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, SIGNATURES, HASHES, MIN_WORDS, PERCENT = 5, 4, 2, 50, 80
-#: Texts, and shingles, of a block.
+#: Texts, and shingles, of a block; in pairs of blocks, twice as many texts of either.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _SEEDS = _mixed(np.arange(1, SIGNATURES * HASHES + 1, dtype=np.uint64) * np.uint64(0x243F6A8885A308D3))
 
@@ -162,22 +162,24 @@ class Block:
         self.least, self.percent = least, percent
         self.need = -(-2 * percent * least // (100 + percent))
         self.row = [t[0] for t in texts]
-        parts, self.shift = [], []
-        for _, _, _, starts, lengths, shingles in texts:
-            # a gap after each stretch, so that none runs into the next
-            ends = np.cumsum(lengths)
-            parts.append(np.insert(shingles, ends, 0))
-            self.shift.append((starts, ends - lengths + np.arange(len(lengths))))
-        sizes = np.array([len(x) for x in parts])
-        self.begin = np.cumsum(sizes) - sizes
-        flat = np.concatenate(parts)
+        count = np.array([len(t[4]) for t in texts])
+        lengths = np.concatenate([t[4] for t in texts])
+        after = np.cumsum(lengths)
+        flat = np.insert(np.concatenate([t[5] for t in texts]), after, 0)  # a gap after each stretch, so that none runs into the next
+        gap = np.zeros(len(flat), dtype=bool)
+        gap[after + np.arange(len(after))] = True
+        upto = np.cumsum(count)
+        edges = np.append(0, after + np.arange(1, len(after) + 1))  # where stretches begin
+        self.begin, sizes = edges[upto - count], edges[upto] - edges[upto - count]
+        within = edges[:-1] - np.repeat(self.begin, count)
+        self.shift = [(t[3], within[hi - k : hi]) for t, hi, k in zip(texts, upto.tolist(), count.tolist())]
         # a text may be there twice, as one that is met and as one that meets
         of = np.repeat(np.unique(self.row, return_inverse=True)[1], sizes)
-        gap = np.concatenate([self._gaps(t[4]) for t in texts])
         ids = np.unique(flat, return_inverse=True)[1].astype(np.int64)
         ids[gap] = ids.max(initial=0) + 1 + np.arange(int(gap.sum()))  # equal to nothing
         self.ids, n = ids, len(flat)
         self.place = np.full(int(ids.max(initial=0)) + 1, -1)
+        self.flag = np.zeros(len(self.place), dtype=np.uint8)
         in_text = of * (int(ids.max(initial=0)) + 1) + ids
         order = np.argsort(in_text, kind="stable")
         again = np.flatnonzero(in_text[order[1:]] == in_text[order[:-1]]) + 1
@@ -185,6 +187,8 @@ class Block:
         back[order[again]] = order[again] - order[again - 1]
         self.last_seen = np.arange(n) - back  # where a place's shingle was in its text before, or less than 0
         firsts = np.delete(order, again)
+        near = np.flatnonzero(self.last_seen >= np.maximum(np.arange(n) - least + 1, 0))
+        self.distinct = least - np.cumsum(np.bincount(np.maximum(near - least + 1, 0), minlength=n + 1) - np.bincount(self.last_seen[near] + 1, minlength=n + 1))  # shingles of the stretch from each start on
         texts_with = np.bincount(ids[firsts], minlength=int(ids.max(initial=0)) + 1)
         window = lambda mask: (lambda c: c[least:] - c[:-least])(np.concatenate([[0], np.cumsum(mask)]))
         if n >= least:
@@ -201,15 +205,20 @@ class Block:
         self.texts_with = [dict() for _ in texts]
         self.twins: list[dict] = [{} for _ in texts]  # of a place that stands for others: how far they are
         self.members: dict[int, list[int]] = defaultdict(list)
-        self.open: list[set[int]] = []
-        for m, (_, keys, places, *_) in enumerate(texts):
-            first, last, anchor = unpacked(places)
-            low = self.local(m, first)
-            first, last, anchor = low, last - first + low, anchor - first + low
-            alive = self.able[last + 1] > self.able[first]
-            self.open.append(set(keys[(places & OPEN) > 0].tolist()))
-            for key, f, t, c in zip(keys[alive].tolist(), first[alive].tolist(), last[alive].tolist(), anchor[alive].tolist()):
-                self.texts_with[m].setdefault(key, []).append((f, t, c))
+        self.places_of: dict[int, tuple] = {}
+        whole = np.concatenate([t[2] for t in texts])
+        many = np.array([len(t[2]) for t in texts])
+        first, last, anchor = unpacked(whole)
+        low = np.concatenate([self.local(m, part) for m, part in enumerate(np.split(first, np.cumsum(many)[:-1]))])
+        first, last, anchor = low, last - first + low, anchor - first + low
+        keys = np.concatenate([t[1] for t in texts])
+        of_place = np.repeat(np.arange(len(texts)), many)
+        self.open = [set() for _ in texts]
+        for m, key in zip(*(x[(whole & OPEN) > 0].tolist() for x in (of_place, keys))):
+            self.open[m].add(key)
+        alive = self.able[last + 1] > self.able[first]
+        for m, key, f, t, c in zip(*(x[alive].tolist() for x in (of_place, keys, first, last, anchor))):
+            self.texts_with[m].setdefault(key, []).append((f, t, c))
         for m, held in enumerate(self.texts_with):
             for key, places in held.items():
                 self.members[key].append(m)
@@ -227,12 +236,6 @@ class Block:
         self.edges: list[tuple[int, int]] = []
         self.explained: dict[int, set[int]] = {}
 
-    @staticmethod
-    def _gaps(lengths: np.ndarray) -> np.ndarray:
-        out = np.zeros(int(lengths.sum()) + len(lengths), dtype=bool)
-        out[np.cumsum(lengths) + np.arange(len(lengths))] = True
-        return out
-
     def local(self, m: int, position: np.ndarray) -> np.ndarray:
         """Positions in a text as positions in the block."""
         starts, at = self.shift[m]
@@ -254,29 +257,33 @@ class Block:
         """Of the ``n`` starts from ``a`` and ``b`` on: whether the stretches of both, as sets, have the similarity."""
         least, long = self.least, n + self.least - 1
         x, y = self.ids[a : a + long], self.ids[b : b + long]
-        out, own = np.zeros(n, dtype=bool), np.arange(long)
-        self.place[y] = own
-        at = self.place[x]
-        once = bool((self.place[y] == own).all())
-        self.place[y] = -1
-        i = np.flatnonzero(at >= 0)
-        if once and self.plain[a : a + n].all():  # a shared shingle counts where a stretch has both of its places
+        out, once = np.zeros(n, dtype=bool), self.last_seen[b : b + long] < b
+        if self.rough[a + n] == self.rough[a] and once.all():  # a shared shingle counts where a stretch has both of its places
+            self.place[y] = np.arange(long)
+            at = self.place[x]
+            self.place[y] = -1
+            i = np.flatnonzero(at >= 0)
             if len(i) >= self.need:
                 j = at[i]
                 low, high = np.minimum(i, j), np.maximum(i, j) - least + 1
                 met = low >= high
                 steps = np.bincount(np.maximum(high[met], 0), minlength=long + 1) - np.bincount(low[met] + 1, minlength=long + 1)
                 out[:] = np.cumsum(steps)[:n] >= self.need
-        elif 100 * len(np.unique(x[i])) >= self.percent * max(self.fewest(a, n), self.fewest(b, n)):
-            out[alike(x, y, least, self.percent)] = True
+        else:
+            self.flag[x] = 1
+            shared = int(np.count_nonzero(self.flag[y[once]]))
+            self.flag[x] = 0
+            if self.enough(shared, self.fewest(a, n), self.fewest(b, n)):
+                out[alike(x, y, least, self.percent)] = True
         return out
 
+    def enough(self, shared, mine, its):
+        """Whether so many shared shingles may be those of alike stretches that have at least ``mine`` and ``its`` distinct ones."""
+        return (100 + self.percent) * shared >= self.percent * (mine + its)
+
     def fewest(self, start: int, n: int) -> int:
         """The least number of distinct shingles of the ``n`` stretches from ``start`` on."""
-        if self.rough[start + n] == self.rough[start]:
-            return self.least
-        seen = np.lib.stride_tricks.sliding_window_view(self.last_seen[start : start + n + self.least - 1], self.least)
-        return int((seen < start + np.arange(n)[:, None]).sum(axis=1).min())
+        return int(self.distinct[start : start + n].min())
 
     def pair(self, a: int, b: int, keys) -> set[int]:
         """The keys whose intervals in both texts have a common stretch; its spans are kept.
@@ -306,12 +313,13 @@ class Block:
                 # as many equal places without repeats are as many equal shingles
                 good = (equal == least) | (equal >= self.need) & self.plain[lo:hi] & self.plain[lo + d : hi + d]
                 holds = good
-                if not good.all() and any(not good[x - lo : y - lo].any() for x, y, *_ in part):
+                every = bool(good.all())
+                if not every and any(not good[x - lo : y - lo].any() for x, y, *_ in part):
                     holds = good | self.alike(lo + d, lo, hi - lo)
                 if not holds.any():
                     continue
                 for x, y, key, one, two in part:
-                    if holds[x - lo : y - lo].any():
+                    if every or holds[x - lo : y - lo].any():
                         ok.add(key)
                         twins += [(m, other, place, by) for m, other, place in ((a, b, one), (b, a, two)) for by in self.twins[m].get((place[0], place[2]), ())]
                 starts = np.flatnonzero(holds) + lo
@@ -384,21 +392,30 @@ class Block:
         the same star's block, which has compared them, and of two open texts the later one
         meets the earlier.
         """
-        met = set()
+        row = np.array(self.row)
+        is_open = lambda m, key: key in (open_.get(m, ()) if others is None else self.open[m])
+        star = np.array([-1 if others is None else others.get(m, -1) for m in range(len(row))])
+        opened: dict[int, np.ndarray] = {}
         for p in sorted(open_):
-            waiting: dict[int, list[int]] = {}
+            waiting: dict[int, np.ndarray] = {}
             for key in open_[p]:
-                asked = [q for q in self.members[key] if self.row[q] != self.row[p] and (q, p) not in met]
-                if others is not None:
-                    asked = [q for q in asked if q in others and others[q] != self.home[p] and not (self.row[q] > self.row[p] and key in self.open[q])]
-                if asked:
-                    waiting[key] = asked
-                    met.update((p, q) for q in asked)
+                if len(self.members[key]) < 2:
+                    continue
+                q = self.places(key)[0]
+                if key not in opened:
+                    opened[key] = np.array([is_open(m, key) for m in q.tolist()])
+                if others is None:
+                    asked = (row[q] != row[p]) & ~((q < p) & opened[key])
+                else:
+                    asked = (row[q] != row[p]) & (star[q] >= 0) & (star[q] != self.home[p]) & ~((row[q] > row[p]) & opened[key])
+                if asked.any() and len(which := self.sharing(p, key, np.flatnonzero(asked))):
+                    waiting[key] = which
             some = 8
             while waiting:  # what a few partners show rules out many of the others
                 partners: dict[int, list[int]] = defaultdict(list)
-                for key, asked in waiting.items():
-                    for q in self.possible(p, key, asked):
+                for key, which in waiting.items():
+                    waiting[key] = which = self.possible(p, key, which)
+                    for q in np.unique(self.places(key)[0][which]).tolist():
                         partners[q].append(key)
                 now = set(list(partners)[:some])
                 for q in now:
@@ -407,37 +424,59 @@ class Block:
                         keys = [k for k in keys if not self.covered(p, q, k)]
                     if keys:
                         self.pair(p, q, keys)
-                waiting = {key: left for key in waiting if (left := [q for q in waiting[key] if q not in now and key in partners.get(q, ())])}
+                left = {key: which[[q not in now for q in self.places(key)[0][which].tolist()]] for key, which in waiting.items() if len(which)}
+                waiting = {key: which for key, which in left.items() if len(which)}
                 some *= 4
 
-    def possible(self, p: int, key: int, asked: list[int]) -> list[int]:
-        """Those texts that ``pair`` may find to share a stretch by the key: what one pass over all of them cannot rule out.
+    def places(self, key: int) -> tuple[np.ndarray, ...]:
+        """Text, first start, last start and anchor of all places of a key; the distinct shingles of one after another, where those of each begin, and the fewest of a stretch."""
+        if key not in self.places_of:
+            q, first, last, anchor = np.array([(m, *place) for m in self.members[key] for place in self.texts_with[m][key]]).T
+            long = last + self.least - first
+            begin = np.cumsum(long) - long
+            at = np.arange(int(long.sum())) + np.repeat(first - begin, long)
+            once = self.last_seen[at] < np.repeat(first, long)
+            fewest = np.minimum.reduceat(np.append(self.distinct, self.least), np.stack([first, last + 1], axis=1).ravel())[::2]
+            self.places_of[key] = q, first, last, anchor, self.ids[at[once]].astype(np.int32), np.append(0, np.cumsum(once))[begin], fewest
+        return self.places_of[key]
+
+    def sharing(self, p: int, key: int, which: np.ndarray) -> np.ndarray:
+        """Those places of a key that share as many distinct shingles with one of the text's places as alike stretches do."""
+        *_, shingles, begin, fewest = self.places(key)
+        if len(which) * 8 < len(begin):  # few of them are asked for
+            ends = np.append(begin[1:], len(shingles))
+            long = (ends - begin)[which]
+            at = np.cumsum(long) - long
+            shingles = shingles[np.arange(int(long.sum())) + np.repeat(begin[which] - at, long)]
+            begin, fewest, few = at, fewest[which], True
+        else:
+            few = False
+        able = np.zeros(len(begin), dtype=bool)
+        for f, t, _ in self.texts_with[p][key]:
+            mine = self.ids[f : t + self.least]
+            self.flag[mine] = 1
+            shared = np.add.reduceat(self.flag[shingles], begin, dtype=np.int64)
+            self.flag[mine] = 0
+            able |= self.enough(shared, self.fewest(f, t - f + 1), fewest)
+        return which[able if few else able[which]]
+
+    def possible(self, p: int, key: int, which: np.ndarray) -> np.ndarray:
+        """Those places that ``pair`` may find to share a stretch by the key: what one pass over all of them cannot rule out.
 
         A stretch of the text is like that at the same distance from the anchor in another
         only if enough of its shingles lie in both. Where shingles repeat, nothing is ruled out.
         """
         least = self.least
-        if len(asked) < 3 or len(self.texts_with[p][key]) > 1:
-            return asked
+        if len(which) < 3 or len(self.texts_with[p][key]) > 1:
+            return which
         [(f, t, c)] = self.texts_with[p][key]
-        rows = [(q, *place) for q in asked for place in self.texts_with[q][key]]
-        q, bf, bt, bc = np.array(rows).T
-
-        def enough(which: np.ndarray) -> np.ndarray:
-            """Of some rows: whether the texts share the part of distinct shingles that alike stretches do."""
-            mine = self.ids[f : t + least]
-            self.place[mine] = np.arange(len(mine))
-            met = (self.place[self.ids[lo : hi + least]] for lo, hi in zip(bf[which].tolist(), bt[which].tolist()))
-            shared = np.array([len(np.unique(x[x >= 0])) for x in met], dtype=np.int64)
-            self.place[mine] = -1
-            return which[100 * shared >= self.percent * self.fewest(f, t - f + 1)]
-
         away = np.arange(1 - least, least)
         at = c + away
         inside = np.flatnonzero((at >= f) & (at < t + least))
         mine = self.ids[at[inside]]
-        if t > c or len(np.unique(mine)) < len(mine) or self.rough[t + 1] > self.rough[f]:
-            return np.unique(q[enough(np.arange(len(rows)))]).tolist()
+        if t > c or self.rough[t + 1] > self.rough[f] or (self.last_seen[at[inside]] >= at[inside[0]]).any():
+            return which
+        q, bf, bt, bc = (x[which] for x in self.places(key)[:4])
         open_ = (bt > bc) | (self.rough[bt + 1] > self.rough[bf]) | (np.maximum(f - c, bf - bc) > np.minimum(t - c, bt - bc))
         self.place[mine] = inside
         its = bc[:, None] + away
@@ -457,7 +496,7 @@ class Block:
         own, its = (np.take(self.done, np.maximum(x + starts, 0)) for x in (c, bc[:, None]))
         known = linked[:, None] & (own & np.where(later, 1, 2) > 0) & (its & np.where(later, 2, 1) > 0)
         new = (near & ~known).any(axis=1)
-        return np.unique(q[np.concatenate([np.flatnonzero(new), enough(np.flatnonzero(open_ & ~new))])]).tolist()
+        return which[new | open_]
 
 
 def _intervals(docs: DataFrame, least: int, text_col: str, id_col: str) -> DataFrame:
@@ -509,15 +548,19 @@ def _stretches(docs: DataFrame, placed: DataFrame, least: int, text_col: str, id
             rows = (x for start, n in portions(text) for x in sequences(text.slice(start, n), SHINGLE))
             for n, seq in enumerate(rows):
                 seq, row = seq.view(np.int64), b.column("row")[n].as_py()
-                out, places_of = [], b.column("at")[n].values
+                out, made, places_of = [], {}, b.column("at")[n].values
                 plain = [places_of.field(c).to_pylist() for c in ("unit", "i", "j", "part")]
                 for at, keys, places in zip(zip(*plain), places_of.field("keys"), places_of.field("places")):
-                    places = places.values.to_numpy()
+                    keys, places = keys.values.to_numpy(), places.values.to_numpy()
+                    if (same := places.tobytes()) in made:
+                        out.append((*at, row, keys, *made[same]))
+                        continue
                     # every stretch that holds the anchor counts, not those alone that have the signature
                     _, last, anchor = unpacked(places)
                     first = np.maximum(anchor - least + 1, 0)
                     places = packed(first, np.minimum(np.minimum(np.maximum(anchor, last), len(seq) - least), first + LONGEST), anchor) | (places & OPEN)
-                    out.append((*at, row, keys.values.to_numpy(), places, *cut(seq, places)))
+                    made[same] = places, *cut(seq, places)
+                    out.append((*at, row, keys, *made[same]))
                 for start in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[start : start + 64]), fields)], schema=pa.schema(fields))
 
@@ -556,10 +599,13 @@ def _verified(stretches: DataFrame, least: int, percent: int) -> DataFrame:
         for (unit, _, _), group in sorted_groups(batches, ["unit", "i", "j"]):
             texts, part = [], []
             for b in group:
-                for n in range(b.num_rows):
-                    arrays = [b.column(c)[n].values.to_numpy() for c in ("keys", "places", "starts", "lengths", "shingles")]
-                    texts.append((b.column("row")[n].as_py(), *arrays[:2], *(x.astype(np.int64) for x in arrays[2:4]), arrays[4]))
-                    part.append(b.column("part")[n].as_py())
+                lists = []
+                for c in ("keys", "places", "starts", "lengths", "shingles"):
+                    held, at = b.column(c).values.to_numpy(), b.column(c).offsets.to_numpy().tolist()
+                    lists.append([held[lo:hi] for lo, hi in zip(at, at[1:])])
+                for row, keys, places, starts, lengths, shingles in zip(b.column("row").to_pylist(), *lists):
+                    texts.append((row, keys, places, starts.astype(np.int64), lengths.astype(np.int64), shingles))
+                part += b.column("part").to_pylist()
             if len(texts) < 2:
                 continue
             block, left = Block(texts, least, percent), {}
@@ -655,7 +701,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         marked_places = F.transform("x", lambda e: F.when(e.failed, e.place.bitwiseOR(F.lit(OPEN))).otherwise(e.place))
         listed = listed.withColumn("y", F.filter("x", lambda e: e.failed)).select("unit", "row", F.col("x.key").alias("keys"), marked_places.alias("places"), F.col("y.key").alias("left_keys"), F.col("y.place").alias("left_places"))
         listed = scratch.write(listed, "listed")
-        counts = listed.groupBy("unit").agg(*(F.ceil(F.greatest(F.count_if(F.size(c) > 0) / F.lit(BLOCK), F.sum(F.size(c)) * least / F.lit(2 * BLOCK_SHINGLES), F.lit(1.0))).cast("int").alias(n) for c, n in (("left_keys", "lefts"), ("keys", "alls"))))
+        counts = listed.groupBy("unit").agg(*(F.ceil(F.greatest(F.count_if(F.size(c) > 0) / F.lit(2 * BLOCK), F.sum(F.size(c)) * least / F.lit(2 * BLOCK_SHINGLES), F.lit(1.0))).cast("int").alias(n) for c, n in (("left_keys", "lefts"), ("keys", "alls"))))
         both = listed.join(counts, "unit").join(sizes.withColumnRenamed("hub", "unit"), "unit").withColumn("home", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
         to = lambda i, j, part, k, p: F.struct(F.col("unit"), i.alias("i"), j.alias("j"), (F.col("home") * 4 + part).alias("part"), F.col(k).alias("keys"), F.col(p).alias("places"))

@@ -287,6 +287,27 @@ def test_units_of_several_blocks_lose_no_link(spark, monkeypatch):
     assert whole == blocks and len(whole) >= 38
 
 
+def _block(seqs, keys, places):
+    """A block of texts of one stretch each, with a place of no more than one start for each (key, start)."""
+    return ps.Block([(row, np.array(k), ps.packed(*(np.array(at),) * 3), np.array([0]), np.array([len(x)]), np.array(x)) for row, (x, k, at) in enumerate(zip(seqs, keys, places))], 46, 80)
+
+
+def test_texts_that_one_signature_cannot_link_meet_by_the_others():
+    one, two, both = (np.arange(46) + 1000 * n for n in (1, 2, 3))
+    block = _block([np.concatenate([one, two]), np.concatenate([one, both]), np.concatenate([two, both])], [[7, 7], [7, 8], [7, 8]], [[0, 46]] * 3)
+    block.among({1: {7}, 2: {7, 8}})
+    assert (46, 91, True) in block.spans[2] and (46, 91, False) in block.spans[1]
+
+
+def test_places_that_share_too_little_are_not_compared(monkeypatch):
+    seqs = [np.arange(92) + 1000 * n for n in range(1, 11)]
+    block = _block([np.concatenate(seqs), *seqs], [[7], *[[7, 7]] * 10], [[0], *[[0, 46]] * 10])
+    met, pair = [], ps.Block.pair
+    monkeypatch.setattr(ps.Block, "pair", lambda self, a, b, keys: met.append((a, b)) or pair(self, a, b, keys))
+    block.among({m: {7} for m in range(1, 11)})
+    assert met == [(1, 0)]  # the one that holds its stretches, of 55 pairs
+
+
 def test_passages_in_two_places_of_a_document(spark):
     rng = np.random.default_rng(16)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
