@@ -624,7 +624,9 @@ def _verified(stretches: DataFrame, least: int, percent: int) -> DataFrame:
             for start in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[start : start + 512]), schema)], schema=schema)
 
-    dealt = stretches.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    # tasks of few bytes may take long, so they are not made one
+    tasks = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stretches.repartition(tasks, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     out = "array<struct<first:int,last:int>>"
     return dealt.mapInArrow(trimmed(check), f"unit long, row long, other long, spans {out}, cuts {out}, open array<bigint>")
 
