@@ -108,10 +108,12 @@ class Scratch:
                 print(f"scratch {self.path} stays: {why}")
 
 
-def trimmed(work):
+def trimmed(work, mapped: int | None = None):
     """An Arrow function that gives its worker's unused memory back to the system when a task ends.
 
     Workers are kept from task to task; what they hold on to is taken from the executor's other tasks.
+    Where ``mapped`` is given, blocks of so many bytes go back as soon as they are freed: else the
+    C library raises that bound by itself, and large arrays leave holes in the worker's heap.
     """
 
     def run(batches):
@@ -121,6 +123,9 @@ def trimmed(work):
         import pyarrow
 
         pyarrow.set_memory_pool(pyarrow.system_memory_pool())  # whose freed memory can be given back
+        if mapped is not None:
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).mallopt(-3, mapped)  # M_MMAP_THRESHOLD
         try:
             yield from work(batches)
         finally:

@@ -46,6 +46,8 @@ SHARD_TOKENS = 6_000_000
 MIN_COUNT = 8
 #: Places that are looked at in one go where a whole shard's would take much memory.
 STEP = 1 << 18
+#: Arrays of so many bytes go back to the system when they are dropped; smaller ones are reused.
+MAPPED = 4 << 20
 #: Distinct words whose ids a worker remembers.
 CACHE = 600_000
 SHARDS = "shard int, part int, n_tokens long, doc_ids array<bigint>, payload binary"
@@ -64,38 +66,46 @@ def _tokenizer(path: str):
 
     kept = _kept()
     if getattr(kept, "path", None) != path:
-        kept.tokenizer, kept.path, kept.ids = Tokenizer.from_file(path), path, {}
+        kept.tokenizer, kept.path = Tokenizer.from_file(path), path
+        _forget(kept)
         kept.closes = np.zeros(kept.tokenizer.get_vocab_size(), dtype=bool)
         kept.closes[[i for k, i in kept.tokenizer.get_vocab().items() if k.endswith("</w>")]] = True
     return kept.tokenizer
 
 
-def _encode_words(path: str, words: list[str]) -> None:
-    """Put the ids of words into the worker's memory.
+def _forget(kept: types.ModuleType) -> None:
+    """Remember the empty word alone: no mark, or white space at a text's end."""
+    kept.words, kept.sizes, kept.flat = pa.array([""]), np.zeros(1, dtype=np.int32), np.zeros(0, dtype="<u4")
+
+
+def _encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids one after another) of words.
 
     A word of letters is one unit of the tokenizer, which ends in an id that closes a
     word: such words are encoded many at a time and told apart by those ids.
     """
     tok, kept = _tokenizer(path), _kept()
-    letters = [w for w in words if w.isalpha()]
-    alone = [w for w in words if not w.isalpha()]
+    ids = [b""] * len(words)
+    letters = [k for k, w in enumerate(words) if w.isalpha()]
+    alone = [k for k, w in enumerate(words) if not w.isalpha()]
     for start in range(0, len(letters), 20_000):
         part = letters[start : start + 20_000]
         groups = [part[i : i + 200] for i in range(0, len(part), 200)]
-        for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, tok.encode_batch_fast([" ".join([words[k] for k in g]) for g in groups], add_special_tokens=False)):
             got = np.array(e.ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(kept.closes[got]) + 1)
             if len(ends) != len(group):
                 alone += group
                 continue
             packed, at = got.tobytes(), 0
-            for w, end in zip(group, ends.tolist()):
-                kept.ids[w] = packed[at:end]
+            for k, end in zip(group, ends.tolist()):
+                ids[k] = packed[at:end]
                 at = end
     for start in range(0, len(alone), 20_000):
         part = alone[start : start + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            kept.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for k, e in zip(part, tok.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, dtype="<u4").tobytes()
+    return np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4, np.frombuffer(b"".join(ids), dtype="<u4")
 
 
 def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -116,29 +126,34 @@ def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 def _encode_distinct(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids one after another) of distinct words."""
-    ids = _kept().ids
+    _tokenizer(path)
+    kept = _kept()
     both = pa.concat_arrays(_parts(words)).dictionary_encode()
-    pieces, at = both.dictionary.to_pylist(), both.indices.to_numpy().reshape(2, -1).T.reshape(-1)
-    missing = [p for p in pieces if p not in ids]
-    if missing:
-        if len(ids) + len(missing) > CACHE:
-            ids.clear()
-            missing = pieces
-        _encode_words(path, missing)
-    ids[""] = b""  # no mark, or white space at a text's end
-    packed = list(map(ids.__getitem__, pieces))
-    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-    flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
-    return sizes[at].reshape(-1, 2).sum(axis=1), _expand(flat, np.cumsum(sizes) - sizes, sizes, at)
+    pieces, at = both.dictionary.cast(pa.string()), both.indices.to_numpy().reshape(2, -1).T.reshape(-1)
+    place = pc.index_in(pieces, value_set=kept.words)
+    if place.null_count and len(kept.words) + place.null_count > CACHE:
+        _forget(kept)
+        place = pc.index_in(pieces, value_set=kept.words)
+    new = place.is_null().to_numpy(zero_copy_only=False)
+    place = pc.fill_null(place, 0).to_numpy().copy()
+    if new.any():
+        # in arrays they take a tenth of what a dictionary of words would
+        missing = pieces.filter(pa.array(new))
+        place[new] = np.arange(len(kept.words), len(kept.words) + len(missing))
+        sizes, flat = _encode_words(path, missing.to_pylist())
+        kept.words = pa.concat_arrays([kept.words, missing])
+        kept.sizes, kept.flat = np.append(kept.sizes, sizes), np.append(kept.flat, flat)
+    at, sizes = place[at], kept.sizes
+    return sizes[at].reshape(-1, 2).sum(axis=1), _expand(kept.flat, np.cumsum(sizes, dtype=np.int64) - sizes, sizes, at)
 
 
 def _expand(table_of: np.ndarray, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The entries of each symbol's stretch of a flat table, one after another; some symbols at a time, as places take more room than entries."""
-    out = np.empty(int(sizes[symbols].sum()), dtype=table_of.dtype)
+    parts = [symbols[at : at + STEP] for at in range(0, len(symbols), STEP)]
+    out = np.empty(sum(int(sizes[part].sum()) for part in parts), dtype=table_of.dtype)
     done = 0
-    for at in range(0, len(symbols), STEP):
-        part = symbols[at : at + STEP]
-        n = sizes[part]
+    for part in parts:
+        n = sizes[part].astype(np.int64, copy=False)
         ends = np.cumsum(n)
         total = int(ends[-1])
         out[done : done + total] = table_of[np.arange(total) + np.repeat(starts[part] - (ends - n), n)]
@@ -160,54 +175,65 @@ class Grammar:
         A round replaces, of the frequent pairs, those that no more frequent one overlaps.
         What is not frequent never becomes so, and a new pair has a new symbol in it: later rounds
         look at the places that were left over and at the neighbours of new symbols alone.
+        The arrays given may be changed, and what is wanted of places is worked out some
+        places at a time, as a task has little memory.
         """
         n = len(seq)
-        seq, closed, alive = seq.astype(np.uint32), closed.copy(), np.ones(n, dtype=bool)
+        seq, alive = seq.astype(np.uint32, copy=False), np.ones(n, dtype=bool)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         score = np.zeros(n + 1, dtype=np.float32)
         key_of = lambda x: (seq[x].astype(np.int64) << 32) | seq[after[x]]
-        at = np.flatnonzero(~closed[: n - 1]).astype(np.int32)
+        bucket_of = lambda x: ((key_of(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        steps = lambda x: [x[k : k + STEP] for k in range(0, len(x), STEP)]
+        at = np.concatenate([x[~closed[x]] for x in steps(after[: n - 1] - 1)] or [after[:0]])
         while len(at):
             if len(at) > STEP:
                 # pairs whose hash bucket is rare as a whole are rare: most go before they are told apart
-                bucket_of = lambda x: ((key_of(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-                parts = [at[k : k + STEP] for k in range(0, len(at), STEP)]
                 filled = np.zeros(1 << 20)
-                for x in parts:
+                for x in steps(at):
                     filled += np.bincount(bucket_of(x), None if weight is None else weight[x], 1 << 20)
-                at = np.concatenate([x[filled[bucket_of(x)] >= MIN_COUNT] for x in parts])
-                del filled, parts
-            keys = key_of(at)
-            coded = pa.array(keys).dictionary_encode()
-            pairs, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            count = np.bincount(code, None if weight is None else weight[at], len(pairs)).astype(np.float32)[code]
-            often = count >= MIN_COUNT
-            at, keys, count, code = at[often], keys[often], count[often], code[often]
+                at = np.concatenate([x[filled[bucket_of(x)] >= MIN_COUNT] for x in steps(at)])
+                del filled
+                if not len(at):
+                    break
+            coded = pa.chunked_array([pa.array(key_of(x)) for x in steps(at)]).dictionary_encode()
+            pairs, code = coded.chunk(coded.num_chunks - 1).dictionary.to_numpy(), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+            del coded
+            count = np.zeros(len(pairs))
+            for k in range(0, len(at), 4 * STEP):
+                part = slice(k, k + 4 * STEP)
+                count += np.bincount(code[part], None if weight is None else weight[at[part]], len(pairs))
+            count = count.astype(np.float32)
+            often = (count >= MIN_COUNT)[code]
+            at, code = at[often], code[often]
             if not len(at):
                 break
             # of overlapping pairs the more frequent goes first, of equal ones the left
-            score[at] = count
-            right = after[at]
-            taken = (count > score[before[at]]) & (count >= score[right])
+            score[at] = count[code]
+            taken = np.concatenate([(score[x] > score[before[x]]) & (score[x] >= score[after[x]]) for x in steps(at)])
             score[at] = 0
-            t, r = at[taken], right[taken]
-            used = np.bincount(code[taken], minlength=len(pairs)) > 0
-            which, rule = pairs[used], (np.cumsum(used) - 1)[code[taken]]
+            t, rule = at[taken], code[taken]
+            at, code = at[~taken], code[~taken]
+            r = after[t]
+            used = np.zeros(len(pairs), dtype=bool)
+            used[rule] = True
+            which = pairs[used]
             self.rules.append(np.stack([which >> 32, which & 0xFFFFFFFF], axis=1).astype(np.uint32))
-            seq[t] = self.first + self.size + rule
+            seq[t] = (np.cumsum(used) + (self.first + self.size - 1)).astype(np.uint32)[rule]
             self.size += len(which)
             alive[r] = False
             closed[t] = closed[r]
             after[t] = follow = after[r]
             inside = follow < n
             before[follow[inside]] = t[inside]
-            left_over = at[~taken]
-            same = alive[left_over] & (after[left_over] < n)
-            left_over, was = left_over[same], keys[~taken][same]
-            left_over = left_over[key_of(left_over) == was]
+            same = alive[at] & (after[at] < n)
+            at, code = at[same], code[same]
+            at = np.concatenate([at[:0], *(x[key_of(x) == pairs[c]] for x, c in zip(steps(at), steps(code)))])
             ahead = before[t]
             ahead = ahead[ahead >= 0]
-            at = np.sort(np.concatenate([left_over, ahead[~closed[ahead]], t[inside & ~closed[t]]]), kind="stable")  # three sorted runs
+            ahead, t = ahead[~closed[ahead]], t[inside & ~closed[t]]
+            del pairs, code, count, often, taken, rule, used, which, r, follow, inside, same
+            at = np.sort(np.concatenate([at, ahead, t]), kind="stable")  # three sorted runs
             at = at[np.append(at[1:] != at[:-1], True)] if len(at) else at
         return seq[alive], closed[alive]
 
@@ -234,7 +260,8 @@ def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
 def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     """The payload of documents given as an array of texts without nulls, and its number of ids."""
     vocabulary = _tokenizer(path).get_vocab_size()
-    split = pc.ascii_split_whitespace(texts)
+    n_docs, split = len(texts), pc.ascii_split_whitespace(texts)
+    del texts
     ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
     words = split.flatten()
     coded = words.dictionary_encode()
@@ -252,10 +279,10 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     inside = np.ones(len(order), dtype=bool)
     inside[word_ends - 1] = False
     order[inside] = flat + 1
-    n_ids = sizes  # a word's ids, before its symbols are joined
+    del split, words, coded, flat, inside
+    id_starts = np.append(0, np.append(0, np.cumsum(sizes[order]))[word_ends]).astype("<u8")
 
     grammar = Grammar(vocabulary)
-    del split, words, coded, flat, inside
     word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     closed = np.append(word_of[1:] != word_of[:-1], True)
     weight = np.bincount(order, minlength=len(sizes))[word_of].astype(float)
@@ -272,14 +299,14 @@ def build_shard(path: str, texts: pa.Array, end_id: int) -> tuple[bytes, int]:
     closed[:-1] |= last[1:]
     if len(closed):
         closed[-1] = True
+    del seq, word_of, weight, ends, order, last
     stream, closed = grammar.reduce(stream, closed, None)
     rules = grammar.table()
     lengths = expansion_lengths(rules, vocabulary)
     symbol_starts = np.append(0, np.flatnonzero(stream == vocabulary) + 1).astype("<u4")
-    id_starts = np.append(0, np.append(0, np.cumsum(n_ids[order]))[word_ends]).astype("<u8")
-    header = struct.pack("<6I", len(texts), len(rules), len(stream), vocabulary, end_id, 0)
-    parts = (rules.astype("<u4"), lengths.astype("<u4"), symbol_starts, id_starts, stream.astype("<u4"))
-    return MAGIC + header + b"".join(p.tobytes() for p in parts), int(id_starts[-1])
+    header = struct.pack("<6I", n_docs, len(rules), len(stream), vocabulary, end_id, 0)
+    parts = (rules.astype("<u4"), lengths.astype("<u4"), symbol_starts, id_starts, stream.astype("<u4", copy=False))
+    return b"".join((MAGIC, header, *parts)), int(id_starts[-1])
 
 
 class Shard:
@@ -317,7 +344,7 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """The ids of all documents one after another."""
-        return _expand(self.flat, self.starts, self.sizes, self.stream.astype(np.int64))
+        return _expand(self.flat, self.starts, self.sizes, self.stream)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of one document, from its own symbols alone."""
@@ -360,7 +387,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text_col
 
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return Scratch(docs.sparkSession, "token-files").write(dealt.mapInArrow(trimmed(encode), SHARDS), "shards")
+    return Scratch(docs.sparkSession, "token-files").write(dealt.mapInArrow(trimmed(encode, MAPPED), SHARDS), "shards")
 
 
 def read_documents(shards: DataFrame, visit=None) -> DataFrame:
@@ -373,7 +400,7 @@ def read_documents(shards: DataFrame, visit=None) -> DataFrame:
             for i in range(b.num_rows):
                 s = Shard(memoryview(payloads[i].as_buffer()))
                 starts = s.id_starts.astype(np.int64)
-                ids, ends = memoryview(s.ids().astype("<u4").tobytes()), (4 * starts).tolist()
+                ids, ends = memoryview(s.ids().view(np.uint8)), (4 * starts).tolist()
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])]
                 n = s.n_docs
                 yield pa.RecordBatch.from_arrays(
@@ -381,7 +408,7 @@ def read_documents(shards: DataFrame, visit=None) -> DataFrame:
                     schema=schema,
                 )
 
-    return shards.select("shard", "part", "doc_ids", "payload").mapInArrow(trimmed(decode), "shard int, part int, doc_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return shards.select("shard", "part", "doc_ids", "payload").mapInArrow(trimmed(decode, MAPPED), "shard int, part int, doc_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(documents: DataFrame, shards: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

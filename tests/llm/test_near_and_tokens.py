@@ -150,6 +150,27 @@ def test_token_files_odd_rows(spark, tokenizer_path):
     assert tf.read_documents(tf.write_shards(df.limit(0), tokenizer_path)).count() == 0
 
 
+def test_a_shard_takes_little_memory(tokenizer_path):
+    """Two tasks of an executor build shards beside a JVM that has grown in earlier stages."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    texts = pc.fill_null(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"], "").combine_chunks()
+    upto = int(np.searchsorted(np.cumsum(pc.binary_length(texts).to_numpy()), 2 * tf.SHARD_TOKENS))
+    tf.build_shard(tokenizer_path, texts.slice(0, 10), 2)  # loads the tokenizer
+    tracemalloc.start()
+    try:
+        payload, n_tokens = tf.build_shard(tokenizer_path, pa.concat_arrays([texts.slice(0, upto)]), 2)
+        now, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert n_tokens > 3_000_000
+    assert peak < 110e6 and now - len(payload) < 10e6  # what is held on to are the ids of known words
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = tox.op6_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out")
